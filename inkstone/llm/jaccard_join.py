@@ -14,9 +14,10 @@ once on the full sets.
    arrays. A reducer proposes neighbours in length order within each n-gram's
    group, and lists groups of three or more.
 3. Proposed pairs that pass the suffix filter are verified, and connected.
-   Then pairs of a listed group that are still in different components are
-   verified as well. A large group of near copies is thus connected by about as
-   many pairs as it has members, and no link between components is missed.
+   Then the members of a listed group that are still in different components
+   are compared as well: pair by pair, or in blocks where the pairs are many.
+   A large group of near copies is thus never spelt out as pairs, and no link
+   between components is missed.
 """
 
 from __future__ import annotations
@@ -38,6 +39,8 @@ PARTS = 256  # of a set's histogram
 FAN = 64  # blocks of counts added up at once
 PER_REDUCER = 1_500_000  # prefix n-grams
 HOT = 200_000  # occurrences beyond which an n-gram's group is dealt to several reducers
+ACROSS = 1024  # pairs between components beyond which a group is compared by blocks
+CROWD_BLOCK = 192
 BITS = 1 << 24  # of the filter for classes in candidate pairs: 2 MB
 
 
@@ -274,69 +277,153 @@ def class_links(docs: DataFrame, text_col: str, classes: DataFrame, levels: np.n
     by_key = classes.filter("n > 0").groupBy("key").agg(F.first("n").alias("n"), F.first("parts").alias("parts"))
     by_key = scratch.keep(by_key)
 
-    def checked(pairs: DataFrame) -> DataFrame:
-        """The links among candidate pairs."""
+    def plausible(pairs: DataFrame) -> DataFrame:
+        """The candidate pairs that pass the length and suffix filters."""
         a = by_key.select(F.col("key").alias("a"), F.col("n").alias("na"), F.col("parts").alias("xa"))
         b = by_key.select(F.col("key").alias("b"), F.col("n").alias("nb"), F.col("parts").alias("xb"))
-        pairs = scratch.keep(pairs.join(a, "a").join(b, "b").select("a", "b", "na", "nb", "xa", "xb").mapInArrow(_suffix_filter(num, den), "a long, b long"))
-        keys = pairs.select(F.col("a").alias("key")).unionByName(pairs.select(F.col("b").alias("key")))
-        spot = F.expr(f"pmod(key, {BITS}) + 1")  # Spark's bitmaps number bits from one
-        rows = keys.select(F.bitmap_bucket_number(spot).alias("k"), F.bitmap_bit_position(spot).alias("bit")).groupBy("k").agg(F.bitmap_construct_agg("bit").alias("bits")).collect()
-        bits = np.zeros(BITS // 8, dtype=np.uint8)
-        for r in rows:  # BITS / 32768 rows at most
-            bits[(r["k"] - 1) * 4096 : r["k"] * 4096] = np.frombuffer(r["bits"], dtype=np.uint8)
-        wanted = sc.broadcast(bits)
-
-        def sets(batches):
-            seen: set[int] = set()
-            for batch in batches:
-                keys, blobs = [], []
-                for s in _sets(batch, 0, size):
-                    if not len(s):
-                        continue
-                    k = _print(s)
-                    p = k % BITS
-                    if wanted.value[p >> 3] >> (p & 7) & 1 and k not in seen:
-                        seen.add(k)
-                        keys.append(k)
-                        blobs.append(s.tobytes())
-                yield pa.RecordBatch.from_arrays([pa.array(keys, pa.int64()), pa.array(blobs, pa.binary())], names=["key", "s"])
-
-        full = docs.select(F.col(text_col).alias("text")).mapInArrow(sets, "key long, s binary")
-        full = scratch.keep(full.join(keys.distinct(), "key", "left_semi").groupBy("key").agg(F.first("s").alias("s")))
+        return scratch.keep(pairs.join(a, "a").join(b, "b").select("a", "b", "na", "nb", "xa", "xb").mapInArrow(_suffix_filter(num, den), "a long, b long"))
+
+    def ends(pairs: DataFrame) -> DataFrame:
+        return pairs.select(F.col("a").alias("key")).unionByName(pairs.select(F.col("b").alias("key")))
+
+    def verified(pairs: DataFrame, full: DataFrame) -> DataFrame:
         sa, sb = full.select(F.col("key").alias("a"), F.col("s").alias("sa")), full.select(F.col("key").alias("b"), F.col("s").alias("sb"))
-        out = scratch.keep(pairs.join(sa, "a").join(sb, "b").select("a", "b", "sa", "sb").mapInArrow(_verify(num, den), "a long, b long"))
-        scratch.drop(full)
-        return out
+        return scratch.keep(pairs.join(sa, "a").join(sb, "b").select("a", "b", "sa", "sb").mapInArrow(_verify(num, den), "a long, b long"))
 
     pairs = found.filter("gid is null").select("a", "b")
     heads = found.filter("head").select("gid", F.col("a").alias("key"), "n")
     low = heads.groupBy("gid").agg(F.min("key").alias("low"))
     linked = heads.join(low, "gid").filter("key <> low").select(F.least("key", "low").alias("a"), F.greatest("key", "low").alias("b"))
-    pairs = scratch.keep(pairs.unionByName(linked).distinct())
-    links = checked(pairs)
+    tried = scratch.keep(pairs.unionByName(linked).distinct())
+    pairs = plausible(tried)
+    full = _sets_of(docs, text_col, size, ends(pairs), scratch)
+    links = verified(pairs, full)
+    scratch.drop(full)
     parts = connected_components(links, scratch)
 
     members = found.filter("gid is not null").select("gid", F.col("a").alias("key"), "n", "place")
     members = members.groupBy("gid", "key", "n").agg(F.min("place").alias("place"))
     members = members.join(parts.withColumnRenamed("node", "key"), "key", "left").withColumn("component", F.coalesce("component", "key"))
     members = scratch.keep(members)
-    several = members.groupBy("gid").agg(F.min("component").alias("lo"), F.max("component").alias("hi")).filter("lo <> hi").select("gid")
-    left = members.join(several, "gid", "left_semi")
-    x, y = left.alias("x"), left.alias("y")
-    apart = F.expr(
+    by_part = members.groupBy("gid", "component").agg(F.count("*").alias("c"))
+    apart = by_part.groupBy("gid").agg(F.expr("(sum(c) * sum(c) - sum(c * c)) div 2").alias("across")).filter("across > 0")
+    left = scratch.keep(members.join(apart, "gid"))
+    x, y = left.filter(f"across <= {ACROSS}").alias("x"), left.filter(f"across <= {ACROSS}").alias("y")
+    may = F.expr(
         f"""x.gid = y.gid and x.component <> y.component and (x.n < y.n or x.n = y.n and x.key < y.key)
         and {den} * x.n >= {num} * y.n
         and x.place < x.n - ceil({2 * num} * x.n / {num + den}) + 1
         and least(x.n - x.place, y.n - y.place) >= ceil({num} * (x.n + y.n) / {num + den})"""
     )
-    more = x.join(y, apart).select(F.least("x.key", "y.key").alias("a"), F.greatest("x.key", "y.key").alias("b")).distinct()
-    more = scratch.keep(more.join(pairs, ["a", "b"], "left_anti"))
-    if not more.isEmpty():
-        links = links.unionByName(checked(more))
+    more = x.join(y, may).select(F.least("x.key", "y.key").alias("a"), F.greatest("x.key", "y.key").alias("b")).distinct()
+    more = plausible(more.join(tried, ["a", "b"], "left_anti"))
+    crowd = left.filter(f"across > {ACROSS}").select("gid", "key", "n", "component")
+    full = _sets_of(docs, text_col, size, ends(more).unionByName(crowd.select("key")), scratch)
+    links = links.unionByName(verified(more, full))
+    if not crowd.isEmpty():
+        links = links.unionByName(_links_by_blocks(crowd, full, num, den, scratch))
     return links
 
 
+def _sets_of(docs: DataFrame, text_col: str, size: int, keys: DataFrame, scratch: Scratch) -> DataFrame:
+    """``key`` and its full set ``s``, for the given classes."""
+    sc = docs.sparkSession.sparkContext
+    keys = scratch.keep(keys.distinct())
+    spot = F.expr(f"pmod(key, {BITS}) + 1")  # Spark's bitmaps number bits from one
+    rows = keys.select(F.bitmap_bucket_number(spot).alias("k"), F.bitmap_bit_position(spot).alias("bit")).groupBy("k").agg(F.bitmap_construct_agg("bit").alias("bits")).collect()
+    bits = np.zeros(BITS // 8, dtype=np.uint8)
+    for r in rows:  # BITS / 32768 rows at most
+        bits[(r["k"] - 1) * 4096 : r["k"] * 4096] = np.frombuffer(r["bits"], dtype=np.uint8)
+    if not rows:
+        return keys.withColumn("s", F.lit(None).cast("binary"))
+    wanted = sc.broadcast(bits)
+
+    def sets(batches):
+        seen: set[int] = set()
+        for batch in batches:
+            keys, blobs = [], []
+            for s in _sets(batch, 0, size):
+                if not len(s):
+                    continue
+                k = _print(s)
+                p = k % BITS
+                if wanted.value[p >> 3] >> (p & 7) & 1 and k not in seen:
+                    seen.add(k)
+                    keys.append(k)
+                    blobs.append(s.tobytes())
+            yield pa.RecordBatch.from_arrays([pa.array(keys, pa.int64()), pa.array(blobs, pa.binary())], names=["key", "s"])
+
+    full = docs.select(F.col(text_col).alias("text")).mapInArrow(sets, "key long, s binary")
+    return scratch.keep(full.join(keys, "key", "left_semi").groupBy("key").agg(F.first("s").alias("s")))
+
+
+def _links_by_blocks(crowd: DataFrame, full: DataFrame, num: int, den: int, scratch: Scratch) -> DataFrame:
+    """Links between the components of groups in which too many pairs are left.
+
+    Groups that share members form one crowd. Its members are dealt into blocks
+    by size class, a class spanning the ratio that linked sets may have. All
+    pairs of blocks of one class or of neighbouring ones are counted as matrix
+    products, each in a task of its own, which returns only as many links as connect
+    what it found.
+    """
+    graph = crowd.select(F.expr("gid ^ 6148914691236517205").alias("a"), F.col("key").alias("b"))
+    parts = connected_components(graph, scratch).withColumnRenamed("node", "key")
+    width = float(np.log(den / num))
+    who = crowd.select("key", "n", "component").distinct().join(parts.withColumnRenamed("component", "crowd"), "key")
+    who = scratch.keep(who.withColumn("cls", F.floor(F.log("n") / width).cast("int")))
+    blocks = scratch.keep(who.groupBy("crowd", "cls").agg(F.ceil(F.count("*") / CROWD_BLOCK).cast("int").alias("blocks")))
+    above = blocks.select("crowd", (F.col("cls") - 1).alias("cls"), F.col("blocks").alias("above"))
+    below = blocks.select("crowd", (F.col("cls") + 1).alias("cls"), F.col("blocks").alias("below"))
+    who = who.join(blocks, ["crowd", "cls"]).join(above, ["crowd", "cls"], "left").join(below, ["crowd", "cls"], "left")
+    who = who.withColumn("h", F.expr("cast(pmod(xxhash64(key), blocks) as int)"))
+    meet = """concat(
+        transform(sequence(0, blocks - 1), o -> struct(cls as c1, least(h, o) as h1, cls as c2, greatest(h, o) as h2, if(o = h, 2, int(o < h)) as side)),
+        if(above is null, array(), transform(sequence(0, above - 1), o -> struct(cls as c1, h as h1, cls + 1 as c2, o as h2, 0 as side))),
+        if(below is null, array(), transform(sequence(0, below - 1), o -> struct(cls - 1 as c1, o as h1, cls as c2, h as h2, 1 as side))))"""
+    dealt = who.select("crowd", "key", "component", F.explode(F.expr(meet)).alias("m")).select("crowd", "m.*", "key", "component")
+    dealt = dealt.join(full, "key")
+
+    def count(table: pa.Table) -> pa.Table:
+        side = np.array(table.column("side").to_pylist())
+        key, part = table.column("key").to_pylist(), table.column("component").to_pylist()
+        s = [np.frombuffer(x, dtype=np.uint64) for x in table.column("s").to_pylist()]
+        left, right = np.flatnonzero(side != 1), np.flatnonzero(side != 0)
+        out = []
+        if len(left) and len(right):
+            x, y = (np.concatenate([s[i] for i in side_]) for side_ in (left, right))
+            shared = np.intersect1d(x, y)
+            hits = np.zeros((len(left), len(right)), dtype=np.float32)
+            for at in range(0, len(shared), 4096):
+                some = shared[at : at + 4096]
+                m = []
+                for rows in (left, right):
+                    a = np.zeros((len(rows), len(some)), dtype=np.float32)
+                    for r, i in enumerate(rows):
+                        p = np.minimum(np.searchsorted(some, s[i]), len(some) - 1)
+                        a[r, p[some[p] == s[i]]] = 1
+                    m.append(a)
+                hits += m[0] @ m[1].T
+            hits = hits.astype(np.int64)
+            size = np.array([len(v) for v in s])
+            linked = den * hits >= num * (size[left][:, None] + size[right][None, :] - hits)
+            root: dict[int, int] = {}
+
+            def find(v):
+                while root.setdefault(v, v) != v:
+                    root[v] = root[root[v]]
+                    v = root[v]
+                return v
+
+            for i, j in np.argwhere(linked).tolist():
+                a, b = find(part[left[i]]), find(part[right[j]])
+                if a != b:
+                    root[a] = b
+                    out.append((key[left[i]], key[right[j]]))
+        return pa.table({"a": pa.array([a for a, _ in out], pa.int64()), "b": pa.array([b for _, b in out], pa.int64())})
+
+    return scratch.keep(dealt.groupBy("crowd", "c1", "h1", "c2", "h2").applyInArrow(count, "a long, b long"))
+
+
 def ngram_jaccard_join(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", size: int = 5, num: int = 75, den: int = 100) -> DataFrame:
     """``id_col``, ``n_shingles``, ``component_id`` for each row of ``docs``.
 

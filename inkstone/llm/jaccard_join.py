@@ -26,8 +26,9 @@ import zlib
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
+from pyspark.sql.pandas.types import to_arrow_type
 
 from inkstone.llm.components import connected_components
 from inkstone.llm.scratch import Scratch
@@ -73,7 +74,7 @@ def _wanted(n, m, num: int, den: int):
 
 
 def class_table(docs: DataFrame, id_col: str, text_col: str, size: int, scratch: Scratch) -> tuple[DataFrame, np.ndarray]:
-    """A row for each document (id, n, key, parts), and the levels of n-gram counts."""
+    """A row for each document (id, text_hash, n, key, parts), and the levels of n-gram counts."""
     kind = docs.schema[id_col].dataType.simpleString()
 
     def run(batches):
@@ -88,22 +89,21 @@ def class_table(docs: DataFrame, id_col: str, text_col: str, size: int, scratch:
                 parts.append(np.minimum(h, 255).astype(np.uint8).tobytes() if len(s) >= 16 else b"")
             empty = len(n)
             yield pa.RecordBatch.from_arrays(
-                [batch.column(0), pa.array(n, pa.int64()), pa.array(key, pa.int64()), pa.array(parts, pa.binary()), pa.nulls(empty, pa.int32()), pa.nulls(empty, pa.binary())],
-                names=["id", "n", "key", "parts", "block", "counts"],
+                [batch.column(0), batch.column(2), pa.array(n, pa.int64()), pa.array(key, pa.int64()), pa.array(parts, pa.binary()), pa.nulls(empty, pa.int32()), pa.nulls(empty, pa.binary())],
+                names=names,
             )
         blocks = [(i, counts[i * BLOCK : (i + 1) * BLOCK]) for i in range(BUCKETS // BLOCK)]
         blocks = [(i, zlib.compress(c.astype(np.int64).tobytes(), 1)) for i, c in blocks if c.any()]
         k = len(blocks)
         yield pa.RecordBatch.from_arrays(
-            [pa.nulls(k, batch_type), pa.nulls(k, pa.int64()), pa.nulls(k, pa.int64()), pa.nulls(k, pa.binary()), pa.array([i for i, _ in blocks], pa.int32()), pa.array([c for _, c in blocks], pa.binary())],
-            names=["id", "n", "key", "parts", "block", "counts"],
+            [pa.nulls(k, id_type), pa.nulls(k, pa.int64()), pa.nulls(k, pa.int64()), pa.nulls(k, pa.int64()), pa.nulls(k, pa.binary()), pa.array([i for i, _ in blocks], pa.int32()), pa.array([c for _, c in blocks], pa.binary())],
+            names=names,
         )
 
-    from pyspark.sql.pandas.types import to_arrow_type
-
-    batch_type = to_arrow_type(docs.schema[id_col].dataType)
-    source = docs.select(F.col(id_col).alias("id"), F.col(text_col).alias("text"))
-    both = scratch.keep(source.mapInArrow(run, f"id {kind}, n long, key long, parts binary, block int, counts binary"))
+    id_type = to_arrow_type(docs.schema[id_col].dataType)
+    names = ["id", "text_hash", "n", "key", "parts", "block", "counts"]
+    source = docs.select(F.col(id_col).alias("id"), F.col(text_col).alias("text"), F.xxhash64(text_col).alias("text_hash"))
+    both = scratch.keep(source.mapInArrow(run, f"id {kind}, text_hash long, n long, key long, parts binary, block int, counts binary"))
 
     def add(pdf):
         total = sum(np.frombuffer(zlib.decompress(c), dtype=np.int64) for c in pdf["counts"])
@@ -118,7 +118,7 @@ def class_table(docs: DataFrame, id_col: str, text_col: str, size: int, scratch:
     levels = np.zeros(BUCKETS, dtype=np.uint8)
     for r in tables.collect():  # BUCKETS / BLOCK rows
         levels[r["block"] * BLOCK : (r["block"] + 1) * BLOCK] = _level(np.frombuffer(zlib.decompress(r["counts"]), dtype=np.int64))
-    return both.filter("block is null").select("id", "n", "key", "parts"), levels
+    return both.filter("block is null").select("id", "text_hash", "n", "key", "parts"), levels
 
 
 def _prefixes(docs: DataFrame, text_col: str, size: int, num: int, den: int, levels, reducers: int) -> DataFrame:
@@ -439,15 +439,41 @@ def ngram_jaccard_join(docs: DataFrame, id_col: str = "doc_id", text_col: str =
     Sets are compared by 64-bit n-gram hashes, and equal sets are recognised
     by a 64-bit fingerprint of them.
     """
-    scratch = Scratch(docs.sparkSession, "jaccard")
+    out = _grouped(docs, id_col, text_col, size, num, den, Scratch(docs.sparkSession, "jaccard"))
+    return out.select(F.col("id").alias(id_col), F.col("n").alias("n_shingles"), "component_id")
+
+
+def _grouped(docs: DataFrame, id_col: str, text_col: str, size: int, num: int, den: int, scratch: Scratch) -> DataFrame:
+    """``id``, ``text_hash``, ``n``, ``component_id`` and ``component`` (null without words) by row."""
     classes, levels = class_table(docs, id_col, text_col, size, scratch)
     links = class_links(docs, text_col, classes, levels, size, num, den, scratch)
     parts = connected_components(links, scratch)
     of_class = classes.filter("n > 0").groupBy("key").agg(F.min("id").alias("low"))
     of_class = of_class.join(parts.withColumnRenamed("node", "key"), "key", "left").withColumn("component", F.coalesce("component", "key"))
     lowest = of_class.groupBy("component").agg(F.min("low").alias("component_id"))
-    names = of_class.join(lowest, "component").select("key", "component_id")
+    names = of_class.join(lowest, "component").select("key", "component", "component_id")
     shared = classes.filter("n > 0").join(names, "key")
-    alone = classes.filter("n = 0").withColumn("component_id", F.col("id"))
-    out = shared.select("id", "n", "component_id").unionByName(alone.select("id", "n", "component_id"))
-    return out.select(F.col("id").alias(id_col), F.col("n").alias("n_shingles"), "component_id")
+    alone = classes.filter("n = 0").withColumn("component_id", F.col("id")).withColumn("component", F.lit(None).cast("long"))
+    columns = ["id", "text_hash", "n", "component_id", "component"]
+    return shared.select(*columns).unionByName(alone.select(*columns))
+
+
+def drop_near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", size: int = 5, num: int = 75, den: int = 100) -> DataFrame:
+    """The rows of ``docs``, as they are, one of each group of linked documents:
+    that with the smallest id (of a smaller hash of its text, if ids repeat; a null id comes last).
+    Documents without words are in no group, and all stay."""
+    scratch = Scratch(docs.sparkSession, "jaccard")
+    grouped = scratch.keep(_grouped(docs, id_col, text_col, size, num, den, scratch))
+    first = grouped.filter("component is not null").groupBy("component").agg(F.min(F.struct(F.col("id").isNull().alias("none"), "id", "text_hash")).alias("k"))
+    keep = first.select(F.col("k.id").alias("_id"), F.col("k.text_hash").alias("_hash"), F.lit(True).alias("_one"))
+    empty = grouped.filter("component is null").select(F.col("id").alias("_id"), F.col("text_hash").alias("_hash"), F.lit(False).alias("_one"))
+    keep = scratch.keep(keep.unionByName(empty.distinct()))
+    # Row by row, the columns of docs under names that can't clash with those of the join.
+    rows = docs.toDF(*[f"c{i}" for i in range(len(docs.columns))])
+    i, t = docs.columns.index(id_col), docs.columns.index(text_col)
+    rows = rows.withColumn("_text", F.xxhash64(f"c{t}"))
+    out = rows.join(keep, F.col(f"c{i}").eqNullSafe(F.col("_id")) & (F.col("_text") == F.col("_hash")))
+    nth = F.row_number().over(Window.partitionBy("_id", "_hash").orderBy("_hash"))
+    one = out.filter("_one").withColumn("_nth", nth).filter("_nth = 1")
+    columns = [f"c{k}" for k in range(len(docs.columns))]
+    return one.select(*columns).unionByName(out.filter("not _one").select(*columns)).toDF(*docs.columns)

@@ -28,10 +28,10 @@ win AS (
   SELECT DISTINCT item_id, w, array_to_string(ws[i:i + w - 1], ' ') AS g
   FROM (SELECT item_id, ws, least(13, len(ws)) AS w, unnest(range(1, len(ws) - least(13, len(ws)) + 2)) AS i FROM b WHERE len(ws) > 0)),
 lens AS (SELECT DISTINCT w FROM win),
-at AS (
+spots AS (
   SELECT rid, i, w, array_to_string(ws[i:i + w - 1], ' ') AS g
   FROM (SELECT rid, ws, w, unnest(range(1, len(ws) - w + 2)) AS i FROM d, lens WHERE len(ws) >= w)),
-found AS (SELECT rid, i, at.w, item_id FROM at JOIN win ON at.g = win.g AND at.w = win.w),
+found AS (SELECT rid, i, spots.w, item_id FROM spots JOIN win ON spots.g = win.g AND spots.w = win.w),
 hit AS (SELECT rid, count(DISTINCT p) AS n FROM (SELECT rid, unnest(range(i, i + w)) AS p FROM (SELECT DISTINCT rid, i, w FROM found)) GROUP BY rid),
 items AS (SELECT rid, count(*) AS n, string_agg(s, ',' ORDER BY s) AS list FROM (SELECT DISTINCT rid, item_id::VARCHAR AS s FROM found WHERE item_id IS NOT NULL) GROUP BY rid)
 SELECT d.doc_id, len(d.ws)::BIGINT AS n_words, coalesce(hit.n, 0)::BIGINT AS n_hit, coalesce(items.n, 0)::BIGINT AS n_items,

@@ -253,7 +253,7 @@ def archive_round_trip(pages: DataFrame, id_col: str = "page_id", url_col: str =
 ORACLE = """
 WITH p AS (SELECT page_id, coalesce(html, '') AS html, sha1(coalesce(html, '')) AS hex FROM pages),
 k AS (SELECT hex, max(page_id) AS keeper FROM p GROUP BY hex)
-SELECT page_id, octet_length(html::BLOB)::BIGINT AS payload_bytes,
+SELECT page_id, octet_length(encode(html))::BIGINT AS payload_bytes,
        array_to_string(list_transform(range(32), lambda i:
          substr('ABCDEFGHIJKLMNOPQRSTUVWXYZ234567',
                 (((('0x' || substr(p.hex, 1 + 5 * (i // 4)::INT, 5))::INT) >> (15 - 5 * (i % 4))::INT) & 31) + 1, 1)), '') AS payload_digest,

@@ -56,7 +56,7 @@ def _features(texts: list[bytes]) -> np.ndarray:
     return out
 
 
-def _svm(x: np.ndarray, y: np.ndarray, scale: np.ndarray, penalty: float = 1e-3, rounds: int = 150) -> np.ndarray:
+def _svm(x: np.ndarray, y: np.ndarray, scale: np.ndarray, penalty: float = 1e-3, rounds: int = 60) -> np.ndarray:
     """Weights and bias of a linear SVM with squared hinge loss, by accelerated
     gradient descent; classes weigh the same."""
     x = np.concatenate((x * scale, np.ones((len(x), 1), dtype=np.float32)), axis=1)
@@ -144,7 +144,7 @@ class LanguageModel:
         return out
 
 
-def train(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", lang_col: str = "lang", per_language: int = 500, most_chars: int = 1 << 14) -> LanguageModel:
+def train(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", lang_col: str = "lang", per_language: int = 400, most_chars: int = 1 << 14) -> LanguageModel:
     """Fits on at most ``per_language`` rows of each language, of texts of at
     most ``most_chars`` characters, drawn by a hash of id and text among the ids whose
     crc32 (of the decimal text) isn't 2 modulo 4."""

@@ -1,4 +1,4 @@
-"""Queries by name and the SQL each is checked against."""
+"""Queries by name, and the SQL each is checked against."""
 
 from __future__ import annotations
 
@@ -7,12 +7,52 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from inkstone.operators import authorship, lexical, statistics
+from inkstone.plans import lexical_sql, oracles
 
-def word_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
-    docs = spark.read.parquet(f"{sf_dir}/documents.parquet")
-    return docs.select("doc_id", F.regexp_count("text", F.lit(r"[^\x20\x09-\x0D]+")).cast("long").alias("n_words"))
+Query = Callable[[SparkSession, str], DataFrame]
+DIGITS = 6
+QUERIES: dict[str, Query] = {}
+ORACLES: dict[str, str] = {}
 
 
-FLAGSHIP = "word_counts"
-QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {"word_counts": word_counts}
-ORACLES: dict[str, str] = {"word_counts": r"SELECT doc_id, CAST(len(regexp_extract_all(text, '[^\x20\x09-\x0D]+')) AS BIGINT) AS n_words FROM documents"}
+def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
+    return spark.read.parquet(f"{sf_dir}/{name}.parquet")
+
+
+def rounded(df: DataFrame, digits: int = DIGITS) -> DataFrame:
+    """Doubles to a fixed number of digits, as engines add up in different orders.
+    The small term moves exact halves off the edge, on which they'd differ as well."""
+    return df.select(*[F.round(F.col(c) + 1e-9, digits).alias(c) if t == "double" else F.col(c) for c, t in df.dtypes])
+
+
+def register(name: str, sql: str | None, query: Query) -> None:
+    QUERIES[name] = lambda spark, sf_dir: rounded(query(spark, sf_dir))
+    if sql:
+        ORACLES[name] = sql
+
+
+def over(name: str, sql: str | None, operator: Callable[[DataFrame], DataFrame], source: str = "documents") -> None:
+    """An operator of one table as a query."""
+    register(name, sql, lambda spark, sf_dir: operator(table(spark, sf_dir, source)))
+
+
+FLAGSHIP = "document_analysis"
+over("document_analysis", oracles.ANALYSIS, authorship.analyze)
+over("category_scores", oracles.CATEGORY_SCORES, authorship.category_scores)
+over("findings", oracles.FINDINGS, authorship.findings)
+over("vocabulary", oracles.VOCABULARY, statistics.vocabulary)
+over("sequence_statistics", oracles.SEQUENCE, statistics.sequence_statistics)
+over("ngram_repetition", oracles.NGRAMS, statistics.ngram_repetition)
+over("bigram_perplexity", oracles.PERPLEXITY, statistics.bigram_perplexity)
+over("adjacent_similarity", oracles.ADJACENT, statistics.adjacent_similarity)
+over("top_words", oracles.TOP_WORDS, statistics.top_words)
+over("repeated_phrases", oracles.PHRASES, statistics.repeated_phrases)
+over("segment_counts", oracles.SEGMENTS, lambda docs: statistics.segment_counts(docs).drop("tokens_ext"))
+over("lexicon_word_counts", lexical_sql.WORD_COUNTS, lexical.word_counts)
+over("lexicon_phrase_counts", lexical_sql.PHRASE_COUNTS, lexical.phrase_counts)
+over("lexicon_stem_counts", lexical_sql.STEM_COUNTS, lexical.stem_counts)
+over("contained_phrases", lexical_sql.CONTAINED, lexical.contained_phrases)
+over("pattern_counts", lexical_sql.PATTERN_COUNTS, lexical.pattern_counts)
+over("word_shapes", None, lexical.word_shapes)
+over("readability", lexical_sql.READABILITY, lexical.readability)

@@ -10,19 +10,21 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-ZERO = F.lit(0.0)
-
 
 def lit(x: float) -> Column:
     return F.lit(float(x))
 
 
+def zero() -> Column:
+    return F.lit(0.0)
+
+
 def total(a: Column) -> Column:
-    return F.aggregate(a, ZERO, lambda acc, x: acc + x.cast("double"))
+    return F.aggregate(a, zero(), lambda acc, x: acc + x.cast("double"))
 
 
 def total_by(a: Column, f) -> Column:
-    return F.aggregate(a, ZERO, lambda acc, x: acc + f(x).cast("double"))
+    return F.aggregate(a, zero(), lambda acc, x: acc + f(x).cast("double"))
 
 
 def size(a: Column) -> Column:
@@ -48,9 +50,9 @@ def moment(a: Column, k: int) -> Column:
             raw = acc["s3"] / acc["n"] - lit(3) * m * acc["s2"] / acc["n"] + lit(2) * m * m * m
         else:
             raw = acc["s4"] / acc["n"] - lit(4) * m * acc["s3"] / acc["n"] + lit(6) * m * m * acc["s2"] / acc["n"] - lit(3) * m * m * m * m
-        return F.when(acc["n"] > 0, raw).otherwise(ZERO)
+        return F.when(acc["n"] > 0, raw).otherwise(zero())
 
-    start = F.struct(ZERO.alias("n"), ZERO.alias("s"), ZERO.alias("s2"), ZERO.alias("s3"), ZERO.alias("s4"))
+    start = F.struct(zero().alias("n"), zero().alias("s"), zero().alias("s2"), zero().alias("s3"), zero().alias("s4"))
 
     def step(acc, x):
         d = x.cast("double")
@@ -61,7 +63,7 @@ def moment(a: Column, k: int) -> Column:
 
 def var_pop(a: Column) -> Column:
     """Population variance; tiny negative rounding is cut to 0."""
-    return F.greatest(ZERO, moment(a, 2))
+    return F.greatest(zero(), moment(a, 2))
 
 
 def std_pop(a: Column) -> Column:
@@ -70,12 +72,12 @@ def std_pop(a: Column) -> Column:
 
 def cv(a: Column) -> Column:
     """Coefficient of variation, 0 for fewer than two values or a zero mean."""
-    return F.when(F.size(a) >= 2, ratio(std_pop(a), mean(a))).otherwise(ZERO)
+    return F.when(F.size(a) >= 2, ratio(std_pop(a), mean(a))).otherwise(zero())
 
 
 def burstiness(a: Column) -> Column:
     s, m = std_pop(a), mean(a)
-    return F.when(F.size(a) >= 2, ratio(s - m, s + m)).otherwise(ZERO)
+    return F.when(F.size(a) >= 2, ratio(s - m, s + m)).otherwise(zero())
 
 
 def uniformity(a: Column) -> Column:
@@ -115,6 +117,16 @@ def with_run_counts(df: DataFrame, **of: str) -> DataFrame:
     return df.drop(*[f"_{x}_{k}" for k in of for x in "se"])
 
 
+def fenced(df: DataFrame) -> DataFrame:
+    """The same rows, of which a later filter is not moved below this point.
+
+    The optimizer moves filters through projections by putting the columns'
+    expressions in their place, which would compute a long chain of statistics
+    once more for every mention of each step.
+    """
+    return df.select(F.inline(F.array(F.struct(*df.columns))))
+
+
 def entropy_bits(counts: Column, n: Column) -> Column:
     """Shannon entropy of counts that sum to n."""
     return -total_by(F.filter(counts, lambda c: c > 0), lambda c: (c / n) * F.log2(c / n))
@@ -126,20 +138,20 @@ def percentile(a: Column, p: float) -> Column:
     at = lit(p / 100) * (size(a) - 1)
     low, high = F.floor(at).cast("int"), F.ceil(at).cast("int")
     x, y = F.get(s, low).cast("double"), F.get(s, high).cast("double")
-    return F.when(F.size(a) > 0, F.when(low == high, x).otherwise(x * (high - at) + y * (at - low))).otherwise(ZERO)
+    return F.when(F.size(a) > 0, F.when(low == high, x).otherwise(x * (high - at) + y * (at - low))).otherwise(zero())
 
 
 def skewness(a: Column) -> Column:
     """Adjusted coefficient over the population deviation; 0 below three values."""
     n, s = size(a), std_pop(a)
-    return F.when((F.size(a) >= 3) & (s > 0), n / ((n - 1) * (n - 2)) * n * moment(a, 3) / (s * s * s)).otherwise(ZERO)
+    return F.when((F.size(a) >= 3) & (s > 0), n / ((n - 1) * (n - 2)) * n * moment(a, 3) / (s * s * s)).otherwise(zero())
 
 
 def kurtosis(a: Column) -> Column:
     """Adjusted excess coefficient over the population deviation; 0 below four values."""
     n, v = size(a), var_pop(a)
     z4 = n * moment(a, 4) / (v * v)
-    return F.when((F.size(a) >= 4) & (v > 0), n * (n + 1) / ((n - 1) * (n - 2) * (n - 3)) * z4 - lit(3) * (n - 1) * (n - 1) / ((n - 2) * (n - 3))).otherwise(ZERO)
+    return F.when((F.size(a) >= 4) & (v > 0), n * (n + 1) / ((n - 1) * (n - 2) * (n - 3)) * z4 - lit(3) * (n - 1) * (n - 1) / ((n - 2) * (n - 3))).otherwise(zero())
 
 
 def gini(a: Column) -> Column:
@@ -156,7 +168,7 @@ def window_variances(a: Column, w: int) -> Column:
 def autocorrelation(a: Column, m: Column, v: Column, lag: int) -> Column:
     """Of values with mean m and variance v; 0 where undefined."""
     products = lagged_pairs(a, lambda x, y: (x - m) * (y - m), lag)
-    return F.when((F.size(a) > lag) & (v > 0), total(products) / (size(a) * v)).otherwise(ZERO)
+    return F.when((F.size(a) > lag) & (v > 0), total(products) / (size(a) * v)).otherwise(zero())
 
 
 def ngrams(tokens: Column, n: int) -> Column:

@@ -42,7 +42,7 @@ def segmented(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -
 def _slope(freqs: Column) -> Column:
     """Of ln(frequency) over ln(rank); null for fewer than two ranks."""
     points = F.transform(freqs, lambda c, i: F.struct(F.log(i + lit(1)).alias("x"), F.log(c.cast("double")).alias("y")))
-    zero = F.struct(*[A.ZERO.alias(k) for k in ("n", "x", "y", "xy", "xx")])
+    zero = F.struct(*[A.zero().alias(k) for k in ("n", "x", "y", "xy", "xx")])
 
     def step(a, p):
         return F.struct(
@@ -144,7 +144,7 @@ def analyze(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") ->
     stable = (F.col("n_local") >= 3) & (F.col("len_cv") > 0.6) & (F.col("local_mean") > 0) & (F.col("local_var") < 0.3 * F.col("local_mean"))
     broken = F.abs(F.col("p_vocabulary") - F.col("p_syntax")) > 0.4
     blank = F.col("blank")
-    return s.select(
+    out = s.select(
         "doc_id", F.col("p").alias("ai_probability"), (1 - F.col("p")).alias("human_probability"), F.col("c").alias("confidence"),
         F.when(~blank, low).alias("ci_lower"), F.when(~blank, high).alias("ci_upper"),
         F.when(blank, "Unknown").otherwise(S.verdict_label(F.col("p"))).alias("verdict"),
@@ -155,6 +155,7 @@ def analyze(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") ->
         (lit(206.835) - lit(1.015) * F.col("words_per_sentence") - lit(84.6) * F.col("syllables_per_word")).alias("reading_ease"),
         (stable & ~blank).alias("stable_variance"), (broken & ~blank).alias("broken_correlation"), (stable & broken & ~blank).alias("likely_humanized"),
     )
+    return A.fenced(out)
 
 
 def category_scores(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:

@@ -103,7 +103,7 @@ def word_shapes(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text")
         )
         return step.cast("long")
 
-    return d.select(
+    out = d.select(
         "doc_id", F.size("w").cast("long").alias("n_words"), A.mean(F.col("k")).alias("mean_length"), A.std_pop(F.col("k")).alias("std_length"), A.skewness(F.col("k")).alias("skew_length"),
         A.mean(F.col("y")).alias("mean_syllables"), A.std_pop(F.col("y")).alias("std_syllables"),
         (F.size(F.filter("y", lambda x: x == 1)) / n).alias("monosyllabic"), (F.size(F.filter("y", lambda x: x >= 3)) / n).alias("polysyllabic"),
@@ -113,6 +113,7 @@ def word_shapes(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text")
         A.entropy_bits(F.col("counts"), F.size("w").cast("double")).alias("entropy"),
         (lit(1) + share(lambda x: (F.length(x) > 3) & x.rlike("^(?:un|re|in|dis|pre|mis)")) + share(lambda x: (F.length(x) > 3) & x.rlike("(?:tion|sion|ness|ment|able|ible|ful|less|ous|ive|ing|ed|ly|er|est)$"))).alias("morphemes"),
     )
+    return A.fenced(out)
 
 
 def readability(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:

@@ -14,7 +14,7 @@ from inkstone.operators.authorship import segmented
 
 def _fit(points: Column) -> Column:
     """Sums of a straight-line fit: n, x, y, xy, xx, yy."""
-    zero = F.struct(*[A.ZERO.alias(k) for k in ("n", "x", "y", "xy", "xx", "yy")])
+    zero = F.struct(*[A.zero().alias(k) for k in ("n", "x", "y", "xy", "xx", "yy")])
     return F.aggregate(
         points,
         zero,
@@ -50,7 +50,7 @@ def vocabulary(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text")
     def atleast(k: int, x: Column) -> Column:
         return F.when(n >= k, x).otherwise(lit(0))
 
-    return s.select(
+    out = s.select(
         "doc_id", n.cast("long").alias("n_tokens"), v.cast("long").alias("n_types"),
         A.ratio(v, n).alias("ttr"), A.ratio(v, F.sqrt(n)).alias("root_ttr"), atleast(2, F.log(v) / F.log(n)).alias("log_ttr"),
         F.when(n >= 50, F.col("segments")).otherwise(A.ratio(v, n)).alias("msttr"),
@@ -62,6 +62,7 @@ def vocabulary(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text")
         slope.alias("zipf_slope"), F.when((n >= 20) & (below > 1e-9) & (spread > 1e-9), r * r / (below * spread)).otherwise(lit(0)).alias("zipf_r2"),
         F.when(n >= 20, 1 - F.least(lit(1), F.abs(slope + 1))).otherwise(lit(0.5)).alias("zipf_compliance"),
     )
+    return A.fenced(out)
 
 
 def sequence_statistics(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
@@ -111,7 +112,7 @@ def sequence_statistics(docs: DataFrame, id_col: str = "doc_id", text_col: str =
         F.when(ten, runs).otherwise(lit(0)).cast("long").alias("runs"), z.alias("runs_z"), (F.abs(z) < 1.96).alias("runs_random"),
         F.when((n >= 3) & (m > 0), 1 / (1 + chi / (n - 1))).otherwise(lit(0)).alias("chi_uniformity"),
     )
-    return out
+    return A.fenced(out)
 
 
 def ngram_repetition(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", longest: int = 5) -> DataFrame:
@@ -145,7 +146,7 @@ def bigram_perplexity(docs: DataFrame, id_col: str = "doc_id", text_col: str = "
     contexts = counts.groupBy("doc_id", "x").agg(F.sum("c").alias("k"), F.collect_list("c").alias("cs"), F.count("*").alias("types"))
     # Of a context with k followers: the sum over its pairs of c * log2((c + 1) / (k + types)); types come at the document's level.
     by_doc = contexts.groupBy("doc_id").agg(F.sum("types").cast("double").alias("v"), F.sum("k").cast("double").alias("n"), F.collect_list(F.struct("k", "cs")).alias("parts"))
-    bits = F.aggregate("parts", A.ZERO, lambda a, p: a + A.total_by(p["cs"], lambda c: c * F.log2((c + 1) / (p["k"] + F.col("v")))))
+    bits = F.aggregate("parts", A.zero(), lambda a, p: a + A.total_by(p["cs"], lambda c: c * F.log2((c + 1) / (p["k"] + F.col("v")))))
     found = by_doc.select("doc_id", (-bits / F.col("n")).alias("h"))
     out = tokens.select("doc_id", F.size("tokens").alias("n_tokens")).join(found, "doc_id", "left")
     enough = F.col("n_tokens") >= 12

@@ -302,3 +302,111 @@ SELECT doc_id, length(regexp_replace(text, '[{WS}]+', '', 'g'))::BIGINT AS lette
   len(list_filter(string_split(regexp_replace(regexp_replace(text, '[|]', chr(2), 'g'), '([.!?])[{WS}]+', '\1' || chr(2), 'g'), chr(2)), lambda s: length({trimmed("s")}) > 5))::BIGINT AS sentences_bench,
   len(list_filter(string_split_regex(text, '\n[{WS}]*\n'), lambda s: {trimmed("s")} <> ''))::BIGINT AS paragraphs
 FROM f"""
+
+_V1W = "regexp_extract_all(lower({0}), '[a-z''-]+')"
+_SYL1 = """CASE WHEN length(x) <= 3 THEN 1 ELSE greatest(1, len(regexp_extract_all(x, '[aeiouy]+')) - CASE WHEN x LIKE '%e' THEN 1 ELSE 0 END + CASE WHEN regexp_matches(x, '[^aeiouy]le$') THEN 1 ELSE 0 END) END"""
+_RATE = lambda sign: f"len(regexp_extract_all(text, '{sign}')) / s"
+_FEATURES = {
+    "sentence_count": "s", "avg_sentence_length": "am", "sentence_length_cv": "cv", "sentence_length_std": "sd", "sentence_length_min": "lo", "sentence_length_max": "hi", "sentence_length_range": "hi - lo",
+    "sentence_length_skewness": "CASE WHEN m >= 3 AND sd > 0 THEN s3 / pow(sd, 3) * m / ((m - 1) * (m - 2)) ELSE 0 END", "sentence_length_kurtosis": "CASE WHEN m >= 4 AND sd > 0 THEN s4 / m / pow(sd, 4) - 3 ELSE 0 END",
+    "word_count": "n", "unique_word_count": "v", "type_token_ratio": "v / n", "hapax_count": "v1", "hapax_ratio": "v1 / v", "dis_legomena_ratio": "v2 / v",
+    "zipf_slope": "CASE WHEN v >= 5 THEN slope ELSE -1 END", "zipf_r_squared": "CASE WHEN v >= 5 AND syy * v > 1e-9 THEN r2 ELSE 0 END", "zipf_residual_std": "CASE WHEN v >= 5 THEN sqrt(greatest(0, syy - slope * slope * sxx) / v) ELSE 0 END",
+    "burstiness_sentence": "CASE WHEN m >= 2 AND sd + am <> 0 THEN (sd - am) / (sd + am) ELSE 0 END", "burstiness_word_length": "(ks - km) / (ks + km)",
+    "avg_word_length": "wm", "word_length_cv": "ws / wm", "syllable_ratio": "y / n", "flesch_kincaid_grade": "0.39 * n / s + 11.8 * y / n - 15.59",
+    "automated_readability_index": f"4.71 * length(regexp_replace(text, '[{WS}]', '', 'g')) / n + 0.5 * n / s - 21.43",
+    "bigram_repetition_rate": "g2", "trigram_repetition_rate": "g3", "sentence_similarity_avg": "coalesce(sim, 0)",
+    "comma_rate": _RATE(","), "semicolon_rate": _RATE(";"), "question_rate": _RATE("[?]"), "exclamation_rate": _RATE("!"),
+    "paragraph_count": "np", "avg_paragraph_length": "pm", "paragraph_length_cv": "CASE WHEN pm <> 0 THEN coalesce(ps, 0) / pm ELSE 0 END", "overall_uniformity": "1 - cv", "complexity_cv": "cv",
+}
+FEATURES = rf"""
+WITH d AS (SELECT doc_id, coalesce(text, '') AS text FROM documents),
+se AS (
+  SELECT doc_id, no, replace(s, chr(1), '.') AS s FROM (
+    SELECT doc_id, unnest(range(1, len(ps) + 1)) AS no, unnest(ps) AS s FROM (SELECT doc_id, {_V1} AS ps FROM d))
+  WHERE len(regexp_extract_all(s, '[^{WS}]+')) >= 2),
+sl AS (SELECT doc_id, no, s, {_V1W.format("s")} AS ws, len({_V1W.format("s")})::DOUBLE AS x FROM se),
+a AS (SELECT doc_id, x FROM sl WHERE x > 0),
+ag AS (SELECT doc_id, count(*)::DOUBLE AS m, avg(x) AS am, coalesce(stddev_samp(x), 0) AS sd, min(x) AS lo, max(x) AS hi FROM a GROUP BY doc_id),
+am4 AS (SELECT doc_id, sum(pow(x - am, 3)) AS s3, sum(pow(x - am, 4)) AS s4 FROM a JOIN ag USING (doc_id) GROUP BY doc_id),
+w AS (SELECT doc_id, unnest(range(1, len(ws) + 1)) AS pos, unnest(ws) AS x, ws FROM (SELECT doc_id, {_V1W.format("text")} AS ws FROM d)),
+cnt AS (SELECT doc_id, x, count(*) AS c FROM w GROUP BY ALL),
+voc AS (SELECT doc_id, sum(c)::DOUBLE AS n, count(*)::DOUBLE AS v, count(*) FILTER (c = 1) AS v1, count(*) FILTER (c = 2) AS v2 FROM cnt GROUP BY doc_id),
+zipf AS (SELECT doc_id, regr_slope(y, x) AS slope, regr_r2(y, x) AS r2, regr_syy(y, x) AS syy, regr_sxx(y, x) AS sxx FROM (SELECT doc_id, ln(row_number() OVER (PARTITION BY doc_id ORDER BY c DESC)) AS x, ln(c) AS y FROM cnt) GROUP BY doc_id),
+wl AS (SELECT doc_id, avg(length(x)) AS wm, stddev_samp(length(x)) AS ws, avg(length(x)) FILTER (pos <= 100) AS km, stddev_samp(length(x)) FILTER (pos <= 100) AS ks, sum({_SYL1}) AS y FROM w GROUP BY doc_id),
+g AS (
+  SELECT doc_id, k, count(*) FILTER (c > 1) / count(*) AS r FROM (
+    SELECT doc_id, k, array_to_string(ws[pos:pos + k - 1], ' ') AS z, count(*) AS c FROM w, (SELECT unnest([2, 3]) AS k) WHERE pos + k - 1 <= len(ws) GROUP BY ALL) GROUP BY doc_id, k),
+gg AS (SELECT doc_id, max(r) FILTER (k = 2) AS g2, max(r) FILTER (k = 3) AS g3 FROM g GROUP BY doc_id),
+pr AS (SELECT doc_id, list_distinct(ws) AS b, lag(list_distinct(ws)) OVER (PARTITION BY doc_id ORDER BY no) AS a, row_number() OVER (PARTITION BY doc_id ORDER BY no) AS r FROM sl),
+si AS (SELECT doc_id, avg(len(list_intersect(a, b)) / (len(a) + len(b) - len(list_intersect(a, b)))) AS sim FROM pr WHERE r > 1 AND len(a) + len(b) > 0 GROUP BY doc_id),
+pa AS (SELECT doc_id, len({_V1W.format("p")})::DOUBLE AS x FROM (SELECT doc_id, unnest(list_filter(string_split_regex(text, '\n[{WS}]*\n'), lambda q: {trimmed("q")} <> '')) AS p FROM d)),
+pg AS (SELECT doc_id, count(*) AS np, coalesce(avg(x) FILTER (x > 0), 1) AS pm, stddev_samp(x) FILTER (x > 0) AS ps FROM pa GROUP BY doc_id),
+j AS (
+  SELECT d.doc_id, text, (SELECT count(*) FROM se WHERE se.doc_id = d.doc_id)::DOUBLE AS s, * EXCLUDE (doc_id, text), CASE WHEN m >= 2 AND am <> 0 THEN sd / am ELSE 0 END AS cv
+  FROM d LEFT JOIN ag USING (doc_id) LEFT JOIN am4 USING (doc_id) LEFT JOIN voc USING (doc_id) LEFT JOIN zipf USING (doc_id) LEFT JOIN wl USING (doc_id)
+  LEFT JOIN gg USING (doc_id) LEFT JOIN si USING (doc_id) LEFT JOIN pg USING (doc_id))
+SELECT doc_id, {", ".join(f"round((CASE WHEN n >= 10 AND s >= 2 THEN {v} ELSE 0 END)::DOUBLE + 1e-9, 6) AS {k}" for k, v in _FEATURES.items())}
+FROM j"""
+
+_COUNTS = "count(*) FILTER (said AND y = 1) AS tp, count(*) FILTER (said AND y = 0) AS fp, count(*) FILTER (NOT said AND y = 1) AS fn, count(*) FILTER (NOT said AND y = 0) AS tn, count(*) FILTER (sure) AS su, count(*) FILTER (sure AND said = (y = 1)) AS sr"
+_PRED = f"WITH {SCORES}, pr AS (SELECT an.doc_id, p, quality AS y, p >= 0.5 AS said, p >= 0.8 OR p <= 0.2 AS sure, documents.lang, documents.source, CASE WHEN nw < 50 THEN 'short' WHEN nw < 200 THEN 'medium' ELSE 'long' END AS length FROM an JOIN labels USING (doc_id) JOIN documents USING (doc_id))"
+
+
+def _q(a: str, b: str) -> str:
+    return f"round((CASE WHEN {b} <> 0 THEN ({a}) / ({b}) ELSE 0 END)::DOUBLE + 1e-9, 6)"
+
+
+_RATES = f"""tp, fp, fn, tn, {_q("tp + tn", "(tp + fp + fn + tn)")} AS accuracy, {_q("tp", "(tp + fp)")} AS precision, {_q("tp", "(tp + fn)")} AS recall, {_q("2 * tp", "(2 * tp + fp + fn)")} AS f1,
+  {_q("fp", "(fp + tn)")} AS false_positive_rate, {_q("fn", "(fn + tp)")} AS false_negative_rate, {_q("su", "(tp + fp + fn + tn)")} AS sure_share, {_q("sr", "su")} AS sure_accuracy"""
+METRICS_BY = f"""{_PRED}
+SELECT breakdown, value, {_RATES} FROM (
+  SELECT 'all' AS breakdown, NULL AS value, {_COUNTS} FROM pr UNION ALL
+  SELECT 'lang', lang, {_COUNTS} FROM pr GROUP BY lang UNION ALL SELECT 'source', source, {_COUNTS} FROM pr GROUP BY source UNION ALL SELECT 'length', length, {_COUNTS} FROM pr GROUP BY length)"""
+AUC = f"""{_PRED}
+SELECT round((sum(CASE WHEN a.p > b.p THEN 1 WHEN a.p = b.p THEN 0.5 ELSE 0 END) / count(*))::DOUBLE + 1e-9, 6) AS auc, count(DISTINCT a.doc_id) AS n_positive, count(DISTINCT b.doc_id) AS n_negative
+FROM (SELECT doc_id, round(p::DOUBLE, 9) AS p FROM pr WHERE y = 1) a, (SELECT doc_id, round(p::DOUBLE, 9) AS p FROM pr WHERE y = 0) b"""
+_COMPARED = ("len_cv", "ttr", "hapax_per_type", "syllables_per_word")
+_SQL_OF = {"len_cv": "cv", "ttr": "ttr", "hapax_per_type": "hpt", "syllables_per_word": "spw"}
+COMPARE = f"""WITH {SCORES},
+x AS (SELECT quality AS y, unnest([{", ".join(f"'{c}'" for c in _COMPARED)}]) AS feature, unnest([{", ".join(f"{_SQL_OF[c]}::DOUBLE" for c in _COMPARED)}]) AS v FROM f JOIN labels USING (doc_id)),
+g AS (SELECT feature, avg(v) FILTER (y = 0) AS m0, avg(v) FILTER (y = 1) AS m1, var_pop(v) FILTER (y = 0) AS v0, var_pop(v) FILTER (y = 1) AS v1, count(*) FILTER (y = 0) AS n0, count(*) FILTER (y = 1) AS n1 FROM x GROUP BY feature),
+t AS (SELECT *, (m0 - m1) / sqrt(v0 / n0 + v1 / n1) AS t FROM g)
+SELECT feature, {_D("m0")} AS mean_0, {_D("m1")} AS mean_1, n0 AS n_0, n1 AS n_1, {_D("(m0 - m1) / sqrt((v0 + v1) / 2)")} AS effect, {_D("t")} AS t,
+  {_D("CASE WHEN abs(t) > 10 THEN 0.0001 WHEN abs(t) > 5 THEN 0.001 WHEN abs(t) > 3 THEN 0.01 WHEN abs(t) > 2 THEN 0.05 ELSE 0.1 END")} AS p_value FROM t"""
+
+from inkstone.operators.formatting import HIDDEN, STYLE  # noqa: E402
+
+
+def _n(p: str) -> str:
+    return "len(regexp_extract_all(text, '" + p.replace("'", "''") + "'))::BIGINT"
+
+
+FORMATTING = f"""
+WITH d AS (SELECT doc_id, coalesce(text, '') AS text FROM documents),
+l AS (SELECT doc_id, stddev_pop(k) AS sd, avg(k) AS m, count(*) AS n FROM (SELECT doc_id, len(regexp_extract_all(x, ' ')) AS k FROM (SELECT doc_id, unnest(string_split(text, chr(10))) AS x FROM d)) GROUP BY doc_id),
+c AS (SELECT doc_id, text, length(text)::BIGINT AS n_chars, {", ".join(f"{_n(p)} AS {k}" for k, p in {**STYLE, **{f"hidden_{k}": p for k, p in HIDDEN.items()}}.items())} FROM d)
+SELECT doc_id, n_chars, n::BIGINT AS n_lines, {", ".join(STYLE)}, {", ".join(f"hidden_{k}" for k in HIDDEN)}, {" + ".join(f"hidden_{k}" for k in HIDDEN)} AS hidden, n_chars - ascii - extended AS unicode,
+  len(list_filter(string_split(text, chr(10)), lambda x: regexp_matches(x, '[ \\t]+$')))::BIGINT AS trailing_blanks, (crlf > 0)::INT + (lf > 0)::INT + (cr > 0)::INT > 1 AS mixed_line_ends,
+  {_D("CASE WHEN n > 1 THEN 1 - least(1, CASE WHEN m <> 0 THEN sd / m ELSE 0 END) ELSE 0.5 END")} AS line_uniformity,
+  {_D("CASE WHEN one_space + two_spaces > 0 THEN greatest(one_space, two_spaces) / (one_space + two_spaces) ELSE 1 END")} AS spacing_uniformity,
+  one_space + two_spaces > 0 AND (one_space = 0 OR two_spaces = 0) AS spacing_consistent
+FROM c JOIN l USING (doc_id)"""
+
+SAMPLE_REPORT = r"""
+WITH s AS (SELECT text, quality AS label, source, len(regexp_extract_all(text, '\S+')) AS n FROM documents JOIN labels USING (doc_id) WHERE len(regexp_extract_all(text, '\S+')) >= 20)
+SELECT source, count(*)::BIGINT AS n, count(*) FILTER (label = 0) AS n_human, count(*) FILTER (label = 1) AS n_machine, round(avg(n)::DOUBLE + 1e-9, 6) AS mean_words, min(n)::BIGINT AS least_words, max(n)::BIGINT AS most_words FROM s GROUP BY source"""
+BALANCED = """
+WITH s AS (SELECT doc_id, text, quality AS label FROM documents JOIN labels USING (doc_id)),
+k AS (SELECT *, md5('42-' || text) AS key FROM s)
+SELECT doc_id, label FROM (SELECT *, row_number() OVER (PARTITION BY label ORDER BY key, doc_id) AS r FROM k) WHERE r <= (SELECT min(c) FROM (SELECT count(*) AS c FROM s GROUP BY label))"""
+PASTED = r"""
+SELECT page_id, CASE WHEN contains(html, 'docs-internal-guid') OR contains(html, 'google-docs') THEN 'google-docs' WHEN contains(html, 'MsoNormal') OR contains(html, 'Microsoft') THEN 'microsoft-office' WHEN contains(html, 'notion') THEN 'notion' ELSE 'unknown' END AS pasted_from,
+  array_to_string(list_filter([CASE WHEN contains(html, '&nbsp;') THEN 'non-breaking-spaces' END, CASE WHEN regexp_matches(html, '(?i)style\s*=\s*["''][^"'']*font') THEN 'inline-font-styles' END,
+    CASE WHEN contains(html, '<!--') THEN 'html-comments' END, CASE WHEN regexp_matches(html, '[\x{200B}\x{200C}\x{200D}\x{FEFF}]') THEN 'zero-width-characters' END], lambda x: x IS NOT NULL), ',') AS hidden
+FROM pages"""
+TURNS = r"""
+SELECT role, count(*)::BIGINT AS n_turns, count(DISTINCT conv_id)::BIGINT AS n_conversations, sum(len(regexp_extract_all(lower(text), '[a-z0-9_''-]+')))::BIGINT AS n_tokens FROM conversations GROUP BY role"""
+NEAREST = """
+WITH v AS (SELECT vec_id, embedding::DOUBLE[] AS e, label FROM embeddings),
+c AS (SELECT label, list(m ORDER BY i) AS c FROM (SELECT label, i, avg(x) AS m FROM (SELECT label, unnest(e) AS x, unnest(range(len(e))) AS i FROM v) GROUP BY label, i) GROUP BY label)
+SELECT v.vec_id, round(list_cosine_similarity(e, c) + 1e-9, 6) AS similarity FROM v JOIN c USING (label)"""

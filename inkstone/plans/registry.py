@@ -7,8 +7,10 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from inkstone.operators import authorship, lexical, statistics
+from inkstone.functions import arrays, segment
+from inkstone.operators import authorship, evaluation, features, formatting, lexical, statistics
 from inkstone.plans import lexical_sql, oracles
+from inkstone.sources import files, samples, sinks
 
 Query = Callable[[SparkSession, str], DataFrame]
 DIGITS = 6
@@ -56,3 +58,53 @@ over("contained_phrases", lexical_sql.CONTAINED, lexical.contained_phrases)
 over("pattern_counts", lexical_sql.PATTERN_COUNTS, lexical.pattern_counts)
 over("word_shapes", None, lexical.word_shapes)
 over("readability", lexical_sql.READABILITY, lexical.readability)
+over("formatting", oracles.FORMATTING, formatting.formatting)
+over("classic_features", oracles.FEATURES, features.classic_features)
+
+
+def predictions(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Analyses of labelled documents; ``quality`` stands in for a label of authorship."""
+    docs, labels = table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels")
+    known = docs.join(labels.select("doc_id", F.col("quality").alias("label")), "doc_id")
+    p = authorship.analyze(known).select("doc_id", F.col("ai_probability").alias("p"), "words", "len_cv", "ttr", "hapax_per_type", "syllables_per_word")
+    return known.select("doc_id", "label", "lang", "source").join(p, "doc_id").withColumn("length", evaluation.length_class(F.col("words")))
+
+
+def labelled_documents(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return table(spark, sf_dir, "documents").join(table(spark, sf_dir, "labels").select("doc_id", F.col("quality").alias("label")), "doc_id")
+
+
+def _auc(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return evaluation.auc(predictions(spark, sf_dir).withColumn("p", F.round("p", 9)))
+
+
+def _report(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = labelled_documents(spark, sf_dir).filter(F.regexp_count("text", F.lit(r"\S+")) >= 20)
+    return samples.load_report(docs)
+
+
+def _pasted(pages: DataFrame) -> DataFrame:
+    return pages.select("page_id", files.pasted_from(F.col("html")).alias("pasted_from"), F.array_join(files.hidden_formatting(F.col("html")), ",").alias("hidden"))
+
+
+def _turns(turns: DataFrame) -> DataFrame:
+    n = F.size(segment.tokens_web(F.col("text"))).cast("long")
+    return turns.groupBy("role").agg(F.count("*").alias("n_turns"), F.count_distinct("conv_id").alias("n_conversations"), F.sum(n).alias("n_tokens"))
+
+
+def _centre_similarity(vectors: DataFrame) -> DataFrame:
+    """Cosine of each vector with the mean of its label."""
+    each = vectors.select("label", F.posexplode("embedding").alias("i", "x")).groupBy("label", "i").agg(F.avg(F.col("x").cast("double")).alias("m"))
+    centre = each.groupBy("label").agg(F.transform(F.array_sort(F.collect_list(F.struct("i", "m"))), lambda s: s["m"]).alias("c"))
+    return vectors.join(centre, "label").select("vec_id", arrays.cosine(F.col("embedding"), F.col("c")).alias("similarity"))
+
+
+register("metrics_by_group", oracles.METRICS_BY, lambda spark, sf_dir: evaluation.metrics_by(predictions(spark, sf_dir), ["lang", "source", "length"]))
+register("auc", oracles.AUC, _auc)
+register("class_comparison", oracles.COMPARE, lambda spark, sf_dir: evaluation.compare_classes(predictions(spark, sf_dir), ["len_cv", "ttr", "hapax_per_type", "syllables_per_word"]))
+register("sample_report", oracles.SAMPLE_REPORT, _report)
+register("balanced_samples", oracles.BALANCED, lambda spark, sf_dir: samples.balance(labelled_documents(spark, sf_dir)).select("doc_id", "label"))
+over("pasted_from", oracles.PASTED, _pasted, "pages")
+over("turns_by_role", oracles.TURNS, _turns, "conversations")
+over("centre_similarity", oracles.NEAREST, _centre_similarity, "embeddings")
+register("report_lines", None, lambda spark, sf_dir: sinks.minimal(authorship.analyze(table(spark, sf_dir, "documents"))))

@@ -15,6 +15,7 @@ import pyarrow.compute  # noqa: F401
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from inkstone.llm.scratch import bounded_batches
 from inkstone.llm.wordhash import U64, column_bytes, mix
 
 #: Production rules: verdict and host with path.
@@ -37,7 +38,8 @@ def with_rules(pages: DataFrame, url_col: str, rules=RULES) -> DataFrame:
     after = rest.substr(F.length(host) + 1, F.greatest(F.length(rest), F.lit(1)))
     path = F.regexp_extract(after, r"^[^?#]*", 0)
     out = pages.withColumn("host", _lower(host)).withColumn("path", path)
-    rule, verdict = F, F
+    none = F.lit(None).cast("string")
+    rule, verdict = F.when(F.lit(False), none), F.when(F.lit(False), none)
     for what, text in sorted(rules, key=lambda r: (-len(r[1]), r)):
         h, p = text.split("/", 1)
         fits = ((F.col("host") == h) | F.col("host").endswith("." + h)) & F.col("path").startswith("/" + p)
@@ -155,6 +157,7 @@ def judge_urls(pages: DataFrame, id_col: str = "page_id", url_col: str = "url",
     (by a hash) train the models, the others calibrate the threshold. Null and
     repeated ids stay as they are; other columns aren't read.
     """
+    bounded_batches(pages.sparkSession)
     ruled = with_rules(pages.select(F.col(id_col).alias("_id"), F.col(url_col).alias("_url")), "_url", rules).select(F.col("_id"), "host", "path", "rule", "by_rule")
     decided = ruled.filter("by_rule is not null")
     aside = F.pmod(F.xxhash64("host", "path"), F.lit(5)) == 0

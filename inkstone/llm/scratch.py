@@ -32,14 +32,26 @@ def shared_folder(spark: SparkSession) -> str:
     return folder
 
 
+_BATCH = "spark.sql.execution.arrow.maxBytesPerBatch"
+BATCH_BYTES = 8 << 20
+
+
+def bounded_batches(spark: SparkSession) -> None:
+    """Python workers get at most BATCH_BYTES at once, however long the rows are
+    (or one row). Only ever lowers the session's setting."""
+    set_now = spark.conf.get(_BATCH, "1g").lower().rstrip("b")
+    if not set_now.isdigit() or int(set_now) > BATCH_BYTES:
+        spark.conf.set(_BATCH, str(BATCH_BYTES))
+
+
 class Scratch:
     """Tables of one query run; each can be dropped once it has been used."""
 
     def __init__(self, spark: SparkSession, name: str):
+        bounded_batches(spark)
         self.spark = spark
         self.root = f"{shared_folder(spark)}/{name}-{uuid.uuid4().hex}"
         self._count = 0
-        self._paths: dict[int, str] = {}
 
     def keep(self, df: DataFrame) -> DataFrame:
         """``df`` written as Parquet in the shared folder, and read again."""
@@ -47,7 +59,6 @@ class Scratch:
         path = f"{self.root}/{self._count}"
         df.write.parquet(path)
         out = self.spark.read.schema(df.schema).parquet(path)
-        self._paths[id(out)] = path
         out._scratch_path = path
         return out
 

@@ -182,7 +182,7 @@ def write_archives(pages: DataFrame, id_col: str = "page_id", url_col: str = "ur
     html = F.coalesce(F.col(html_col), F.lit(""))
     rows = pages.select(F.col(id_col).alias("id"), F.col(url_col).alias("url"), html.alias("html")).withColumn("hex", F.sha1(F.encode("html", "UTF-8")))
     chosen = decide_records(pages, id_col, html_col, least).withColumnRenamed("id", "own")
-    rows = rows.join(chosen.hint("shuffle_hash"), F.col("id").eqNullSafe(F.col("own")) & (F.col("hex") == F.col("sha1")), "left")
+    rows = rows.join(chosen, F.col("id").eqNullSafe(F.col("own")) & (F.col("hex") == F.col("sha1")), "left")
     rows = rows.select("id", "url", "html", F.when(~F.col("id").eqNullSafe(F.col("keeper")), F.col("keeper")).alias("refers_to"))
 
     def run(batches):

@@ -28,7 +28,7 @@ SHARE, EPOCHS, SEED = (1, 2), 2, "mix-1"
 
 def domain_of(source: Column) -> Column:
     """The domain by the number at the end of a source's name; else ``other``."""
-    number = F.regexp_extract(source, r"([0-9]{1,9})$", 1).cast("int")
+    number = F.regexp_extract(source, r"([0-9]{1,9})$", 1).try_cast("int")
     out = F
     for name, below in DOMAINS:
         out = out.when(number < below, name)
@@ -56,7 +56,7 @@ def share_out(nodes: DataFrame, parent: list[str], name: str) -> DataFrame:
     zero = F.lit(0).cast("decimal(38,0)")
     out = nodes.withColumn("_rest", F.col("budget") - F.coalesce(F.sum("cap").over(before), zero))
     out = out.withColumn("_weights", F.sum("weight").over(by.rowsBetween(0, Window.unboundedFollowing)))
-    out = out.withColumn("_full", F.expr("cast(cap as decimal(38,0)) * _weights <= _rest * weight"))
+    out = out.withColumn("_full", F.expr("(weight > 0 or cap = 0) and cap * _weights <= _rest * weight"))
     out = out.withColumn("_rest", F.col("budget") - F.coalesce(F.sum(F.when(F.col("_full"), F.col("cap"))).over(every), zero))
     out = out.withColumn("_open", F.when(F.col("_full"), zero).otherwise(F.col("weight")))
     out = out.withColumn("_all", F.greatest(F.sum("_open").over(every), F.lit(1)).cast("decimal(20,0)"))
@@ -146,7 +146,7 @@ def _sql_share(table: str, parent: str, name: str) -> str:
            (sum(opn) OVER (PARTITION BY {parent} ORDER BY ratio, {name} ROWS UNBOUNDED PRECEDING))::HUGEINT AS upto FROM (
       SELECT *, CASE WHEN ful THEN 0 ELSE weight END AS opn,
              (budget - coalesce(sum(CASE WHEN ful THEN cap END) OVER (PARTITION BY {parent}), 0))::HUGEINT AS rst FROM (
-        SELECT *, cap * (sum(weight) OVER (PARTITION BY {parent} ORDER BY ratio, {name} ROWS BETWEEN CURRENT ROW AND UNBOUNDED FOLLOWING))
+        SELECT *, (weight > 0 OR cap = 0) AND cap * (sum(weight) OVER (PARTITION BY {parent} ORDER BY ratio, {name} ROWS BETWEEN CURRENT ROW AND UNBOUNDED FOLLOWING))
                <= (budget - coalesce(sum(cap) OVER (PARTITION BY {parent} ORDER BY ratio, {name} ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0)) * weight AS ful
         FROM (SELECT *, CASE WHEN weight > 0 THEN cap::DOUBLE / weight ELSE 'inf'::DOUBLE END AS ratio FROM {table}))))"""
 

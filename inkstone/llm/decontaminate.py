@@ -17,6 +17,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
+from inkstone.llm.scratch import bounded_batches
 from inkstone.llm.wordhash import ALNUM, U64, column_bytes, mix, slices, windows, words
 
 WINDOW = 13
@@ -139,6 +140,7 @@ def is_contaminated(n_words: int, n_hit: int, one_in: int = 20) -> bool:
 
 
 def _reader(docs: DataFrame, bench: DataFrame, item_col: str, bench_text_col: str, window: int):
+    bounded_batches(docs.sparkSession)
     sc = docs.sparkSession.sparkContext
     shared = [sc.broadcast(x) for x in load_index(bench, item_col, bench_text_col, window)]
     return lambda: (b.value for b in shared)

@@ -16,9 +16,10 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from inkstone.llm.scratch import bounded_batches
 from inkstone.llm.wordhash import LOWER, column_bytes, slices
 
-BUCKETS = 4096
+BUCKETS = 2048
 #: Languages by family; any other language is a family of its own.
 FAMILIES = {
     "germanic": ("en", "de", "nl", "af", "sv", "da", "no", "nb", "nn", "is"),
@@ -43,7 +44,7 @@ def trigrams(data: np.ndarray, offsets: np.ndarray) -> tuple[np.ndarray, np.ndar
     b[np.arange(len(data)) + np.repeat(first + 1 - offsets[:-1], n)] = LOWER[data]
     x = np.zeros(total, dtype=np.uint32)
     x[:-2] = (b[:-2] << np.uint32(16)) | (b[1:-1] << np.uint32(8)) | b[2:]
-    return ((x * np.uint32(2654435761)) >> np.uint32(20)).astype(np.int64), np.append(first, total)
+    return ((x * np.uint32(2654435761)) >> np.uint32(21)).astype(np.int64), np.append(first, total)
 
 
 def _features(texts: list[bytes]) -> np.ndarray:
@@ -144,7 +145,7 @@ class LanguageModel:
         return out
 
 
-def train(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", lang_col: str = "lang", per_language: int = 400, most_chars: int = 1 << 14) -> LanguageModel:
+def train(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", lang_col: str = "lang", per_language: int = 300, most_chars: int = 1 << 13) -> LanguageModel:
     """Fits on at most ``per_language`` rows of each language, of texts of at
     most ``most_chars`` characters, drawn by a hash of id and text among the ids whose
     crc32 (of the decimal text) isn't 2 modulo 4."""
@@ -170,6 +171,7 @@ def identify(docs: DataFrame, model: LanguageModel, id_col: str = "doc_id", text
     was learned. A null id isn't held out. Repeated rows get equal
     predictions; other columns, the language's included, aren't read.
     """
+    bounded_batches(docs.sparkSession)
     shared = docs.sparkSession.sparkContext.broadcast(model)
 
     def run(batches):
@@ -185,6 +187,7 @@ def identify(docs: DataFrame, model: LanguageModel, id_col: str = "doc_id", text
 def keep_languages(docs: DataFrame, model: LanguageModel, languages: tuple[str, ...] | None = None, text_col: str = "text", least: float = 0.0) -> DataFrame:
     """The rows of ``docs``, as they are, in one of ``languages`` (all that were
     learned, if None) with a score of at least ``least``."""
+    bounded_batches(docs.sparkSession)
     shared = docs.sparkSession.sparkContext.broadcast(model)
     place = docs.columns.index(text_col)
 

@@ -15,11 +15,13 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from inkstone.llm.scratch import bounded_batches
 from inkstone.llm.wordhash import column_bytes, slices
 
 STEP = 4  # bytes between windows; a window is two steps
 HALF = 64  # windows in half a chunk
 DIM, FILTERS, HIDDEN = 8, 32, 16
+LEAST_STEPS = 240  # of training, however few rows there are
 
 
 class ByteConvNet:
@@ -126,7 +128,7 @@ class ByteConvNet:
         most = max(len(one), len(zero))
         m = {k: np.zeros_like(v) for k, v in self.p.items()}
         v2 = {k: np.zeros_like(v) for k, v in self.p.items()}
-        t, steps = 0, max(1, epochs * 2 * most // batch)
+        t, steps = 0, max(LEAST_STEPS, epochs * 2 * most // batch)
         while t < steps:
             both = np.concatenate((r.permutation(np.resize(one, most)), r.permutation(np.resize(zero, most))))
             for at in np.array_split(r.permutation(both), max(1, len(both) // batch)):
@@ -151,7 +153,7 @@ class ByteConvNet:
         return np.concatenate(out).astype(np.float64) if out else np.zeros(0)
 
 
-def train(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col: str = "text", label_col: str = "quality", per_class: int = 700, most_chars: int = 1 << 16) -> ByteConvNet:
+def train(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col: str = "text", label_col: str = "quality", per_class: int = 700, most_chars: int = 1 << 14) -> ByteConvNet:
     """Fits on at most ``per_class`` labelled rows of each class, of texts of at
     most ``most_chars`` characters, drawn by a hash of the id. Only ids whose
     crc32 (of the decimal text) isn't 1 modulo 3 take part."""
@@ -181,6 +183,7 @@ def score_quality(docs: DataFrame, model: ByteConvNet, id_col: str = "doc_id", t
     Null and empty texts get the network's score of no bytes. A null id isn't
     held out. Repeated rows get equal scores; other columns aren't read.
     """
+    bounded_batches(docs.sparkSession)
     shared = docs.sparkSession.sparkContext.broadcast(model)
 
     def run(batches):
@@ -195,6 +198,7 @@ def score_quality(docs: DataFrame, model: ByteConvNet, id_col: str = "doc_id", t
 
 def keep_good(docs: DataFrame, model: ByteConvNet, text_col: str = "text", least: float = 0.5) -> DataFrame:
     """The rows of ``docs``, as they are, whose score is at least ``least``."""
+    bounded_batches(docs.sparkSession)
     shared = docs.sparkSession.sparkContext.broadcast(model)
     place = docs.columns.index(text_col)
 

@@ -22,6 +22,18 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
+#: Bytes by core below which a table is dealt out evenly before work on its rows.
+SMALL = 64 << 20
+
+
+def spread(df: DataFrame) -> DataFrame:
+    """A small table over all cores. Its files may be fewer than these, and the work
+    on a document costs far more than moving it; a large table stays as it is read."""
+    cores = df.sparkSession.sparkContext.defaultParallelism
+    size = int(str(df._jdf.queryExecution().optimizedPlan().stats().sizeInBytes()))
+    return df.repartition(cores) if size < SMALL * cores else df
+
+
 def rounded(df: DataFrame, digits: int = DIGITS) -> DataFrame:
     """Doubles to a fixed number of digits, as engines add up in different orders.
     The small term moves exact halves off the edge, on which they'd differ as well."""
@@ -36,7 +48,7 @@ def register(name: str, sql: str | None, query: Query) -> None:
 
 def over(name: str, sql: str | None, operator: Callable[[DataFrame], DataFrame], source: str = "documents") -> None:
     """An operator of one table as a query."""
-    register(name, sql, lambda spark, sf_dir: operator(table(spark, sf_dir, source)))
+    register(name, sql, lambda spark, sf_dir: operator(spread(table(spark, sf_dir, source))))
 
 
 FLAGSHIP = "document_analysis"
@@ -65,7 +77,7 @@ over("classic_features", oracles.FEATURES, features.classic_features)
 def predictions(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Analyses of labelled documents; ``quality`` stands in for a label of authorship."""
     docs, labels = table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels")
-    known = docs.join(labels.select("doc_id", F.col("quality").alias("label")), "doc_id")
+    known = spread(docs).join(labels.select("doc_id", F.col("quality").alias("label")), "doc_id")
     p = authorship.analyze(known).select("doc_id", F.col("ai_probability").alias("p"), "words", "len_cv", "ttr", "hapax_per_type", "syllables_per_word")
     return known.select("doc_id", "label", "lang", "source").join(p, "doc_id").withColumn("length", evaluation.length_class(F.col("words")))
 

@@ -8,8 +8,8 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from inkstone.functions import arrays, segment
-from inkstone.operators import authorship, evaluation, features, formatting, lexical, statistics
-from inkstone.plans import lexical_sql, oracles
+from inkstone.operators import authorship, categories, evaluation, features, formatting, lexical, model_features, rewrite, statistics
+from inkstone.plans import category_sql, lexical_sql, oracles
 from inkstone.sources import files, samples, sinks
 
 Query = Callable[[SparkSession, str], DataFrame]
@@ -120,3 +120,8 @@ over("pasted_from", oracles.PASTED, _pasted, "pages")
 over("turns_by_role", oracles.TURNS, _turns, "conversations")
 over("centre_similarity", oracles.NEAREST, _centre_similarity, "embeddings")
 register("report_lines", None, lambda spark, sf_dir: sinks.minimal(authorship.analyze(table(spark, sf_dir, "documents"))))
+over("web_categories", category_sql.WEB_CATEGORIES, categories.web_categories)
+over("model_features", category_sql.MODEL_FEATURES, model_features.model_features)
+over("tone_features", category_sql.TONE, model_features.tone_features)
+over("rewritten", None, rewrite.rewrite)
+over("lexical_span", None, lambda docs: authorship.segmented(docs).select("doc_id", categories.lexical_span(F.col("tokens")).alias("span")))

@@ -118,3 +118,42 @@ def test_streamed_documents_are_analyzed_once(spark, tmp_path):
     assert sorted(r["doc_id"] for r in spark.read.parquet(out).collect()) == [*range(10), *range(100, 110)]
     late = spark.readStream.schema("at timestamp, verdict string, ai_probability double").parquet(str(tmp_path / "in"))
     assert stream.verdicts_over_time(late, "at").isStreaming
+
+
+def test_rewriting_is_seeded_and_plain(spark):
+    from inkstone.operators import rewrite
+
+    df = spark.createDataFrame([(1, "Furthermore, we utilize a plethora of tools. It is good and it does not fail."), (2, None), (3, "  ")], "doc_id long, text string")
+    once = {r["doc_id"]: r["text"] for r in rewrite.rewrite(df, "heavy").collect()}
+    assert once == {r["doc_id"]: r["text"] for r in rewrite.rewrite(df, "heavy").collect()}
+    assert once[2] == once[3] == "" and "utilize" not in once[1] and "tons of" in once[1]
+
+
+def test_lexical_span_follows_the_token_run(spark):
+    from inkstone.operators import categories
+
+    def brute(tokens):
+        types, k, found = set(), 0, 0.0
+        for t in tokens:
+            types.add(t)
+            if len(types) / (k + 1) <= 0.72:
+                found, k, types = found + 1, 0, set()
+            k += 1
+        if k:
+            found += (1 - len(types) / k) / (1 - 0.72)
+        return len(tokens) / max(1, found) if len(tokens) >= 10 else 0
+
+    lists = [["a"] * 30, list("abcdefghij"), list("abcabcabdabcaaab") * 3, list("abc")]
+    df = spark.createDataFrame([(x,) for x in lists], "w array<string>")
+    got = [r["s"] for r in df.select(categories.lexical_span(F.col("w")).alias("s")).collect()]
+    assert got == pytest.approx([brute(x) for x in lists])
+
+
+def test_categories_of_blank_texts_are_undecided(docs):
+    from inkstone.operators import categories
+
+    rows = categories.web_categories(docs).collect()
+    assert len(rows) == 4 * len(TEXTS)
+    assert all(r["ai_probability"] == 0.5 and r["confidence"] == 0 for r in rows if r["doc_id"] in (2, 3))
+    both = {r["doc_id"]: r for r in categories.combined(categories.web_categories(docs), {1: 2.0}).collect()}
+    assert 6 in both and 0 <= both[6]["weighted"] <= 1 and both[6]["n_categories"] >= 1 and 2 not in both

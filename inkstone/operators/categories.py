@@ -152,15 +152,78 @@ def discourse(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -
     return _result(d, "Discourse & Coherence", 6, s >= 5, scores, sure)
 
 
+def semantics(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+    """Generic rather than concrete, without experience, hedged claims, no stance."""
+    d = segmented(docs, id_col, text_col).withColumn("low", F.lower("text"))
+    text, low = F.col("text"), F.col("low")
+
+    def unsupported(claim: str) -> Column:
+        found = F.regexp_extract(text, f"(?i){claim}", 0)
+        after = text.substr(F.instr(text, found), F.lit(100))
+        return ((found != "") & ~after.rlike(L.CITED.replace(r"\s", f"[{segment.WS}]"))).cast("int")
+
+    d = d.select(
+        "doc_id", F.size("tokens").alias("n"), F.size("sentences").alias("s"), _contained(low, L.GENERIC_PHRASES).alias("generic"), _count(text, L.CONCRETE).alias("concrete"),
+        sum((low.rlike(_plain(rf"\b{w}\b")).cast("int") for w in L.EXPERIENCE), F.lit(0)).alias("lived"),
+        F.size(F.filter("sentences", lambda x: x.rlike(_plain(L.ANECDOTE).replace(r"\s", f"[{segment.WS}]")))).alias("told"),
+        _count(text, [L.QUALIFIED]).alias("hedged"), _count(text, [L.ASSERTIVE]).alias("firm"), sum((unsupported(c) for c in L.CLAIMS), F.lit(0)).alias("claims"),
+        _contained(low, L.NONCOMMITTAL).alias("neutral"), _contained(low, L.STRONG_STANCE).alias("strong"), _count(text, [L.FOR]).alias("pro"), _count(text, [L.AGAINST]).alias("con"),
+    )
+    n, s = F.col("n"), F.col("s")
+    specific = (1 - S.normalize(A.ratio(F.col("generic"), s), 0, 0.3)) * 0.5 + S.normalize(A.ratio(F.col("concrete"), s), 0, 0.5) * 0.5
+    hedged = S.normalize(A.ratio(F.col("hedged"), F.col("hedged") + F.col("firm"), 0.5), 0.3, 0.7) * 0.5 + S.normalize(F.col("claims").cast("double"), 0, 3) * 0.5
+    even = (F.col("pro") > 0) & (F.col("con") > 0) & (F.abs(F.col("pro") - F.col("con")) <= 1)
+    neutral = S.normalize(F.col("neutral").cast("double"), 0, 4) * 0.4 + (1 - S.normalize(F.col("strong").cast("double"), 0, 3)) * 0.3 + F.when(even, lit(0.3)).otherwise(lit(0))
+    scores = {
+        "unspecific": (1 - specific, 0.25),
+        "no_experience": (1 - S.normalize((F.col("lived") + F.col("told") * 2).cast("double"), 0, 8), 0.3),
+        "hedged": (hedged, 0.2),
+        "noncommittal": (neutral, 0.25),
+    }
+    return _result(d, "Semantic & Pragmatic Features", 7, n >= 30, scores, S.ladder(n, BY_TOKENS, 0.9))
+
+
+def dialect(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+    """Mixtures: of spellings, of punctuation, of regional words, of slang and archaic words."""
+    d = segmented(docs, id_col, text_col)
+    d = d.withColumn("w", F.array_distinct(F.regexp_extract_all(F.lower("text"), F.lit("[a-z0-9_]+"), 0)))
+    text = F.col("text")
+
+    def listed(words: list[str]) -> Column:
+        return F.size(F.array_intersect("w", F.array(*map(F.lit, words))))
+
+    d = d.select(
+        "doc_id", F.size("tokens").alias("n"), listed(L.AMERICAN_SPELLING).alias("us"), listed(L.BRITISH_SPELLING).alias("uk"), listed(L.AMERICAN_WORDS).alias("us_words"), listed(L.BRITISH_WORDS).alias("uk_words"),
+        (listed(L.MODERN_SLANG) + sum((F.lower(text).rlike(_plain(rf"\b{p}\b")).cast("int") for p in L.MODERN_PHRASES), F.lit(0))).alias("modern"), listed(L.ARCHAIC_FORMAL).alias("archaic"),
+        F.regexp_count(text, F.lit('"')).alias("dq"), F.regexp_count(text, F.lit("'")).alias("sq"),
+        *[_count(text, [p]).alias(k) for k, p in (("oxford", L.OXFORD), ("no_oxford", L.NO_OXFORD), ("us_dates", L.US_DATES), ("uk_dates", L.UK_DATES))],
+    )
+
+    def mixed(a: str, b: str, most: int) -> Column:
+        return S.normalize(F.least(a, b).cast("double"), 0, most)
+
+    def both(a: Column, b: Column, x: float) -> Column:
+        return F.when(a & b, lit(x)).otherwise(lit(0))
+
+    marks = both(F.col("dq") > 0, F.col("sq") > 5, 0.3) + both(F.col("oxford") > 0, F.col("no_oxford") > 0, 0.4) + both(F.col("us_dates") > 0, F.col("uk_dates") > 0, 0.3)
+    n = F.col("n")
+    scores = {"spelling": (mixed("us", "uk", 3), 0.3), "punctuation": (marks, 0.2), "words": (mixed("us_words", "uk_words", 2), 0.25), "times": (mixed("modern", "archaic", 2), 0.25)}
+    return _result(d, "Dialect & Regional Consistency", 4, n >= 20, scores, S.ladder(n, [(50, 0.2), (100, 0.4), (200, 0.6), (500, 0.8)], 0.9))
+
+
 def web_categories(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """``doc_id``, ``name``, ``category``, ``ai_probability``, ``confidence``: a row for each document and category."""
     out = None
-    for f in (grammar, syntax, lexical_choice, discourse):
+    for f in CATEGORIES:
         part = f(docs, id_col, text_col).drop("scores")
         out = part if out is None else out.unionByName(part)
     return out
 
 
+#: What a category has to be: a function from documents to rows of ``web_categories`` with their scores.
+CATEGORIES = [grammar, syntax, lexical_choice, dialect, discourse, semantics]
+
+
 def lexical_span(tokens: Column, threshold: float = 0.72) -> Column:
     """Mean length of runs of tokens before their variety falls to the threshold;
     0 for fewer than ten tokens."""

@@ -39,6 +39,19 @@ def _row(name: str, number: int, ok: str, p: str, c: str, table: str) -> str:
     return f"SELECT doc_id, {_q(name)} AS name, {number}::INTEGER AS category, {_R(f'CASE WHEN {ok} THEN {p} ELSE 0.5 END')} AS ai_probability, {_R(f'CASE WHEN {ok} THEN {c} ELSE 0 END')} AS confidence FROM {table}"
 
 
+_DIALECT = {"us": L.AMERICAN_SPELLING, "uk": L.BRITISH_SPELLING, "us_words": L.AMERICAN_WORDS, "uk_words": L.BRITISH_WORDS, "modern": L.MODERN_SLANG + L.MODERN_PHRASES, "archaic": L.ARCHAIC_FORMAL}
+
+
+def _has(words: list[str]) -> str:
+    return "(" + " + ".join(f"regexp_matches(low, {_re2(chr(92) + 'b' + w + chr(92) + 'b')})::INT" for w in words) + ")"
+
+
+_SURE_4 = "CASE WHEN n < 50 THEN 0.2 WHEN n < 100 THEN 0.4 WHEN n < 200 THEN 0.6 WHEN n < 500 THEN 0.8 ELSE 0.9 END"
+_P4 = f"""0.3 * {_norm("least(us, uk)", 0, 3)} + 0.2 * (CASE WHEN dq > 0 AND sq > 5 THEN 0.3 ELSE 0 END + CASE WHEN oxford > 0 AND no_oxford > 0 THEN 0.4 ELSE 0 END + CASE WHEN us_dates > 0 AND uk_dates > 0 THEN 0.3 ELSE 0 END)
+  + 0.25 * {_norm("least(us_words, uk_words)", 0, 2)} + 0.25 * {_norm("least(modern, archaic)", 0, 2)}"""
+_P7 = f"""0.25 * (1 - (0.5 * (1 - {_norm(_div("generic", "s"), 0, 0.3)}) + 0.5 * {_norm(_div("concrete", "s"), 0, 0.5)})) + 0.3 * (1 - {_norm("lived + 2 * told", 0, 8)})
+  + 0.2 * (0.5 * {_norm("CASE WHEN hedged + firm > 0 THEN hedged / (hedged + firm) ELSE 0.5 END", 0.3, 0.7)} + 0.5 * {_norm("claims", 0, 3)})
+  + 0.25 * (0.4 * {_norm("neutral", 0, 4)} + 0.3 * (1 - {_norm("strong", 0, 3)}) + CASE WHEN pro > 0 AND con > 0 AND abs(pro - con) <= 1 THEN 0.3 ELSE 0 END)"""
 _CASE_KIND = f"""CASE WHEN sub AND co THEN 3 WHEN sub THEN 2 WHEN co THEN 1 ELSE 0 END AS kind FROM (SELECT doc_id, ({_in("lower(s)", [x for c in L.SUBORDINATORS for x in (f"{c} ", f", {c}")])}) > 0 AS sub,
   ({_in("lower(s)", [f" {c} " for c in L.COORDINATORS])}) > 0 AS co FROM sent)"""
 WEB_CATEGORIES = rf"""
@@ -61,11 +74,19 @@ x AS (
     ({" + ".join(f"regexp_matches(low, {_re2(chr(92) + 'b' + w + chr(92) + 'b')})::INT" for w in L.CONVERSATIONAL_WORDS)}) AS casual,
     ({" + ".join(f"(length(low) - length(replace(low, {_q(m)}, ''))) / {len(m)}" for m in _EVERY)}) AS inside,
     {_n("text", ["(?i)" + phrase_pattern(m).replace(chr(92) + "s+", " ") for m in _EVERY])} AS markers, {_n("flow", L.RESTATEMENTS)} AS rest, {_n("flow", L.DIGRESSIONS)} AS aside,
-    CASE WHEN sd <> m THEN (sd - m) / (sd + m + 0.001) ELSE 0 END AS burst
+    CASE WHEN sd <> m THEN (sd - m) / (sd + m + 0.001) ELSE 0 END AS burst,
+    {_in("low", L.GENERIC_PHRASES)} AS generic, {_n("text", L.CONCRETE)} AS concrete, ({" + ".join(f"regexp_matches(low, {_re2(chr(92) + 'b' + w + chr(92) + 'b')})::INT" for w in L.EXPERIENCE)}) AS lived,
+    coalesce((SELECT count(*) FROM sent WHERE sent.doc_id = j.doc_id AND regexp_matches(s, {_re2(L.ANECDOTE)})), 0) AS told, {_n("text", [L.QUALIFIED])} AS hedged, {_n("text", [L.ASSERTIVE])} AS firm,
+    ({" + ".join(f"(regexp_matches(text, {_q('(?i)' + c)}) AND NOT regexp_matches(substr(text, strpos(text, regexp_extract(text, {_q('(?i)' + c)})), 100), {_re2(L.CITED)}))::INT" for c in L.CLAIMS)}) AS claims,
+    {_in("low", L.NONCOMMITTAL)} AS neutral, {_in("low", L.STRONG_STANCE)} AS strong, {_n("text", [L.FOR])} AS pro, {_n("text", [L.AGAINST])} AS con,
+    {", ".join(f"{_has(ws)} AS {k}" for k, ws in _DIALECT.items())}, {_n("text", [chr(34)])} AS dq, {_n("text", [chr(39)])} AS sq,
+    {", ".join(f"{_n('text', [p])} AS {k}" for k, p in (("oxford", L.OXFORD), ("no_oxford", L.NO_OXFORD), ("us_dates", L.US_DATES), ("uk_dates", L.UK_DATES)))}
   FROM j)
 {_row("Grammar & Error Patterns", 1, "n > 0", f"0.3 * (1 - {_norm(_div('errors', 'n') + ' * 1000', 0, 10)}) + 0.25 * {_norm(_div('formal', 's'), 0, 0.3)} + 0.25 * (1 - {_norm('fixes', 0, 5)}) + 0.2 * {_norm(_div('again', 's'), 0, 0.5)}", _BY_TOKENS, "x")}
 UNION ALL {_row("Sentence Structure & Syntax", 2, "s > 0", f"0.25 * (1 - {_norm(_div('sd', 'm'), 0.3, 0.8)}) + 0.25 * (1 - {_norm('burst + 1', 0, 1)}) + 0.25 * (1 - h / log2(greatest(4, s))) + 0.25 * (0.5 * {_norm(_div('conj', 's'), 0, 2)} + 0.5 * {_norm(_div('trans', 's'), 0, 0.3)})", _BY_SENTENCES, "x")}
 UNION ALL {_row("Lexical Choice & Vocabulary", 3, "n >= 10", f"0.25 * (1 - {_norm(_div('v', 'n'), 0.25, 0.65)}) + 0.2 * (1 - {_norm(_div('c1', 'cv'), 0.2, 0.6)}) + 0.35 * least(1, {_norm(_div('over_', 'n'), 0, 0.05)} + least(0.3, phrases * 0.05)) + 0.2 * (CASE WHEN academic > 0 AND casual = 0 THEN 0.8 ELSE (1 - {_norm('casual', 0, 5)}) * 0.5 END)", _BY_TOKENS, "x")}
+UNION ALL {_row("Dialect & Regional Consistency", 4, "n >= 20", _P4, _SURE_4, "x")}
+UNION ALL {_row("Semantic & Pragmatic Features", 7, "n >= 30", _P7, _BY_TOKENS.replace("0.95", "0.9"), "x")}
 UNION ALL {_row("Discourse & Coherence", 6, "s >= 5", f"0.25 * {_norm(_div('inside', 's'), 0, 0.3)} + 0.2 * (CASE WHEN p >= 2 THEN 1 - {_norm('pcv', 0.2, 0.6)} ELSE 0.5 END) + 0.3 * {_norm(_div('markers', 's'), 0, 0.4)} + 0.25 * (0.3 * {_norm('rest', 0, 3)} + 0.4 * {_norm(_div('both_', 'small'), 0.3, 0.7)} + 0.3 * (1 - {_norm('aside', 0, 3)}))", "CASE WHEN p < 2 OR s < 10 THEN 0.3 WHEN s < 20 THEN 0.5 WHEN s < 50 THEN 0.7 ELSE 0.9 END", "x")}"""
 
 _COUNTS = L.MODEL_COUNTS | {"instruction_phrases": r"(?i)\b(?:first,|second,|finally,|step \d|for example)\b"}

@@ -153,7 +153,7 @@ def test_categories_of_blank_texts_are_undecided(docs):
     from inkstone.operators import categories
 
     rows = categories.web_categories(docs).collect()
-    assert len(rows) == 4 * len(TEXTS)
+    assert len(rows) == 6 * len(TEXTS)
     assert all(r["ai_probability"] == 0.5 and r["confidence"] == 0 for r in rows if r["doc_id"] in (2, 3))
     both = {r["doc_id"]: r for r in categories.combined(categories.web_categories(docs), {1: 2.0}).collect()}
     assert 6 in both and 0 <= both[6]["weighted"] <= 1 and both[6]["n_categories"] >= 1 and 2 not in both

@@ -105,15 +105,18 @@ def class_table(docs: DataFrame, id_col: str, text_col: str, size: int, scratch:
     source = docs.select(F.col(id_col).alias("id"), F.col(text_col).alias("text"), F.xxhash64(text_col).alias("text_hash"))
     both = scratch.keep(source.mapInArrow(run, f"id {kind}, text_hash long, n long, key long, parts binary, block int, counts binary"))
 
-    def add(pdf):
-        total = sum(np.frombuffer(zlib.decompress(c), dtype=np.int64) for c in pdf["counts"])
-        return pdf.iloc[:1].assign(counts=[zlib.compress(total.tobytes(), 1)])[["block", "counts", "at"]]
+    def add(table: pa.Table) -> pa.Table:
+        total = np.zeros(BLOCK, dtype=np.int64)
+        for c in table.column("counts").to_pylist():
+            total += np.frombuffer(zlib.decompress(c), dtype=np.int64)
+        counts = pa.array([zlib.compress(total.tobytes(), 1)], pa.binary())
+        return pa.table({"block": table.column("block").slice(0, 1), "counts": counts, "at": table.column("at").slice(0, 1)})
 
     tables, k = both.filter("block is not null").select("block", "counts", F.spark_partition_id().alias("at")), max(1, both.rdd.getNumPartitions())
     first = True
     while first or k > 1:
         k = -(-k // FAN)
-        tables = tables.withColumn("at", F.expr(f"cast(at div {FAN} as int)")).groupBy("block", "at").applyInPandas(add, "block int, counts binary, at int")
+        tables = tables.withColumn("at", F.expr(f"cast(at div {FAN} as int)")).groupBy("block", "at").applyInArrow(add, "block int, counts binary, at int")
         first = False
     levels = np.zeros(BUCKETS, dtype=np.uint8)
     for r in tables.collect():  # BUCKETS / BLOCK rows

@@ -47,9 +47,11 @@ def bounded_batches(spark: SparkSession) -> None:
 class Scratch:
     """Tables of one query run; each can be dropped once it has been used."""
 
-    def __init__(self, spark: SparkSession, name: str):
+    def __init__(self, spark: SparkSession, name: str, compression: str = "none"):
+        """Codecs hold buffers outside the heap until a collection frees them; of
+        many small files these add up, so only tables of texts are compressed."""
         bounded_batches(spark)
-        self.spark = spark
+        self.spark, self.compression = spark, compression
         self.root = f"{shared_folder(spark)}/{name}-{uuid.uuid4().hex}"
         self._count = 0
 
@@ -57,7 +59,7 @@ class Scratch:
         """``df`` written as Parquet in the shared folder, and read again."""
         self._count += 1
         path = f"{self.root}/{self._count}"
-        df.write.parquet(path)
+        df.write.option("compression", self.compression).parquet(path)
         out = self.spark.read.schema(df.schema).parquet(path)
         out._scratch_path = path
         return out

@@ -56,7 +56,7 @@ ORACLE_SQL = None
 def run(spark: SparkSession, sf_dir: str) -> DataFrame:
     """All stages over the documents, each written to the shared folder and read again."""
     docs = spark.read.parquet(f"{sf_dir}/documents.parquet")
-    scratch = Scratch(spark, "pipeline")
+    scratch = Scratch(spark, "pipeline", "snappy")
     for _, stage in STAGES[:-1]:
         after = scratch.keep(stage(spark, docs, sf_dir))
         scratch.drop(docs)

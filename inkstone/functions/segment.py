@@ -1,7 +1,7 @@
 """Tokens, sentences and paragraphs, by six conventions that differ.
 
-A column built on one of them should say which: ``web``, ``flare``, ``ext``, ``v1``,
-``v2``, ``zenith`` or ``bench``.
+A column built on one of them should say which: ``web``, ``letters`` and ``flat``, ``ext``, ``v1``,
+``v2``, ``v1_long`` or ``bench``.
 """
 
 from __future__ import annotations
@@ -13,7 +13,7 @@ from pyspark.sql import functions as F
 WS = r"\t\n\x0B\f\r \x{A0}\x{1680}\x{2000}-\x{200A}\x{2028}\x{2029}\x{202F}\x{205F}\x{3000}\x{FEFF}"
 #: Abbreviations that end no sentence (fixed values).
 ABBREVIATIONS = ("Mr.", "Mrs.", "Ms.", "Dr.", "Prof.", "Sr.", "Jr.", "vs.", "etc.", "e.g.", "i.e.", "U.S.", "U.K.")
-#: Word endings that end no sentence in the v1 and zenith conventions (fixed values).
+#: Word endings that end no sentence in the v1 conventions (fixed values).
 ABBREVIATIONS_V1 = "Mr|Mrs|Ms|Dr|Prof|Sr|Jr|vs|etc|inc|ltd"
 #: A word boundary by ASCII words only; the JVM's own also counts other letters.
 EDGE = "(?:(?<=[A-Za-z0-9_])(?![A-Za-z0-9_])|(?<![A-Za-z0-9_])(?=[A-Za-z0-9_]))"
@@ -37,7 +37,7 @@ def tokens_web(text: Column) -> Column:
     return F.regexp_extract_all(F.lower(text), F.lit(r"[a-z0-9_'-]+"), 0)
 
 
-def tokens_flare(text: Column) -> Column:
+def tokens_letters(text: Column) -> Column:
     return F.regexp_extract_all(F.lower(text), F.lit(f"{EDGE}[a-z]+{EDGE}"), 0)
 
 
@@ -65,7 +65,7 @@ def sentences_web(text: Column) -> Column:
     return not_empty(F.transform(pieces, restore))
 
 
-def sentences_flare(text: Column) -> Column:
+def sentences_flat(text: Column) -> Column:
     flat = trim(F.regexp_replace(text, f"[{WS}]+", " "))
     return F.filter(F.split(flat, rf"(?<=[.!?])[{WS}]+"), lambda s: F.length(trim(s)) > 5)
 
@@ -85,7 +85,7 @@ def sentences_v1(text: Column) -> Column:
     return _sentences_v1(text, 2)
 
 
-def sentences_zenith(text: Column) -> Column:
+def sentences_v1_long(text: Column) -> Column:
     return _sentences_v1(text, 3)
 
 

@@ -194,8 +194,8 @@ def segment_counts(docs: DataFrame, id_col: str = "doc_id", text_col: str = "tex
     return docs.select(
         F.col(id_col).alias("doc_id"),
         F.length(F.regexp_replace(t, f"[{segment.WS}]+", "")).cast("long").alias("letters"),
-        size(segment.tokens_web(t)).alias("tokens_web"), size(segment.tokens_flare(t)).alias("tokens_flare"), size(segment.tokens_ext(t)).alias("tokens_ext"), size(segment.tokens_v1(t)).alias("tokens_v1"),
-        size(segment.sentences_flare(t)).alias("sentences_flare"), size(segment.sentences_ext(t)).alias("sentences_ext"),
-        size(segment.sentences_v1(t)).alias("sentences_v1"), size(segment.sentences_zenith(t)).alias("sentences_zenith"), size(segment.sentences_v2(t)).alias("sentences_v2"), size(segment.sentences_bench(t)).alias("sentences_bench"),
+        size(segment.tokens_web(t)).alias("tokens_web"), size(segment.tokens_letters(t)).alias("tokens_letters"), size(segment.tokens_ext(t)).alias("tokens_ext"), size(segment.tokens_v1(t)).alias("tokens_v1"),
+        size(segment.sentences_flat(t)).alias("sentences_flat"), size(segment.sentences_ext(t)).alias("sentences_ext"),
+        size(segment.sentences_v1(t)).alias("sentences_v1"), size(segment.sentences_v1_long(t)).alias("sentences_v1_long"), size(segment.sentences_v2(t)).alias("sentences_v2"), size(segment.sentences_bench(t)).alias("sentences_bench"),
         size(segment.paragraphs(t)).alias("paragraphs"),
     )

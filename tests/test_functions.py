@@ -63,7 +63,7 @@ def test_web_sentences(spark, text, sentences):
 def test_tokens_by_convention(spark):
     t = F.lit("café naïve well-known don't X1 'tis")
     assert value(spark, segment.tokens_web(t)) == ["caf", "na", "ve", "well-known", "don't", "x1", "'tis"]
-    assert value(spark, segment.tokens_flare(t)) == ["caf", "na", "ve", "well", "known", "don", "t", "tis"]
+    assert value(spark, segment.tokens_letters(t)) == ["caf", "na", "ve", "well", "known", "don", "t", "tis"]
     assert value(spark, segment.tokens_ext(t)) == ["caf", "na", "ve", "well-known", "don't", "tis"]
     assert value(spark, segment.tokens_v1(t)) == ["caf", "na", "ve", "well-known", "don't", "x", "'tis"]
     assert value(spark, segment.paragraphs(F.lit("a\n\nb\n \t\nc\n\n\n"))) == ["a", "b", "c"]

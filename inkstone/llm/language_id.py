@@ -19,7 +19,7 @@ from pyspark.sql import functions as F
 from inkstone.llm.scratch import bounded_batches
 from inkstone.llm.wordhash import LOWER, column_bytes, slices
 
-BUCKETS = 2048
+BUCKETS = 4096
 #: Languages by family; any other language is a family of its own.
 FAMILIES = {
     "germanic": ("en", "de", "nl", "af", "sv", "da", "no", "nb", "nn", "is"),
@@ -44,7 +44,7 @@ def trigrams(data: np.ndarray, offsets: np.ndarray) -> tuple[np.ndarray, np.ndar
     b[np.arange(len(data)) + np.repeat(first + 1 - offsets[:-1], n)] = LOWER[data]
     x = np.zeros(total, dtype=np.uint32)
     x[:-2] = (b[:-2] << np.uint32(16)) | (b[1:-1] << np.uint32(8)) | b[2:]
-    return ((x * np.uint32(2654435761)) >> np.uint32(21)).astype(np.int64), np.append(first, total)
+    return ((x * np.uint32(2654435761)) >> np.uint32(20)).astype(np.int64), np.append(first, total)
 
 
 def _features(texts: list[bytes]) -> np.ndarray:
@@ -57,6 +57,11 @@ def _features(texts: list[bytes]) -> np.ndarray:
     return out
 
 
+def _pieces(texts: list[bytes]) -> list[bytes]:
+    """A short piece of each text, so that short texts are known as well."""
+    return [t[len(t) // 3 : len(t) // 3 + 80] for t in texts]
+
+
 def _svm(x: np.ndarray, y: np.ndarray, scale: np.ndarray, penalty: float = 1e-3, rounds: int = 60) -> np.ndarray:
     """Weights and bias of a linear SVM with squared hinge loss, by accelerated
     gradient descent; classes weigh the same."""
@@ -83,6 +88,16 @@ class LanguageModel:
     positive margins speak for the former."""
 
     def __init__(self, texts: list[bytes], languages: list[str]):
+        self._fit(_features(texts), _features(_pieces(texts)), languages)
+
+    @classmethod
+    def of_features(cls, whole: np.ndarray, pieces: np.ndarray, languages: list[str]) -> LanguageModel:
+        """From the features of texts and of a piece of each."""
+        model = cls.__new__(cls)
+        model._fit(whole, pieces, languages)
+        return model
+
+    def _fit(self, whole: np.ndarray, pieces: np.ndarray, languages: list[str]) -> None:
         self.languages = sorted(set(languages))
         self.families = sorted({family_of(x) for x in self.languages})
         self.members = {f: [x for x in self.languages if family_of(x) == f] for f in self.families}
@@ -90,9 +105,7 @@ class LanguageModel:
         self.weights = np.zeros((BUCKETS + 1, 0))
         if len(self.languages) < 2:
             return
-        # whole texts, and a short piece of each, so that short texts are known as well
-        pieces = [t[len(t) // 3 : len(t) // 3 + 80] for t in texts]
-        x, lang = _features(texts + pieces), np.array(languages * 2)
+        x, lang = np.concatenate((whole, pieces)), np.array(languages * 2)
         scale = (1 / (np.sqrt(x.mean(0)) + 1e-3)).astype(np.float32)
         kin = np.array([family_of(v) for v in lang])
         columns = []
@@ -145,12 +158,13 @@ class LanguageModel:
         return out
 
 
-def train(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", lang_col: str = "lang", per_language: int = 300, most_chars: int = 1 << 13) -> LanguageModel:
-    """Fits on at most ``per_language`` rows of each language, of texts of at
-    most ``most_chars`` characters, drawn by a hash of id and text among the ids whose
-    crc32 (of the decimal text) isn't 2 modulo 4."""
+def train(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", lang_col: str = "lang", per_language: int = 400) -> LanguageModel:
+    """Fits on at most ``per_language`` rows of each language, of texts of any
+    length, drawn by a hash of id and text among the ids whose crc32 (of the
+    decimal text) isn't 2 modulo 4. Executors turn the texts into features."""
+    bounded_batches(docs.sparkSession)
     known = docs.select(F.col(id_col).alias("i"), F.col(text_col).alias("t"), F.col(lang_col).alias("l"))
-    known = known.filter("i is not null and t is not null and l is not null and pmod(crc32(cast(i as string)), 4) <> 2").filter(F.length("t") <= most_chars)
+    known = known.filter("i is not null and t is not null and l is not null and pmod(crc32(cast(i as string)), 4) <> 2")
     known = known.select("i", "l", F.xxhash64(F.lit("language"), "i", "t").alias("k"))
     levels = known.groupBy("l").agg(F.count("*").alias("n")).collect()  # a row for each language
     rows = []
@@ -158,10 +172,18 @@ def train(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", lang_
         some = known.filter(F.col("l") == r["l"])
         rows += [(x["i"], x["l"], x["k"]) for x in some.orderBy("k", "i").limit(per_language).collect()]
     wanted = docs.sparkSession.createDataFrame(rows, f"i {docs.schema[id_col].dataType.simpleString()}, l string, k long")
-    texts = docs.select(F.col(id_col).alias("i"), F.col(text_col).alias("t")).filter(F.length("t") <= most_chars)
+    texts = docs.select(F.col(id_col).alias("i"), F.col(text_col).alias("t"))
     texts = texts.join(F.broadcast(wanted), "i").filter(F.xxhash64(F.lit("language"), "i", "t") == F.col("k")).dropDuplicates(["i", "k", "l"])
-    found = sorted((r["l"], r["k"], r["t"]) for r in texts.collect())
-    return LanguageModel([t.encode() for _, _, t in found], [v for v, _, _ in found])
+
+    def featured(batches):
+        for b in batches:
+            t = [x.encode() for x in b.column(2).to_pylist()]
+            yield pa.RecordBatch.from_arrays([b.column(0), b.column(1), *(pa.array([x.tobytes() for x in _features(v)], pa.binary()) for v in (t, _pieces(t)))], names=["l", "k", "whole", "piece"])
+
+    texts = texts.select("l", "k", "t").mapInArrow(featured, "l string, k long, whole binary, piece binary")
+    found = sorted((r["l"], r["k"], bytes(r["whole"]), bytes(r["piece"])) for r in texts.collect())
+    whole, pieces = (np.frombuffer(b"".join(r[c] for r in found), dtype=np.float32).reshape(-1, BUCKETS) for c in (2, 3))
+    return LanguageModel.of_features(whole, pieces, [r[0] for r in found])
 
 
 def identify(docs: DataFrame, model: LanguageModel, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:

@@ -21,6 +21,7 @@ from inkstone.llm.wordhash import column_bytes, slices
 STEP = 4  # bytes between windows; a window is two steps
 HALF = 64  # windows in half a chunk
 DIM, FILTERS, HIDDEN = 8, 32, 16
+PIECES = 16  # of a long text in training
 LEAST_STEPS = 240  # of training, however few rows there are
 
 
@@ -153,19 +154,24 @@ class ByteConvNet:
         return np.concatenate(out).astype(np.float64) if out else np.zeros(0)
 
 
-def train(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col: str = "text", label_col: str = "quality", per_class: int = 700, most_chars: int = 1 << 14) -> ByteConvNet:
-    """Fits on at most ``per_class`` labelled rows of each class, of texts of at
-    most ``most_chars`` characters, drawn by a hash of the id. Only ids whose
-    crc32 (of the decimal text) isn't 1 modulo 3 take part."""
+def train(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col: str = "text", label_col: str = "quality", per_class: int = 700, most_chars: int = 1 << 16) -> ByteConvNet:
+    """Fits on at most ``per_class`` labelled rows of each class, drawn by a hash
+    of the id, of texts of any length: of one over ``most_chars`` characters
+    PIECES pieces of that total, evenly from its start to its end, are used. Only
+    ids whose crc32 (of the decimal text) isn't 1 modulo 3 take part. A class
+    that has labels but no text among those drawn is an error."""
     by_id = labels.select(F.col(id_col).alias("i"), F.col(label_col).cast("int").alias("y")).filter("i is not null and y in (0, 1) and pmod(crc32(cast(i as string)), 3) <> 1")
     by_id = by_id.groupBy("i").agg(F.max("y").alias("y"))
     picked = None
-    for k in (0, 1):  # twice as many, as some may be too long or not there
+    for k in (0, 1):  # twice as many, as some may not be there
         some = by_id.filter(f"y = {k}").orderBy(F.xxhash64(F.lit("quality"), "i")).limit(2 * per_class)
         picked = some if picked is None else picked.unionByName(some)
     ids = {r["i"]: r["y"] for r in picked.collect()}  # 4 * per_class rows at most
     wanted = docs.sparkSession.createDataFrame([(i,) for i in ids], f"i {docs.schema[id_col].dataType.simpleString()}")
-    texts = docs.select(F.col(id_col).alias("i"), F.coalesce(F.col(text_col), F.lit("")).alias("t")).filter(F.length("t") <= most_chars)
+    texts = docs.select(F.col(id_col).alias("i"), F.coalesce(F.col(text_col), F.lit("")).alias("t"))
+    size = max(1, most_chars // PIECES)
+    spread = F.expr(f"array_join(transform(sequence(0, {PIECES - 1}), k -> substring(t, cast(1 + k * (length(t) - {size}) div {PIECES - 1} as int), {size})), '')")
+    texts = texts.withColumn("t", F.when(F.length("t") > most_chars, spread).otherwise(F.col("t")))
     rows = texts.join(F.broadcast(wanted), "i").dropDuplicates(["i"]).collect()
     rows.sort(key=lambda r: str(r["i"]))
     used, kept = {0: 0, 1: 0}, []
@@ -174,6 +180,9 @@ def train(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col:
         if used[y] < per_class:
             used[y] += 1
             kept.append((r["t"].encode(), y))
+    missing = [k for k in (0, 1) if k in ids.values() and not used[k]]
+    if missing:
+        raise ValueError(f"no text of the rows with {label_col} {missing[0]} was found")
     return ByteConvNet().fit([t for t, _ in kept], [y for _, y in kept])
 
 

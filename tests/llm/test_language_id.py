@@ -50,3 +50,11 @@ def test_without_languages_nothing_is_known(spark):
     assert rows(language_id.identify(df, model), "lang_pred", "score") == [("und", 0.0)]
     one = language_id.train(spark.createDataFrame([(0, "abc", "de"), (1, "abd", "de")], "doc_id long, text string, lang string"))
     assert rows(language_id.identify(df, one), "lang_pred") == [("de",)]
+
+
+def test_a_language_of_long_texts_only_is_learned(spark, prose):
+    docs = [(i, prose(i, 60), "en") for i in range(12)] + [(100 + i, " ".join(["zwischen", "größe", f"wörter{i}"] * 1000), "de") for i in range(12)]
+    df = spark.createDataFrame(docs, "doc_id long, text string, lang string")
+    model = language_id.train(df)
+    assert model.languages == ["de", "en"]
+    assert {r["doc_id"]: r["lang_pred"] for r in language_id.identify(df, model).collect()} == {i: v for i, _, v in docs}

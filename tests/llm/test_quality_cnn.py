@@ -1,6 +1,7 @@
 import zlib
 
 import numpy as np
+import pytest
 
 from inkstone.llm import quality_cnn
 from tests.llm.conftest import rows
@@ -83,3 +84,13 @@ def test_odd_rows_and_missing_labels(spark):
     assert {r["score"] for r in quality_cnn.score_quality(d, quality_cnn.train(d, ones)).collect()} == {1.0}
     assert quality_cnn.score_quality(d.limit(0), quality_cnn.ByteConvNet()).collect() == []
     assert rows(quality_cnn.score_quality(d, quality_cnn.ByteConvNet()), "doc_id", "held_out")[-1] == (None, False)
+
+
+def test_a_class_of_long_texts_only_is_learned(spark, prose):
+    docs = [(i, prose(i, 40)) for i in range(12)] + [(100 + i, "buy now !!! " * 6000) for i in range(12)]
+    df = spark.createDataFrame(docs, "doc_id long, text string")
+    labels = spark.createDataFrame([(i, int(i < 100)) for i, _ in docs], "doc_id long, quality int")
+    model = quality_cnn.train(df, labels)
+    assert model.constant is None
+    with pytest.raises(ValueError, match="no text"):
+        quality_cnn.train(df.filter("doc_id < 100"), labels)

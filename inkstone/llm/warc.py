@@ -25,7 +25,6 @@ ARCHIVE_BYTES = 4 << 20
 _VERSION = re.compile(rb"WARC/1\.[01]\r\n")
 _START = re.compile(rb"\x1f\x8b\x08|WARC/1\.[01]\r\n")
 _NAME = "urn:page:"
-MAX_HEADER = 1 << 16
 
 
 def digest(payload: bytes) -> str:
@@ -93,7 +92,7 @@ def parse_record(data: bytes, at: int = 0) -> tuple[dict[str, str], bytes | None
     record ends. ValueError says which check failed."""
     if not _VERSION.match(data, at):
         raise ValueError("no version line")
-    cut = data.find(b"\r\n\r\n", at, at + MAX_HEADER)
+    cut = data.find(b"\r\n\r\n", at)
     if cut < 0:
         raise ValueError("header without an end")
     headers = _headers(data[at:cut])
@@ -243,10 +242,11 @@ def archive_round_trip(pages: DataFrame, id_col: str = "page_id", url_col: str =
     is the response and the others revisit it; rows that repeat that
     id are responses as well. Rows without an id revisit if a row with an id
     has their payload, and are responses otherwise. A url may be
-    null. Other columns aren't read.
+    null. Other columns aren't read. A record that can't be read again is an error.
     """
     scratch = Scratch(pages.sparkSession, "warc")
-    read = read_archives(scratch.keep(write_archives(pages, id_col, url_col, html_col))).filter("gap is null")
+    read = read_archives(scratch.keep(write_archives(pages, id_col, url_col, html_col)))
+    read = read.filter(F.when(F.col("gap").isNull(), True).otherwise(F.raise_error(F.concat_ws(": ", "archive", "gap")).cast("boolean")))
     return read.select(page_of(F.col("record_id")).alias(id_col), "payload_bytes", "payload_digest", "record_type", page_of(F.col("refers_to")).alias("refers_to"))
 
 

@@ -81,3 +81,11 @@ def test_gaps_are_logged_by_the_reader(spark):
     data = parts[0] + b"\x1f\x8b\x08" + parts[1][5:] + parts[2]
     out = warc.read_archives(spark.createDataFrame([("a", data), ("b", None), ("c", b"")], "name string, content binary")).collect()
     assert [(r["gap"] is None, r["record_id"]) for r in out] == [(True, "urn:page:0"), (False, None), (True, "urn:page:2")]
+
+
+def test_a_long_url_and_a_record_that_cannot_be_read(spark, monkeypatch):
+    df = spark.createDataFrame([(1, "http://a/" + " " * 30_000, "x")], "page_id long, url string, html string")
+    assert rows(warc.archive_round_trip(df), "page_id", "payload_bytes") == [(1, 1)]
+    monkeypatch.setattr(warc, "read_archives", lambda a: a.selectExpr("name archive", "'bad' gap", "'' record_id", "1 payload_bytes", "'' payload_digest", "'' record_type", "'' refers_to"))
+    with pytest.raises(Exception, match="bad"):
+        warc.archive_round_trip(df).collect()

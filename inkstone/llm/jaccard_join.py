@@ -7,17 +7,21 @@ once on the full sets.
 
 1. One pass over the texts gives each document's set size, a fingerprint of
    its set (equal sets form a class and go on as one), a partition histogram
-   of the set, and counts of n-grams in a table of fixed size. Any order that
-   all documents share is right for prefix filtering; the counts make it
-   rare-first.
+   of the set, and counts of n-grams by their hash. Any order that all documents
+   share is right for prefix filtering; the counts make it rare-first.
 2. A second pass deals each class's prefix n-grams to reducers as packed
-   arrays. A reducer proposes neighbours in length order within each n-gram's
-   group, and lists groups of three or more.
-3. Proposed pairs that pass the suffix filter are verified, and connected.
-   Then the members of a listed group that are still in different components
-   are compared as well: pair by pair, or in blocks where the pairs are many.
-   A large group of near copies is thus never spelt out as pairs, and no link
-   between components is missed.
+   arrays. A reducer proposes the pairs of an n-gram's group that pass the length
+   and positional filters; a group of more than CROWD classes is listed instead.
+3. Proposed pairs pass the suffix filter: counts of both sets in fixed hash
+   ranges bound their overlap.
+4. Classes get a home, the smallest class among those they are proposed or
+   listed with, and the classes of a home and size range form blocks of bounded size.
+   A proposed pair or listed group names the pairs of blocks to compare. Each class
+   goes once to each pair of blocks that it is needed in, so near copies travel
+   together and are never spelt out as pairs, and each pair of classes is
+   verified in one pair of blocks only.
+5. A task returns, for each class, its number of links and the smallest class
+   that its links lead to; the latter are connected over all tasks.
 """
 
 from __future__ import annotations
@@ -30,19 +34,29 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 from pyspark.sql.pandas.types import to_arrow_type
 
-from inkstone.llm.components import connected_components
+from inkstone.llm.components import connected_components, smallest_reachable
 from inkstone.llm.scratch import Scratch
 from inkstone.llm.wordhash import U64, column_bytes, mix, shingle_sets, slices
 
-BUCKETS = 1 << 22  # of the n-gram counts: 4 MB as broadcast, whatever the input
+LEAST_BUCKETS, MOST_BUCKETS = 1 << 22, 1 << 26  # of the n-gram counts: a byte each as broadcast
+BUCKET_BYTES = 1 << 14  # of input
 BLOCK = 1 << 16
 PARTS = 256  # of a set's histogram
 FAN = 64  # blocks of counts added up at once
 PER_REDUCER = 1_500_000  # prefix n-grams
-HOT = 200_000  # occurrences beyond which an n-gram's group is dealt to several reducers
-ACROSS = 1024  # pairs between components beyond which a group is compared by blocks
-CROWD_BLOCK = 192
-BITS = 1 << 24  # of the filter for classes in candidate pairs: 2 MB
+HOT = 200_000  # occurrences (or HOT_SHARE mean buckets) beyond which an n-gram's group is dealt to several reducers
+HOT_SHARE = 8
+CROWD = 64  # classes beyond which an n-gram's group is compared in blocks
+BLOCK_SETS, BLOCK_NGRAMS = 2048, 1 << 21  # of a block
+LEAST_BITS, MOST_BITS = 1 << 24, 1 << 27  # of the filter for classes that are compared
+TOKENS = 2048  # columns of a product of matrices
+
+
+def _buckets(docs: DataFrame) -> int:
+    """Counts grow with the input, as the plan's statistics give it (if they know it), up to a bound."""
+    size = int(str(docs._jdf.queryExecution().optimizedPlan().stats().sizeInBytes()))
+    size = 0 if size >= 1 << 60 else size
+    return min(MOST_BUCKETS, max(LEAST_BUCKETS, 1 << max(0, size // BUCKET_BYTES - 1).bit_length()))
 
 
 def _level(counts: np.ndarray) -> np.ndarray:
@@ -74,15 +88,16 @@ def _wanted(n, m, num: int, den: int):
 
 
 def class_table(docs: DataFrame, id_col: str, text_col: str, size: int, scratch: Scratch) -> tuple[DataFrame, np.ndarray]:
-    """A row for each document (id, text_hash, n, key, parts), and the levels of n-gram counts."""
+    """A row for each document (id, text_hash, n, key, parts), and the n-gram counts of buckets."""
+    buckets = _buckets(docs)
     kind = docs.schema[id_col].dataType.simpleString()
 
     def run(batches):
-        counts = np.zeros(BUCKETS, dtype=np.int32)
+        counts = np.zeros(buckets, dtype=np.int32)
         for batch in batches:
             n, key, parts = [], [], []
             for s in _sets(batch, 1, size):
-                np.add.at(counts, (s & U64(BUCKETS - 1)).astype(np.int64), 1)
+                np.add.at(counts, (s & U64(buckets - 1)).astype(np.int64), 1)
                 n.append(len(s))
                 key.append(_print(s))
                 h = np.bincount((s >> U64(56)).astype(np.int64), minlength=PARTS)
@@ -92,7 +107,7 @@ def class_table(docs: DataFrame, id_col: str, text_col: str, size: int, scratch:
                 [batch.column(0), batch.column(2), pa.array(n, pa.int64()), pa.array(key, pa.int64()), pa.array(parts, pa.binary()), pa.nulls(empty, pa.int32()), pa.nulls(empty, pa.binary())],
                 names=names,
             )
-        blocks = [(i, counts[i * BLOCK : (i + 1) * BLOCK]) for i in range(BUCKETS // BLOCK)]
+        blocks = [(i, counts[i * BLOCK : (i + 1) * BLOCK]) for i in range(buckets // BLOCK)]
         blocks = [(i, zlib.compress(c.astype(np.int64).tobytes(), 1)) for i, c in blocks if c.any()]
         k = len(blocks)
         yield pa.RecordBatch.from_arrays(
@@ -118,18 +133,19 @@ def class_table(docs: DataFrame, id_col: str, text_col: str, size: int, scratch:
         k = -(-k // FAN)
         tables = tables.withColumn("at", F.expr(f"cast(at div {FAN} as int)")).groupBy("block", "at").applyInArrow(add, "block int, counts binary, at int")
         first = False
-    levels = np.zeros(BUCKETS, dtype=np.uint8)
-    for r in tables.collect():  # BUCKETS / BLOCK rows
+    levels = np.zeros(buckets, dtype=np.uint8)
+    for r in tables.collect():  # buckets / BLOCK rows
         levels[r["block"] * BLOCK : (r["block"] + 1) * BLOCK] = _level(np.frombuffer(zlib.decompress(r["counts"]), dtype=np.int64))
     return both.filter("block is null").select("id", "text_hash", "n", "key", "parts"), levels
 
 
-def _prefixes(docs: DataFrame, text_col: str, size: int, num: int, den: int, levels, reducers: int) -> DataFrame:
+def _prefixes(docs: DataFrame, text_col: str, size: int, num: int, den: int, levels, reducers: int, hot_from: float) -> DataFrame:
     """Packed prefix n-grams: reducer, and arrays of token, row, position; of key and set size by row."""
 
     def run(batches):
         lv = levels.value
-        many = np.maximum(1, np.ceil(2 ** (np.arange(256) / 7) / HOT)).astype(np.int64)
+        many = np.maximum(1, np.ceil(2 ** (np.arange(256) / 7) / hot_from)).astype(np.int64)
+        last = U64(len(lv) - 1)
         for batch in batches:
             tokens, rows, places, keys, sizes, seen = [], [], [], [], [], set()
             for s in _sets(batch, 0, size):
@@ -140,7 +156,7 @@ def _prefixes(docs: DataFrame, text_col: str, size: int, num: int, den: int, lev
                     continue
                 seen.add(key)
                 p = _prefix(len(s), num, den)
-                level = lv[(s & U64(BUCKETS - 1)).astype(np.int64)]
+                level = lv[(s & last).astype(np.int64)]
                 order = np.argsort(level, kind="stable")[:p]
                 tokens.append(s[order])
                 rows.append(np.full(p, len(keys), dtype=np.int32))
@@ -151,7 +167,7 @@ def _prefixes(docs: DataFrame, text_col: str, size: int, num: int, den: int, lev
                 continue
             token, row, place = map(np.concatenate, (tokens, rows, places))
             key, n = np.array(keys, dtype=np.int64), np.array(sizes, dtype=np.int32)
-            salts = many[lv[(token & U64(BUCKETS - 1)).astype(np.int64)]]
+            salts = many[lv[(token & last).astype(np.int64)]]
             hot = salts > 1
             to = (token >> U64(32)).astype(np.int64)
             to[hot] += (key[row[hot]] % salts[hot]) * 7919
@@ -192,36 +208,34 @@ def _propose(num: int, den: int):
         count = np.diff(np.append(start, len(token)))
         n, place = n.astype(np.int64), place.astype(np.int64)
 
-        i = np.flatnonzero(token[1:] == token[:-1])
-        i = i[_may(n[i], place[i], n[i + 1], place[i + 1], num, den)]
-        pair = np.unique(np.stack((np.minimum(key[i], key[i + 1]), np.maximum(key[i], key[i + 1])), 1), axis=0) if len(i) else np.zeros((0, 2), dtype=np.int64)
-
-        # groups with the same members are listed once, with the least places
-        listed: dict[int, tuple[int, int, np.ndarray, bool]] = {}
-        big = np.flatnonzero((count > 2) | hot[start])
+        # a listed group stands for all groups with its members; a hot one's members may be in several reducers
+        crowd = (count > CROWD) | hot[start]
         total = np.cumsum(np.append(U64(0), mix(key.astype(np.uint64))), dtype=np.uint64)
-        members_hash = (total[start + count] - total[start]).astype(np.int64)
-        for g in big.tolist():
-            a, c = int(start[g]), int(count[g])
-            warm = bool(hot[a])
-            gid = int(token[a]) | 1 << 40 if warm else int(members_hash[g])
-            if gid in listed and not warm:
-                np.minimum(listed[gid][2], place[a : a + c], out=listed[gid][2])
-            else:
-                listed[gid] = (a, c, place[a : a + c].copy(), warm)
-        at = np.concatenate([np.arange(a, a + c) for a, c, _, _ in listed.values()]) if listed else np.zeros(0, dtype=np.int64)
-        gids = np.concatenate([np.full(c, g, dtype=np.int64) for g, (_, c, _, _) in listed.items()]) if listed else at
-        spots = np.concatenate([p for _, _, p, _ in listed.values()]) if listed else at
-        heads = np.concatenate([np.arange(c) == 0 if w else np.zeros(c, dtype=bool) for _, c, _, w in listed.values()]) if listed else at.astype(bool)
-        pairs, members = len(pair), len(at)
+        gid = (total[start + count] - total[start]).astype(np.int64)
+        gid[hot[start]] = token[start][hot[start]].astype(np.int64) | 1 << 40
+        groups, first = np.unique(gid[crowd], return_index=True)
+        at, many = start[crowd][first], count[crowd][first]
+        members = np.repeat(at - np.append(0, many.cumsum()[:-1]), many) + np.arange(many.sum())
+
+        pairs = np.zeros((0, 2), dtype=np.int64)
+        left = np.flatnonzero(~np.repeat(crowd, count))
+        found, waiting = [pairs], 0
+        for apart in range(1, CROWD):
+            left = left[left + apart < len(token)]
+            left = left[token[left + apart] == token[left]]
+            if not len(left):
+                break
+            i = left[_may(n[left], place[left], n[left + apart], place[left + apart], num, den)]
+            found.append(np.stack((np.minimum(key[i], key[i + apart]), np.maximum(key[i], key[i + apart])), 1))
+            waiting += len(i)
+            if waiting > 1 << 20:
+                found, waiting = [np.unique(np.concatenate(found), axis=0)], 0
+        pairs = np.unique(np.concatenate(found), axis=0)
         return pa.table(
             {
-                "a": pa.array(np.concatenate((pair[:, 0], key[at]))),
-                "b": pa.concat_arrays([pa.array(pair[:, 1]), pa.nulls(members, pa.int64())]),
-                "gid": pa.concat_arrays([pa.nulls(pairs, pa.int64()), pa.array(gids, pa.int64())]),
-                "n": pa.concat_arrays([pa.nulls(pairs, pa.int64()), pa.array(n[at], pa.int64())]),
-                "place": pa.concat_arrays([pa.nulls(pairs, pa.int64()), pa.array(spots, pa.int64())]),
-                "head": pa.concat_arrays([pa.nulls(pairs, pa.bool_()), pa.array(heads, pa.bool_())]),
+                "a": pa.array(np.concatenate((pairs[:, 0], key[members]))),
+                "b": pa.concat_arrays([pa.array(pairs[:, 1]), pa.nulls(len(members), pa.int64())]),
+                "gid": pa.concat_arrays([pa.nulls(len(pairs), pa.int64()), pa.array(np.repeat(groups, many), pa.int64())]),
             }
         )
 
@@ -252,93 +266,157 @@ def _suffix_filter(num: int, den: int):
     return run
 
 
-def _verify(num: int, den: int):
+def _overlaps(sets: list[np.ndarray], left: np.ndarray, right: np.ndarray) -> np.ndarray:
+    """Sizes of the intersections of the left sets with the right ones, as products of matrices."""
+    owner = np.repeat(np.arange(len(sets)), [len(s) for s in sets])
+    token = np.concatenate(sets)
+    order = np.argsort(token, kind="stable")
+    token, owner = token[order], owner[order]
+    edge = np.concatenate(([True], token[1:] != token[:-1]))
+    shared = ~(edge & np.append(edge[1:], True))  # n-grams of one set only can't meet
+    owner, number = owner[shared], np.cumsum(edge[shared]) - 1
+    row, column = np.full(len(sets), -1), np.full(len(sets), -1)
+    row[left], column[right] = np.arange(len(left)), np.arange(len(right))
+    hits = np.zeros((len(left), len(right)), dtype=np.float32)
+    cuts = np.searchsorted(number, np.arange(0, number[-1] + 1 + TOKENS if len(number) else 0, TOKENS))
+    for a, b in zip(cuts[:-1], cuts[1:]):
+        o, t = owner[a:b], number[a:b] - number[a]
+        x, y = np.zeros((len(left), t[-1] + 1), dtype=np.float32), np.zeros((len(right), t[-1] + 1), dtype=np.float32)
+        for m, of in ((x, row), (y, column)):
+            own = of[o] >= 0
+            m[of[o[own]], t[own]] = 1
+        hits += x @ y.T
+    return hits
+
+
+def _linked(side: np.ndarray, key: np.ndarray, copies: np.ndarray, sets: list[np.ndarray], num: int, den: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """Of a pair of blocks (sides 0 and 1, or 0 only for a block with itself):
+    the classes that link, the documents they link to, and the smallest class
+    that the links lead to."""
+    order = np.argsort(key)
+    side, key, copies, sets = side[order], key[order], copies[order], [sets[i] for i in order]
+    left, right = np.flatnonzero(side == 0), np.flatnonzero(side == 1)
+    alone = not len(right)
+    if alone:
+        right = left
+    size = np.array([len(s) for s in sets])
+    hits = _overlaps(sets, left, right)
+    links = np.zeros(len(key), dtype=np.int64)
+    low = np.arange(len(key))
+    for at in range(0, len(left), 256):
+        i = left[at : at + 256]
+        both = hits[at : at + 256].astype(np.int64)
+        x, y = np.nonzero((den + num) * both >= num * (size[i][:, None] + size[right][None, :]))
+        x, y = i[x], right[y]
+        if alone:
+            x, y = x[x != y], y[x != y]
+        np.add.at(links, x, copies[y])
+        if not alone:
+            np.add.at(links, y, copies[x])
+        low = np.minimum(low, smallest_reachable(len(key), np.concatenate((x, np.arange(len(key)))), np.concatenate((y, low))))
+    some = links > 0
+    low = smallest_reachable(len(key), np.arange(len(key)), low)
+    return key[some], links[some], key[low[some]]
+
+
+def _compare(num: int, den: int):
+    """Links of each pair of blocks; rows come sorted by these."""
+
     def run(batches):
+        held: list = []  # parts of the pair of blocks that a batch's end has cut
+        now = None
+
+        def done():
+            side, key, copies, sets = ([x for part in held for x in part[k]] for k in range(4))
+            return _linked(np.array(side), np.array(key), np.array(copies), sets, num, den)
+
         for batch in batches:
-            keep = []
-            for x, y in zip(batch.column("sa").to_pylist(), batch.column("sb").to_pylist()):
-                x, y = np.frombuffer(x, dtype=np.uint64), np.frombuffer(y, dtype=np.uint64)
-                both = np.concatenate((x, y))
-                both.sort()
-                shared = int((both[1:] == both[:-1]).sum())
-                keep.append(den * shared >= num * (len(both) - shared))
-            yield batch.filter(pa.array(keep, pa.bool_())).select(["a", "b"])
+            p, q = batch.column(0).to_numpy(), batch.column(1).to_numpy()
+            side, key, copies = (batch.column(k).to_numpy() for k in (2, 3, 4))
+            sets = [np.frombuffer(x, dtype=np.uint64) for x in batch.column(5).to_pylist()]
+            start = np.flatnonzero(np.concatenate(([True], (p[1:] != p[:-1]) | (q[1:] != q[:-1])))) if len(p) else []
+            out = []
+            for a, b in zip(start, [*start[1:], len(p)]):
+                if held and now != (p[a], q[a]):
+                    out.append(done())
+                    held.clear()
+                now = (p[a], q[a])
+                held.append((side[a:b], key[a:b], copies[a:b], sets[a:b]))
+            if out:
+                yield batch_of(out)
+        if held:
+            yield batch_of([done()])
+
+    def batch_of(out):
+        return pa.RecordBatch.from_arrays([pa.array(np.concatenate(c), pa.int64()) for c in zip(*out)], names=["key", "links", "low"])
 
     return run
 
 
-def class_links(docs: DataFrame, text_col: str, classes: DataFrame, levels: np.ndarray, size: int, num: int, den: int, scratch: Scratch) -> DataFrame:
-    """Verified links ``a``, ``b`` between classes, enough to connect all that
-    any links connect."""
+def class_links(docs: DataFrame, text_col: str, classes: DataFrame, levels: np.ndarray, size: int, num: int, den: int, scratch: Scratch) -> tuple[DataFrame, DataFrame]:
+    """``key``, ``n``, ``copies`` and smallest id ``low`` of every class that isn't empty; and
+    ``key``, ``links``, ``low`` of what each pair of blocks found: the
+    documents that a class links to in it, and the smallest class they lead to."""
     spark = docs.sparkSession
-    sc = spark.sparkContext
-    total = classes.agg(F.sum(F.expr(f"n - ceil({num} * n / {den}) + 1"))).first()[0] or 0
-    reducers = max(int(spark.conf.get("spark.sql.shuffle.partitions")), int(-(-total // PER_REDUCER)))
-    shared = sc.broadcast(levels)
-    packed = _prefixes(docs, text_col, size, num, den, shared, reducers)
-    found = scratch.keep(packed.groupBy("reducer").applyInArrow(_propose(num, den), "a long, b long, gid long, n long, place long, head boolean"))
-    by_key = classes.filter("n > 0").groupBy("key").agg(F.first("n").alias("n"), F.first("parts").alias("parts"))
+    sums = classes.agg(F.sum(F.expr(f"n - ceil({num} * n / {den}) + 1")), F.sum("n")).first()
+    reducers = max(int(spark.conf.get("spark.sql.shuffle.partitions")), -(-int(sums[0] or 0) // PER_REDUCER))
+    hot_from = max(HOT, HOT_SHARE * int(sums[1] or 0) / len(levels))
+    packed = _prefixes(docs, text_col, size, num, den, spark.sparkContext.broadcast(levels), reducers, hot_from)
+    found = scratch.keep(packed.groupBy("reducer").applyInArrow(_propose(num, den), "a long, b long, gid long"))
+    by_key = classes.filter("n > 0").groupBy("key").agg(F.first("n").alias("n"), F.first("parts").alias("parts"), F.count("*").alias("copies"), F.min("id").alias("low"))
     by_key = scratch.keep(by_key)
 
-    def plausible(pairs: DataFrame) -> DataFrame:
-        """The candidate pairs that pass the length and suffix filters."""
-        a = by_key.select(F.col("key").alias("a"), F.col("n").alias("na"), F.col("parts").alias("xa"))
-        b = by_key.select(F.col("key").alias("b"), F.col("n").alias("nb"), F.col("parts").alias("xb"))
-        return scratch.keep(pairs.join(a, "a").join(b, "b").select("a", "b", "na", "nb", "xa", "xb").mapInArrow(_suffix_filter(num, den), "a long, b long"))
-
-    def ends(pairs: DataFrame) -> DataFrame:
-        return pairs.select(F.col("a").alias("key")).unionByName(pairs.select(F.col("b").alias("key")))
-
-    def verified(pairs: DataFrame, full: DataFrame) -> DataFrame:
-        sa, sb = full.select(F.col("key").alias("a"), F.col("s").alias("sa")), full.select(F.col("key").alias("b"), F.col("s").alias("sb"))
-        return scratch.keep(pairs.join(sa, "a").join(sb, "b").select("a", "b", "sa", "sb").mapInArrow(_verify(num, den), "a long, b long"))
-
-    pairs = found.filter("gid is null").select("a", "b")
-    heads = found.filter("head").select("gid", F.col("a").alias("key"), "n")
-    low = heads.groupBy("gid").agg(F.min("key").alias("low"))
-    linked = heads.join(low, "gid").filter("key <> low").select(F.least("key", "low").alias("a"), F.greatest("key", "low").alias("b"))
-    tried = scratch.keep(pairs.unionByName(linked).distinct())
-    pairs = plausible(tried)
-    full = _sets_of(docs, text_col, size, ends(pairs), scratch)
-    links = verified(pairs, full)
-    scratch.drop(full)
-    parts = connected_components(links, scratch)
-
-    members = found.filter("gid is not null").select("gid", F.col("a").alias("key"), "n", "place")
-    members = members.groupBy("gid", "key", "n").agg(F.min("place").alias("place"))
-    members = members.join(parts.withColumnRenamed("node", "key"), "key", "left").withColumn("component", F.coalesce("component", "key"))
-    members = scratch.keep(members)
-    by_part = members.groupBy("gid", "component").agg(F.count("*").alias("c"))
-    apart = by_part.groupBy("gid").agg(F.expr("(sum(c) * sum(c) - sum(c * c)) div 2").alias("across")).filter("across > 0")
-    left = scratch.keep(members.join(apart, "gid"))
-    x, y = left.filter(f"across <= {ACROSS}").alias("x"), left.filter(f"across <= {ACROSS}").alias("y")
-    may = F.expr(
-        f"""x.gid = y.gid and x.component <> y.component and (x.n < y.n or x.n = y.n and x.key < y.key)
-        and {den} * x.n >= {num} * y.n
-        and x.place < x.n - ceil({2 * num} * x.n / {num + den}) + 1
-        and least(x.n - x.place, y.n - y.place) >= ceil({num} * (x.n + y.n) / {num + den})"""
-    )
-    more = x.join(y, may).select(F.least("x.key", "y.key").alias("a"), F.greatest("x.key", "y.key").alias("b")).distinct()
-    more = plausible(more.join(tried, ["a", "b"], "left_anti"))
-    crowd = left.filter(f"across > {ACROSS}").select("gid", "key", "n", "component")
-    full = _sets_of(docs, text_col, size, ends(more).unionByName(crowd.select("key")), scratch)
-    links = links.unionByName(verified(more, full))
-    if not crowd.isEmpty():
-        links = links.unionByName(_links_by_blocks(crowd, full, num, den, scratch))
-    return links
+    a = by_key.select(F.col("key").alias("a"), F.col("n").alias("na"), F.col("parts").alias("xa"))
+    b = by_key.select(F.col("key").alias("b"), F.col("n").alias("nb"), F.col("parts").alias("xb"))
+    pairs = found.filter("gid is null").select("a", "b").distinct()
+    pairs = scratch.keep(pairs.join(a, "a").join(b, "b").select("a", "b", "na", "nb", "xa", "xb").mapInArrow(_suffix_filter(num, den), "a long, b long"))
+    listed = found.filter("gid is not null").select("gid", F.col("a").alias("key")).distinct()
+    need = _needed(pairs, listed, by_key, num, den, scratch)
+
+    full = _sets_of(docs, text_col, size, need.select("key"), scratch)
+    dealt = need.join(full, "key").select("p", "q", "side", "key", "copies", "s").repartition("p", "q").sortWithinPartitions("p", "q")
+    return by_key.drop("parts"), scratch.keep(dealt.mapInArrow(_compare(num, den), "key long, links long, low long"))
+
+
+def _needed(pairs: DataFrame, listed: DataFrame, by_key: DataFrame, num: int, den: int, scratch: Scratch) -> DataFrame:
+    """The pairs of blocks ``p``, ``q`` that hold a proposed pair or members of
+    one listed group, and the classes they are to compare: ``side``, ``key``, ``copies``."""
+    heads = listed.groupBy("gid").agg(F.min("key").alias("home"))
+    homes = pairs.select(F.col("a").alias("key"), F.col("a").alias("home")).unionByName(pairs.select(F.col("b").alias("key"), F.col("a").alias("home")))
+    homes = homes.unionByName(listed.join(heads, "gid").select("key", "home")).groupBy("key").agg(F.min("home").alias("home"))
+    # linked sets are of one size range or of neighbouring ones
+    who = homes.join(by_key.select("key", "n", "copies"), "key").withColumn("cls", F.floor(F.log("n") / float(np.log(den / num))).cast("int"))
+    who = scratch.keep(who)
+    sizes = who.groupBy("home", "cls").agg(F.greatest(F.ceil(F.count("*") / BLOCK_SETS), F.ceil(F.sum("n") / BLOCK_NGRAMS)).cast("int").alias("blocks"))
+    who = who.join(sizes.filter("blocks > 1"), ["home", "cls"], "left")
+    nth = F.coalesce(F.pmod(F.xxhash64("key"), F.col("blocks")), F.lit(0))
+    who = scratch.keep(who.select("key", "copies", "cls", F.xxhash64("home", "cls", nth).alias("block")))
+
+    x = who.select(F.col("key").alias("a"), F.col("block").alias("pa"), F.col("copies").alias("ca"))
+    y = who.select(F.col("key").alias("b"), F.col("block").alias("pb"), F.col("copies").alias("cb"))
+    met = pairs.join(x, "a").join(y, "b")
+    ends = F.explode(F.expr("array(struct(a as key, pa as own, pb as other, ca as copies), struct(b as key, pb as own, pa as other, cb as copies))"))
+    met = met.select(ends.alias("e")).select("e.*")
+    members = listed.join(who, "key")
+    others = members.select("gid", F.col("block").alias("other"), F.col("cls").alias("beside")).distinct()
+    crowds = members.join(others, "gid").filter("abs(cls - beside) <= 1").select("key", F.col("block").alias("own"), "other", "copies")
+    every = met.unionByName(crowds).distinct()
+    return scratch.keep(every.select(F.least("own", "other").alias("p"), F.greatest("own", "other").alias("q"), F.expr("cast(own > other as int)").alias("side"), "key", "copies"))
 
 
 def _sets_of(docs: DataFrame, text_col: str, size: int, keys: DataFrame, scratch: Scratch) -> DataFrame:
     """``key`` and its full set ``s``, for the given classes."""
     sc = docs.sparkSession.sparkContext
     keys = scratch.keep(keys.distinct())
-    spot = F.expr(f"pmod(key, {BITS}) + 1")  # Spark's bitmaps number bits from one
+    many = keys.count()
+    if not many:
+        return keys.withColumn("s", F.lit(None).cast("binary"))
+    size_of = min(MOST_BITS, max(LEAST_BITS, 1 << (16 * many - 1).bit_length()))
+    spot = F.expr(f"pmod(key, {size_of}) + 1")  # Spark's bitmaps number bits from one
     rows = keys.select(F.bitmap_bucket_number(spot).alias("k"), F.bitmap_bit_position(spot).alias("bit")).groupBy("k").agg(F.bitmap_construct_agg("bit").alias("bits")).collect()
-    bits = np.zeros(BITS // 8, dtype=np.uint8)
-    for r in rows:  # BITS / 32768 rows at most
+    bits = np.zeros(size_of // 8, dtype=np.uint8)
+    for r in rows:  # size_of / 32768 rows at most
         bits[(r["k"] - 1) * 4096 : r["k"] * 4096] = np.frombuffer(r["bits"], dtype=np.uint8)
-    if not rows:
-        return keys.withColumn("s", F.lit(None).cast("binary"))
     wanted = sc.broadcast(bits)
 
     def sets(batches):
@@ -349,7 +427,7 @@ def _sets_of(docs: DataFrame, text_col: str, size: int, keys: DataFrame, scratch
                 if not len(s):
                     continue
                 k = _print(s)
-                p = k % BITS
+                p = k % size_of
                 if wanted.value[p >> 3] >> (p & 7) & 1 and k not in seen:
                     seen.add(k)
                     keys.append(k)
@@ -360,81 +438,14 @@ def _sets_of(docs: DataFrame, text_col: str, size: int, keys: DataFrame, scratch
     return scratch.keep(full.join(keys, "key", "left_semi").groupBy("key").agg(F.first("s").alias("s")))
 
 
-def _links_by_blocks(crowd: DataFrame, full: DataFrame, num: int, den: int, scratch: Scratch) -> DataFrame:
-    """Links between the components of groups in which too many pairs are left.
-
-    Groups that share members form one crowd. Its members are dealt into blocks
-    by size class, a class spanning the ratio that linked sets may have. All
-    pairs of blocks of one class or of neighbouring ones are counted as matrix
-    products, each in a task of its own, which returns only as many links as connect
-    what it found.
-    """
-    graph = crowd.select(F.expr("gid ^ 6148914691236517205").alias("a"), F.col("key").alias("b"))
-    parts = connected_components(graph, scratch).withColumnRenamed("node", "key")
-    width = float(np.log(den / num))
-    who = crowd.select("key", "n", "component").distinct().join(parts.withColumnRenamed("component", "crowd"), "key")
-    who = scratch.keep(who.withColumn("cls", F.floor(F.log("n") / width).cast("int")))
-    blocks = scratch.keep(who.groupBy("crowd", "cls").agg(F.ceil(F.count("*") / CROWD_BLOCK).cast("int").alias("blocks")))
-    above = blocks.select("crowd", (F.col("cls") - 1).alias("cls"), F.col("blocks").alias("above"))
-    below = blocks.select("crowd", (F.col("cls") + 1).alias("cls"), F.col("blocks").alias("below"))
-    who = who.join(blocks, ["crowd", "cls"]).join(above, ["crowd", "cls"], "left").join(below, ["crowd", "cls"], "left")
-    who = who.withColumn("h", F.expr("cast(pmod(xxhash64(key), blocks) as int)"))
-    meet = """concat(
-        transform(sequence(0, blocks - 1), o -> struct(cls as c1, least(h, o) as h1, cls as c2, greatest(h, o) as h2, if(o = h, 2, int(o < h)) as side)),
-        if(above is null, array(), transform(sequence(0, above - 1), o -> struct(cls as c1, h as h1, cls + 1 as c2, o as h2, 0 as side))),
-        if(below is null, array(), transform(sequence(0, below - 1), o -> struct(cls - 1 as c1, o as h1, cls as c2, h as h2, 1 as side))))"""
-    dealt = who.select("crowd", "key", "component", F.explode(F.expr(meet)).alias("m")).select("crowd", "m.*", "key", "component")
-    dealt = dealt.join(full, "key")
-
-    def count(table: pa.Table) -> pa.Table:
-        side = np.array(table.column("side").to_pylist())
-        key, part = table.column("key").to_pylist(), table.column("component").to_pylist()
-        s = [np.frombuffer(x, dtype=np.uint64) for x in table.column("s").to_pylist()]
-        left, right = np.flatnonzero(side != 1), np.flatnonzero(side != 0)
-        out = []
-        if len(left) and len(right):
-            x, y = (np.concatenate([s[i] for i in side_]) for side_ in (left, right))
-            shared = np.intersect1d(x, y)
-            hits = np.zeros((len(left), len(right)), dtype=np.float32)
-            for at in range(0, len(shared), 4096):
-                some = shared[at : at + 4096]
-                m = []
-                for rows in (left, right):
-                    a = np.zeros((len(rows), len(some)), dtype=np.float32)
-                    for r, i in enumerate(rows):
-                        p = np.minimum(np.searchsorted(some, s[i]), len(some) - 1)
-                        a[r, p[some[p] == s[i]]] = 1
-                    m.append(a)
-                hits += m[0] @ m[1].T
-            hits = hits.astype(np.int64)
-            size = np.array([len(v) for v in s])
-            linked = den * hits >= num * (size[left][:, None] + size[right][None, :] - hits)
-            root: dict[int, int] = {}
-
-            def find(v):
-                while root.setdefault(v, v) != v:
-                    root[v] = root[root[v]]
-                    v = root[v]
-                return v
-
-            for i, j in np.argwhere(linked).tolist():
-                a, b = find(part[left[i]]), find(part[right[j]])
-                if a != b:
-                    root[a] = b
-                    out.append((key[left[i]], key[right[j]]))
-        return pa.table({"a": pa.array([a for a, _ in out], pa.int64()), "b": pa.array([b for _, b in out], pa.int64())})
-
-    return scratch.keep(dealt.groupBy("crowd", "c1", "h1", "c2", "h2").applyInArrow(count, "a long, b long"))
-
-
 def ngram_jaccard_join(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", size: int = 5, num: int = 75, den: int = 100) -> DataFrame:
-    """``id_col``, ``n_shingles``, ``component_id`` for each row of ``docs``.
+    """``id_col``, ``n_shingles``, ``component_id``, ``n_links`` for each row of ``docs``.
 
     Words are ``[^\\x20\\x09-\\x0D]+`` of the text with A-Z lower-cased; a text
     of fewer words than ``size`` is one shingle; a null or wordless text has
     none, links with nothing and is its own component. Two documents link when
     ``den * intersection >= num * union``. ``component_id`` is the smallest id
-    reachable by links. A row with a null id takes part like any other, and
+    reachable by links, ``n_links`` the number of other rows linked directly. A row with a null id takes part like any other, and
     its component is the smallest id of the others (null if there are none);
     repeated rows link with one another. Other columns are not read, so their
     names may clash with anything. An empty table gives an empty result.
@@ -443,21 +454,22 @@ def ngram_jaccard_join(docs: DataFrame, id_col: str = "doc_id", text_col: str =
     by a 64-bit fingerprint of them.
     """
     out = _grouped(docs, id_col, text_col, size, num, den, Scratch(docs.sparkSession, "jaccard"))
-    return out.select(F.col("id").alias(id_col), F.col("n").alias("n_shingles"), "component_id")
+    return out.select(F.col("id").alias(id_col), F.col("n").alias("n_shingles"), "component_id", "n_links")
 
 
 def _grouped(docs: DataFrame, id_col: str, text_col: str, size: int, num: int, den: int, scratch: Scratch) -> DataFrame:
-    """``id``, ``text_hash``, ``n``, ``component_id`` and ``component`` (null without words) by row."""
+    """``id``, ``text_hash``, ``n``, ``component_id``, ``n_links`` and ``component`` (null without words) by row."""
     classes, levels = class_table(docs, id_col, text_col, size, scratch)
-    links = class_links(docs, text_col, classes, levels, size, num, den, scratch)
-    parts = connected_components(links, scratch)
-    of_class = classes.filter("n > 0").groupBy("key").agg(F.min("id").alias("low"))
-    of_class = of_class.join(parts.withColumnRenamed("node", "key"), "key", "left").withColumn("component", F.coalesce("component", "key"))
-    lowest = of_class.groupBy("component").agg(F.min("low").alias("component_id"))
-    names = of_class.join(lowest, "component").select("key", "component", "component_id")
+    by_key, found = class_links(docs, text_col, classes, levels, size, num, den, scratch)
+    parts = connected_components(found.select(F.col("key").alias("a"), F.col("low").alias("b")), scratch)
+    links = found.groupBy("key").agg(F.sum("links").alias("links"))
+    each = by_key.join(parts.withColumnRenamed("node", "key"), "key", "left").join(links, "key", "left")
+    each = scratch.keep(each.select("key", "low", F.coalesce("component", "key").alias("component"), (F.coalesce("links", F.lit(0)) + F.col("copies") - 1).alias("n_links")))
+    lowest = each.groupBy("component").agg(F.min("low").alias("component_id"))
+    names = each.join(lowest, "component").select("key", "component", "component_id", "n_links")
     shared = classes.filter("n > 0").join(names, "key")
-    alone = classes.filter("n = 0").withColumn("component_id", F.col("id")).withColumn("component", F.lit(None).cast("long"))
-    columns = ["id", "text_hash", "n", "component_id", "component"]
+    alone = classes.filter("n = 0").select("*", F.lit(None).cast("long").alias("component"), F.col("id").alias("component_id"), F.lit(0).cast("long").alias("n_links"))
+    columns = ["id", "text_hash", "n", "component_id", "n_links", "component"]
     return shared.select(*columns).unionByName(alone.select(*columns))
 
 

@@ -15,8 +15,9 @@ p AS (SELECT a.rid AS x, b.rid AS y, count(*) AS k FROM s a JOIN s b ON a.sh = b
 links AS (
   SELECT x, y FROM p JOIN n a ON a.rid = x JOIN n b ON b.rid = y WHERE 100 * k >= 75 * (a.n + b.n - k)),
 reach AS (SELECT rid, rid AS r FROM w UNION SELECT reach.rid, y FROM reach JOIN links ON x = r)
-SELECT w.doc_id, coalesce(any_value(n.n), 0) AS n_shingles, min(v.doc_id) AS component_id
-FROM w LEFT JOIN n USING (rid) JOIN reach USING (rid) JOIN w v ON v.rid = reach.r
+SELECT w.doc_id, coalesce(any_value(n.n), 0) AS n_shingles, min(v.doc_id) AS component_id, coalesce(any_value(l.n), 0)::BIGINT AS n_links
+FROM w LEFT JOIN n USING (rid) LEFT JOIN (SELECT x, count(*) AS n FROM links GROUP BY x) l ON l.x = w.rid
+JOIN reach USING (rid) JOIN w v ON v.rid = reach.r
 GROUP BY w.rid, w.doc_id"""
 
 CONTAMINATION = rf"""

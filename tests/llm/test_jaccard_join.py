@@ -17,9 +17,9 @@ def shingles(text, size=5):
 
 
 def brute(docs):
-    """(id, size, component) of each row, by comparing all pairs."""
+    """(id, size, component, links) of each row, by comparing all pairs."""
     sets = [shingles(t) for _, t in docs]
-    root = list(range(len(docs)))
+    root, links = list(range(len(docs))), [0] * len(docs)
 
     def find(i):
         while root[i] != i:
@@ -31,11 +31,13 @@ def brute(docs):
             k = len(sets[i] & sets[j])
             if k and 100 * k >= 75 * (len(sets[i]) + len(sets[j]) - k):
                 root[find(i)] = find(j)
+                links[i] += 1
+                links[j] += 1
     low = {}
     for i, (d, _) in enumerate(docs):
         if d is not None:
             low[find(i)] = min(low.get(find(i), d), d)
-    return sorted(((d, len(sets[i]), low.get(find(i))) for i, (d, _) in enumerate(docs)), key=lambda t: tuple((x is None, x) for x in t))
+    return sorted(((d, len(sets[i]), low.get(find(i)), links[i]) for i, (d, _) in enumerate(docs)), key=lambda t: tuple((x is None, x) for x in t))
 
 
 @settings(max_examples=60, deadline=None)
@@ -70,16 +72,19 @@ def docs(prose):
 def test_groups_are_those_of_brute_force(spark, docs):
     df = spark.createDataFrame(docs, "doc_id long, text string").selectExpr("*", "1 as n", "'x' as key", "2 as component_id")
     out = jaccard_join.ngram_jaccard_join(df)
-    assert out.columns == ["doc_id", "n_shingles", "component_id"]
-    assert rows(out, "doc_id", "n_shingles", "component_id") == brute(docs)
+    assert out.columns == ["doc_id", "n_shingles", "component_id", "n_links"]
+    assert rows(out, "doc_id", "n_shingles", "component_id", "n_links") == brute(docs)
 
 
-def test_blocks_and_hot_ngrams_find_the_same_groups(spark, docs, monkeypatch):
-    monkeypatch.setattr(jaccard_join, "ACROSS", 0)
-    monkeypatch.setattr(jaccard_join, "CROWD_BLOCK", 4)
-    monkeypatch.setattr(jaccard_join, "HOT", 2)
+@pytest.mark.parametrize("crowd, hot, sets", [(2, 200_000, 2048), (64, 2, 2048), (3, 200_000, 4), (2, 2, 4)])
+def test_blocks_and_hot_ngrams_find_the_same_links(spark, docs, monkeypatch, crowd, hot, sets):
+    monkeypatch.setattr(jaccard_join, "CROWD", crowd)
+    monkeypatch.setattr(jaccard_join, "BLOCK_SETS", sets)
+    monkeypatch.setattr(jaccard_join, "HOT", hot)
+    monkeypatch.setattr(jaccard_join, "HOT_SHARE", 0)
+    monkeypatch.setattr(jaccard_join, "TOKENS", 7)
     out = jaccard_join.ngram_jaccard_join(spark.createDataFrame(docs, "doc_id long, text string"))
-    assert rows(out, "doc_id", "n_shingles", "component_id") == brute(docs)
+    assert rows(out, "doc_id", "n_shingles", "component_id", "n_links") == brute(docs)
 
 
 def test_one_document_of_each_group_stays_as_it_is(spark, docs):
@@ -88,7 +93,7 @@ def test_one_document_of_each_group_stays_as_it_is(spark, docs):
     assert kept.schema == df.schema
     got = kept.collect()
     assert {r["_hash"] for r in got} <= {f"s{i}" for i in range(len(docs))}
-    components = {c for _, n, c in brute(docs) if n}
+    components = {c for _, n, c, _ in brute(docs) if n}
     assert sorted(r["doc_id"] for r in got if shingles(r["text"])) == sorted(components)
     assert sum(not shingles(r["text"]) for r in got) == sum(not shingles(t) for _, t in docs)
 

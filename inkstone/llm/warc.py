@@ -3,7 +3,9 @@
 Records are gzip members of their own. The reader checks each member and
 record (compression, version line, lengths, payload digest); where a check
 fails it searches for the next place at which a valid member or version line
-begins, goes on from there, and logs the bytes between as quarantined.
+begins, goes on from there, and logs the bytes between as quarantined. The same
+search goes on inside decompressed members that hold several records, and a
+damaged member is read as far as it can be decompressed.
 """
 
 from __future__ import annotations
@@ -59,11 +61,17 @@ def member(data: bytes) -> bytes:
 
 @dataclass
 class Record:
+    """``first`` and ``end`` are bytes of the archive, of the whole member if
+    there is one; ``inner`` has the bytes of the decompressed member. ``sound`` is
+    false if that member is damaged, so that only the payload's digest vouches for the record."""
+
     first: int
     end: int
     headers: dict[str, str]
     payload: bytes | None
     payload_bytes: int
+    inner: tuple[int, int] | None = None
+    sound: bool = True
 
     @property
     def kind(self) -> str:
@@ -75,6 +83,7 @@ class Gap:
     first: int
     end: int
     reason: str
+    inner: tuple[int, int] | None = None
 
 
 def _headers(block: bytes) -> dict[str, str]:
@@ -122,47 +131,99 @@ def parse_record(data: bytes, at: int = 0) -> tuple[dict[str, str], bytes | None
     return headers, payload, length, end + 4
 
 
-def _member(data: bytes, at: int, step: int = 1 << 16) -> tuple[bytes, int]:
-    """The gzip member that begins at ``at``, and where it ends."""
+def _member(data: bytes, at: int, step: int = 1 << 16) -> tuple[bytes, int, str | None]:
+    """What can be decompressed of the gzip member that begins at ``at``, where it
+    ends, and what is wrong with it."""
     z, out, view = zlib.decompressobj(wbits=31), [], memoryview(data)
-    try:
-        while not z.eof and at < len(data):
+    while not z.eof and at < len(data):
+        before = z.copy()
+        try:
             out.append(z.decompress(view[at : at + step]))
             at += step
-    except zlib.error as e:
-        raise ValueError(f"member: {e}") from None
-    if not z.eof:
-        raise ValueError("member is cut off")
-    return b"".join(out), min(at, len(data)) - len(z.unused_data)
-
-
-def salvage(data: bytes) -> Iterator[Record | Gap]:
-    """All valid records of an archive, plain or gzipped, and the gaps between."""
-    at, n, bad, why = 0, len(data), None, ""
-    while at < n:
+        except zlib.error as e:
+            if step == 1:
+                return b"".join(out), at, f"member: {e}"
+            z, step = before, step // 16  # up to the byte that can't be read
+    at = min(at, len(data)) - len(z.unused_data)
+    return b"".join(out), at, None if z.eof else "member is cut off"
+
+
+def _inside(inner: bytes) -> Iterator[Record | Gap]:
+    """Records and gaps of decompressed bytes, which both ranges are of."""
+    at, bad, why = 0, None, ""
+    while at < len(inner):
         try:
-            if data[at : at + 3] == b"\x1f\x8b\x08":
-                inner, end = _member(data, at)
-                found, k = [], 0
-                while k < len(inner):
-                    headers, payload, length, k = parse_record(inner, k)
-                    found.append(Record(at, end, headers, payload, length))
-            else:
-                headers, payload, length, end = parse_record(data, at)
-                found = [Record(at, end, headers, payload, length)]
+            headers, payload, length, end = parse_record(inner, at)
         except ValueError as e:
             if bad is None:
                 bad, why = at, str(e)
-            m = _START.search(data, at + 1)
-            at = m.start() if m else n
+            m = _VERSION.search(inner, at + 1)
+            at = m.start() if m else len(inner)
             continue
         if bad is not None:
-            yield Gap(bad, at, why)
+            yield Gap(bad, at, why, (bad, at))
             bad = None
-        yield from found
+        yield Record(at, end, headers, payload, length, (at, end))
         at = end
     if bad is not None:
-        yield Gap(bad, n, why)
+        yield Gap(bad, at, why, (bad, at))
+
+
+def salvage(data: bytes) -> Iterator[Record | Gap]:
+    """All valid records of an archive, plain or gzipped, and the gaps between.
+
+    What is in one member has the member's range in the archive. A damaged
+    member's range reaches to the next valid one; its records whose payloads have the
+    digest they name come first, and then a gap for what couldn't be read. If
+    one record is all there is in a damaged member, the damage is in it.
+    """
+    at, n = 0, len(data)
+    bad, why, read, inner = None, "", [], None  # of the damaged stretch: first byte, reason, items that were read of it, the unread part
+
+    def closed(end):
+        for x in read:
+            x.first, x.end = bad, end
+            if isinstance(x, Record):
+                x.sound = False
+            yield x
+        yield Gap(bad, end, why, inner)
+
+    while at < n:
+        found, wrong = [], None
+        if data[at : at + 3] == b"\x1f\x8b\x08":
+            content, end, wrong = _member(data, at)
+            found = list(_inside(content))
+            rest = None
+            if wrong:
+                # a record that the damage has cut is part of the final gap
+                rest = found.pop().inner[0] if found and isinstance(found[-1], Gap) else len(content)
+                alone = len(found) == 1 and rest == len(content)
+                found = [] if alone else [x for x in found if isinstance(x, Gap) or x.payload is not None and "warc-payload-digest" in x.headers]
+            good = any(isinstance(x, Record) for x in found)
+            for x in found:
+                x.first, x.end = at, end
+            if not wrong and not good and found:
+                wrong = found[0].reason
+        else:
+            good, rest = False, None
+            try:
+                headers, payload, length, end = parse_record(data, at)
+                found, good = [Record(at, end, headers, payload, length)], True
+            except ValueError as e:
+                wrong = str(e)
+        if good and bad is not None:
+            yield from closed(at)
+            bad = None
+        if not wrong:
+            yield from found
+            at = end
+            continue
+        if bad is None:
+            bad, why, read, inner = at, wrong, found if good else [], (rest, len(content)) if good and rest is not None else None
+        m = _START.search(data, at + 1)
+        at = m.start() if m else n
+    if bad is not None:
+        yield from closed(n)
 
 
 def decide_records(pages: DataFrame, id_col: str = "page_id", html_col: str = "html", least: int = 0) -> DataFrame:
@@ -205,10 +266,12 @@ def read_archives(archives: DataFrame) -> DataFrame:
     """Records and gaps of archives (``name``, ``content``), as from
     ``write_archives`` or, renamed, the binaryFile source.
 
-    Of a gap only ``archive``, ``first_byte``, ``end_byte`` and ``gap`` (the
-    check that failed) are set. A null or empty archive has neither.
+    Of a gap only ``archive``, ``first_byte``, ``end_byte``, ``gap`` (the
+    check that failed) and, if it lies in a member, ``inner_first`` and ``inner_end``
+    (bytes of the decompressed member) are set. ``sound`` is false for records of
+    damaged members. A null or empty archive has neither.
     """
-    schema = "archive string, first_byte long, end_byte long, gap string, record_id string, record_type string, target_uri string, payload binary, payload_bytes long, payload_digest string, refers_to string"
+    schema = "archive string, first_byte long, end_byte long, inner_first long, inner_end long, sound boolean, gap string, record_id string, record_type string, target_uri string, payload binary, payload_bytes long, payload_digest string, refers_to string"
 
     def run(batches):
         for b in batches:
@@ -216,12 +279,12 @@ def read_archives(archives: DataFrame) -> DataFrame:
                 out = []
                 for x in salvage(content.as_py() or b""):
                     if isinstance(x, Gap):
-                        out.append((name.as_py(), x.first, x.end, x.reason, *[None] * 7))
+                        out.append((name.as_py(), x.first, x.end, *(x.inner or (None, None)), None, x.reason, *[None] * 7))
                     else:
                         h = x.headers
                         named = h.get("warc-payload-digest", "")
-                        out.append((name.as_py(), x.first, x.end, None, h.get("warc-record-id", "").strip("<>"), x.kind, h.get("warc-target-uri"), x.payload, x.payload_bytes, named.removeprefix("sha1:") or None, h["warc-refers-to"].strip("<>") if "warc-refers-to" in h else None))
-                kinds = (pa.string(), pa.int64(), pa.int64(), pa.string(), pa.string(), pa.string(), pa.string(), pa.binary(), pa.int64(), pa.string(), pa.string())
+                        out.append((name.as_py(), x.first, x.end, *(x.inner or (None, None)), x.sound, None, h.get("warc-record-id", "").strip("<>"), x.kind, h.get("warc-target-uri"), x.payload, x.payload_bytes, named.removeprefix("sha1:") or None, h["warc-refers-to"].strip("<>") if "warc-refers-to" in h else None))
+                kinds = (pa.string(), pa.int64(), pa.int64(), pa.int64(), pa.int64(), pa.bool_(), pa.string(), pa.string(), pa.string(), pa.string(), pa.binary(), pa.int64(), pa.string(), pa.string())
                 names = [x.split()[0] for x in schema.split(", ")]
                 columns = zip(*out) if out else [()] * len(kinds)
                 yield pa.RecordBatch.from_arrays([pa.array(list(c), k) for c, k in zip(columns, kinds)], names=names)

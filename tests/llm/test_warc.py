@@ -1,6 +1,7 @@
 import base64
 import gzip
 import hashlib
+import random
 
 import pytest
 from hypothesis import given, settings
@@ -72,10 +73,34 @@ def test_payloads_survive_and_no_damage_raises(payload, at, to):
     assert [x.payload for x in warc.salvage(good)] == [payload, b"tail"]
     bad = bytearray(good)
     bad[at % len(bad)] = to
-    ends = [(x.first, x.end) for x in warc.salvage(bytes(bad))]
+    ends = list(dict.fromkeys((x.first, x.end) for x in warc.salvage(bytes(bad))))
     assert ends[0][0] == 0 and ends[-1][1] == len(bad) and all(a[1] == b[0] for a, b in zip(ends, ends[1:]))
 
 
+def test_one_bad_record_of_a_member_costs_no_other():
+    parts = archive(5, plain=True)
+    start, end = len(parts[0]), len(parts[0]) + len(parts[1])
+    one = warc.member(b"".join([parts[0], parts[1].replace(b"<p>1</p>", b"<p>x</p>", 1), *parts[2:]]))
+    got = list(warc.salvage(one + warc.member(warc.record(9, "u", b"after"))))
+    assert [x.reason if isinstance(x, warc.Gap) else x.headers["warc-record-id"] for x in got] == [name(0), "payload digest differs", name(2), name(3), name(4), name(9)]
+    assert got[1].inner == (start, end) and {(x.first, x.end) for x in got[:5]} == {(0, len(one))}
+
+
+def test_a_damaged_member_is_read_up_to_the_damage():
+    r = random.Random(3)
+    parts = [warc.record(i, "u", r.randbytes(3000)) for i in range(5)]
+    one = bytearray(warc.member(b"".join(parts)))
+    after = warc.member(warc.record(9, "u", b"after"))
+    cut = list(warc.salvage(bytes(one[: 10_000])))
+    assert [x.headers["warc-record-id"] for x in cut[:-1]] == [name(i) for i in range(len(cut) - 1)] and len(cut) > 3
+    assert cut[-1].reason == "member is cut off" and cut[-1].inner[0] == sum(map(len, parts[: len(cut) - 1]))
+    one[10_000] ^= 0xFF
+    got = list(warc.salvage(b"junk" + bytes(one) + after))
+    names = ["gap" if isinstance(x, warc.Gap) else x.headers["warc-record-id"] for x in got]
+    assert names[:4] == ["gap", name(0), name(1), name(2)] and names[-2:] == ["gap", name(9)]
+    assert (got[0].first, got[0].end) == (0, 4) and {(x.first, x.end) for x in got[1:-1]} == {(4, 4 + len(one))}
+
+
 def test_gaps_are_logged_by_the_reader(spark):
     parts = archive(3)
     data = parts[0] + b"\x1f\x8b\x08" + parts[1][5:] + parts[2]

@@ -3,26 +3,32 @@
 Two variable-order Markov models of characters are learned, one from the URLs
 that rules accept and one from those they reject. An undecided URL is judged by
 the difference of its log-likelihoods by character, against a threshold that
-is calibrated on decided URLs which the models haven't seen. Counts are kept
-in tables of fixed size, so they add up over any number of URLs.
+is calibrated on decided URLs which the models haven't seen.
+
+A model is a table with the exact counts of every context and of every context
+with its next character, so it grows with the URLs and is never brought to one machine.
+URLs are scored by batches: a batch asks the table for its distinct contexts, and the
+answers meet its URLs in one task.
 """
 
 from __future__ import annotations
 
+from collections.abc import Iterator
+
 import numpy as np
 import pyarrow as pa
-import pyarrow.compute  # noqa: F401
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql.pandas.types import to_arrow_type
 
-from inkstone.llm.scratch import bounded_batches
-from inkstone.llm.wordhash import U64, column_bytes, mix
+from inkstone.llm.scratch import Scratch
+from inkstone.llm.wordhash import column_bytes, slices
 
 #: Production rules: verdict and host with path.
 RULES = (("block", "com/en/"), ("allow", "example.com/en/7"), ("allow", "net/de/"), ("block", "example.net/de/8"), ("block", "org/es/"))
-ORDER = 5  # characters of the longest context
-TABLE = 1 << 16
+ORDER = 5  # bytes of the longest context; with the next one they fit a long
 BINS = 512
+WIDTH = 8.0  # differences beyond it count with the last bins
 
 
 def _lower(c: Column) -> Column:
@@ -47,103 +53,112 @@ def with_rules(pages: DataFrame, url_col: str, rules=RULES) -> DataFrame:
     return out.withColumn("rule", rule).withColumn("by_rule", verdict)
 
 
-def _strings(hosts, paths) -> tuple[np.ndarray, np.ndarray]:
-    """Host and path of each row as bytes, after ORDER spaces and before one."""
-    joined = [" " * ORDER + h + p + " " for h, p in zip(hosts.to_pylist(), paths.to_pylist())]
-    return column_bytes(pa.array(joined, pa.large_string()))
+def _strings(hosts: pa.Array, paths: pa.Array) -> Iterator[tuple[np.ndarray, np.ndarray]]:
+    """Bytes and offsets of host and path, after ORDER spaces and before one, by parts of bounded size."""
+    joined = pa.array([" " * ORDER + h + p + " " for h, p in zip(hosts.to_pylist(), paths.to_pylist())], pa.large_string())
+    data, offs = column_bytes(joined)
+    for a, b in slices(offs):
+        yield data[offs[a] : offs[b]], offs[a : b + 1] - offs[a]
 
 
-def _contexts(data: np.ndarray, offsets: np.ndarray):
-    """Places of the characters to predict, and for each context length from 0
-    their table entries as contexts and with the character."""
-    n = np.diff(offsets)
-    skip = np.arange(len(data)) - np.repeat(offsets[:-1], n)
+def _codes(data: np.ndarray, offsets: np.ndarray) -> tuple[np.ndarray, Iterator[tuple[np.ndarray, np.ndarray]]]:
+    """Places of the bytes to predict, and for each context length from 0 the
+    exact codes of their contexts, alone and with the byte: length and bytes in a long."""
+    skip = np.arange(len(data)) - np.repeat(offsets[:-1], np.diff(offsets))
     at = np.flatnonzero(skip >= ORDER)
-    h = np.zeros(len(at), dtype=np.uint64)
-    byte = data.astype(np.uint64)
-    out = []
-    for k in range(ORDER + 1):
-        if k:
-            h = mix(h * U64(257) + byte[at - k] + U64(1))
-        salt = U64(k * 0x9E3779B9)
-        context = mix(h + salt)
-        both = mix(context + byte[at] + U64(1))
-        out.append(((context & U64(TABLE - 1)).astype(np.int64), (both & U64(TABLE - 1)).astype(np.int64)))
-    return at, out
-
-
-class UrlModel:
-    """Counts of contexts, and of contexts with a next character, of one class."""
-
-    def __init__(self, contexts: np.ndarray, pairs: np.ndarray):
-        self.contexts, self.pairs = contexts, pairs
-
-    def log_likelihood(self, entries) -> np.ndarray:
-        """Of each character: counts of longer contexts, smoothed by shorter ones."""
-        p = np.full(len(entries[0][0]), 1 / 256)
-        for k, (context, pair) in enumerate(entries):
-            weight = 1.0 + k
-            p = (self.pairs[k][pair] + weight * p) / (np.maximum(self.contexts[k][context], self.pairs[k][pair]) + weight)
-        return np.log(p)
-
-
-def differences(models: tuple[UrlModel, UrlModel], hosts, paths) -> np.ndarray:
-    """Log-likelihood of each URL by the accepted less by the rejected model, by character."""
-    if not len(hosts):
-        return np.zeros(0)
-    data, offs = _strings(hosts, paths)
-    at, entries = _contexts(data, offs)
-    d = models[0].log_likelihood(entries) - models[1].log_likelihood(entries)
-    first = np.searchsorted(at, offs[:-1])
-    return np.add.reduceat(d, first) / np.diff(np.append(first, len(at)))
-
-
-def _learn(decided: DataFrame) -> tuple[UrlModel, UrlModel]:
-    def count(batches):
-        total = np.zeros((2, 2, ORDER + 1, TABLE), dtype=np.int64)
-        for b in batches:
-            for c, what in enumerate(("allow", "block")):
-                own = b.filter(pa.compute.equal(b.column(2), what))
-                if own.num_rows:
-                    for k, (x, y) in enumerate(_contexts(*_strings(own.column(0), own.column(1)))[1]):
-                        total[c, 0, k] += np.bincount(x, minlength=TABLE)
-                        total[c, 1, k] += np.bincount(y, minlength=TABLE)
-        flat = total.ravel()
-        at = np.flatnonzero(flat)
-        yield pa.RecordBatch.from_arrays([pa.array(at, pa.int64()), pa.array(flat[at], pa.int64())], names=["at", "n"])
-
-    sums = decided.select("host", "path", "by_rule").mapInArrow(count, "at long, n long").groupBy("at").agg(F.sum("n").alias("n"))
-    flat = np.zeros(2 * 2 * (ORDER + 1) * TABLE, dtype=np.int64)
-    for t in sums.toArrow().to_batches():  # as many rows as the tables have entries at most
-        flat[t.column(0).to_numpy()] = t.column(1).to_numpy()
-    a, b = flat.reshape(2, 2, ORDER + 1, TABLE)
-    return UrlModel(*a), UrlModel(*b)
-
-
-def _threshold(decided: DataFrame, models) -> float:
-    """The difference that best separates decided URLs, both classes weighing the same."""
-    shared = decided.sparkSession.sparkContext.broadcast(models)
-    edges = np.linspace(-8, 8, BINS - 1)
 
-    def count(batches):
-        total = np.zeros((2, BINS), dtype=np.int64)
+    def each():
+        context = np.zeros(len(at), dtype=np.int64)
+        for k in range(ORDER + 1):
+            if k:
+                context |= data[at - k].astype(np.int64) << (8 * k)
+            yield context | (2 * k) << 48, context | data[at] | (2 * k + 1) << 48
+
+    return at, each()
+
+
+def _counted(batches):
+    """Codes in the URLs of each batch, with the numbers of accepted and of rejected URLs' characters."""
+    for b in batches:
+        allowed = b.column(2).to_pylist()
+        found = []
+        for what in ("allow", "block"):
+            own = b.filter(pa.array([x == what for x in allowed], pa.bool_()))
+            codes = [c for data, offs in _strings(own.column(0), own.column(1)) for pair in _codes(data, offs)[1] for c in pair]
+            found.append(np.unique(np.concatenate(codes), return_counts=True) if codes else (np.zeros(0, dtype=np.int64),) * 2)
+        every = np.union1d(found[0][0], found[1][0])
+        n = np.zeros((2, len(every)), dtype=np.int64)
+        for row, (codes, counts) in zip(n, found):
+            row[np.searchsorted(every, codes)] = counts
+        yield pa.RecordBatch.from_arrays([pa.array(every), pa.array(n[0]), pa.array(n[1])], names=["code", "allow", "block"])
+
+
+def _differences(code: np.ndarray, counts: np.ndarray, hosts: pa.Array, paths: pa.Array) -> np.ndarray:
+    """Log-likelihood of each URL by the accepted less by the rejected model, by
+    character; longer contexts are smoothed by shorter ones. ``code`` is sorted
+    and has those of the URLs that the models know, ``counts`` two rows."""
+
+    def known(wanted):
+        at = np.minimum(np.searchsorted(code, wanted), max(len(code) - 1, 0))
+        return np.where(code[at] == wanted, counts[:, at], 0) if len(code) else np.zeros((2, len(wanted)), dtype=np.int64)
+
+    out = [np.zeros(0)]
+    for data, offs in _strings(hosts, paths):
+        at, lengths = _codes(data, offs)
+        p = np.full((2, len(at)), 1 / 256)
+        for k, (context, pair) in enumerate(lengths):
+            p = (known(pair) + (1.0 + k) * p) / (known(context) + (1.0 + k))
+        d = np.log(p[0]) - np.log(p[1])
+        first = np.searchsorted(at, offs[:-1])
+        out.append(np.add.reduceat(d, first) / np.diff(np.append(first, len(at))))
+    return np.concatenate(out)
+
+
+def _scored(ruled: DataFrame, model: DataFrame, scratch: Scratch) -> DataFrame:
+    """``ruled`` with ``difference``. Batches and the distinct codes they ask for
+    are written once, so that both sides agree on them."""
+    columns = ruled.columns
+    types = [to_arrow_type(f.dataType) for f in ruled.schema]
+    kinds = ", ".join(f"{f.name} {f.dataType.simpleString()}" for f in ruled.schema)
+    names = ["batch", "code", *columns]
+
+    def deal(batches):
+        from pyspark import TaskContext
+
+        n = TaskContext.get().partitionId() << 32
         for b in batches:
-            d = np.searchsorted(edges, differences(shared.value, b.column(0), b.column(1)))
-            good = np.array(b.column(2).to_pylist(), dtype=object) == "allow"
-            for c in (0, 1):
-                total[c] += np.bincount(d[good == (c == 0)], minlength=BINS)
-        yield pa.RecordBatch.from_arrays([pa.array(np.repeat([0, 1], BINS), pa.int64()), pa.array(np.tile(np.arange(BINS), 2), pa.int64()), pa.array(total.ravel(), pa.int64())], names=["c", "bin", "n"])
+            yield pa.RecordBatch.from_arrays([pa.array(np.full(b.num_rows, n)), pa.nulls(b.num_rows, pa.int64()), *b.columns], names=names)
+            codes = [c for data, offs in _strings(b.column(1), b.column(2)) for pair in _codes(data, offs)[1] for c in pair]
+            codes = np.unique(np.concatenate(codes)) if codes else np.zeros(0, dtype=np.int64)
+            yield pa.RecordBatch.from_arrays([pa.array(np.full(len(codes), n)), pa.array(codes), *[pa.nulls(len(codes), t) for t in types]], names=names)
+            n += 1
+
+    dealt = scratch.keep(ruled.mapInArrow(deal, f"batch long, code long, {kinds}"))
+    asked = dealt.filter("code is not null").select(F.col("batch").alias("of"), "code").join(model, "code")
+
+    def score(urls: pa.Table, answers: pa.Table) -> pa.Table:
+        order = np.argsort(answers.column("code").to_numpy())
+        code = answers.column("code").to_numpy()[order]
+        counts = np.stack([answers.column(c).to_numpy()[order] for c in ("allow", "block")])
+        urls = urls.select(columns)
+        return urls.append_column("difference", pa.array(_differences(code, counts, urls.column("host").combine_chunks(), urls.column("path").combine_chunks())))
+
+    urls = dealt.filter("code is null").drop("code")
+    return scratch.keep(urls.groupBy("batch").cogroup(asked.groupBy("of")).applyInArrow(score, f"{kinds}, difference double"))
 
-    rows = decided.select("host", "path", "by_rule").mapInArrow(count, "c long, bin long, n long").groupBy("c", "bin").agg(F.sum("n").alias("n")).collect()
+
+def _threshold(scored: DataFrame) -> float:
+    """The difference that best separates decided URLs, both classes weighing the same."""
+    place = F.least(F.greatest(F.floor((F.col("difference") + WIDTH) / (2 * WIDTH) * BINS), F.lit(0)), F.lit(BINS - 1))
     total = np.zeros((2, BINS))
-    for r in rows:
-        total[r["c"], r["bin"]] = r["n"]
+    for r in scored.groupBy("by_rule", place.alias("place")).count().collect():  # 2 * BINS rows at most
+        total[int(r["by_rule"] == "block"), r["place"]] = r["count"]
     if not total.sum(1).all():
         return 0.0
     share = total.cumsum(1) / total.sum(1, keepdims=True)
-    wrong = share[0] + 1 - share[1]  # accepted below the edge, rejected above it
+    wrong = share[0] + 1 - share[1]  # accepted below a bin's end, rejected above it
     best = np.flatnonzero(wrong[:-1] <= wrong[:-1].min() + 1e-12)
-    return float(edges[best[len(best) // 2]])
+    return float((best[len(best) // 2] + 1) * 2 * WIDTH / BINS - WIDTH)
 
 
 def judge_urls(pages: DataFrame, id_col: str = "page_id", url_col: str = "url", rules=RULES) -> DataFrame:
@@ -157,21 +172,18 @@ def judge_urls(pages: DataFrame, id_col: str = "page_id", url_col: str = "url",
     (by a hash) train the models, the others calibrate the threshold. Null and
     repeated ids stay as they are; other columns aren't read.
     """
-    bounded_batches(pages.sparkSession)
-    ruled = with_rules(pages.select(F.col(id_col).alias("_id"), F.col(url_col).alias("_url")), "_url", rules).select(F.col("_id"), "host", "path", "rule", "by_rule")
-    decided = ruled.filter("by_rule is not null")
+    scratch = Scratch(pages.sparkSession, "urls")
+    ruled = with_rules(pages.select(F.col(id_col).alias("_id"), F.col(url_col).alias("_url")), "_url", rules).select(F.col("_id").alias("id"), "host", "path", "rule", "by_rule")
     aside = F.pmod(F.xxhash64("host", "path"), F.lit(5)) == 0
-    models = _learn(decided.filter(~aside))
-    one_sided = not (models[0].contexts[0].any() and models[1].contexts[0].any())
-    edge = _threshold(decided.filter(aside), models)
-    shared = pages.sparkSession.sparkContext.broadcast((models, edge, one_sided))
-
-    def run(batches):
-        models, edge, one_sided = shared.value
-        for b in batches:
-            d = np.zeros(b.num_rows) if one_sided else differences(models, b.column(1), b.column(2))
-            verdict = [v or ("block" if x < edge and not one_sided else "allow") for v, x in zip(b.column(4).to_pylist(), d)]
-            yield pa.RecordBatch.from_arrays([*b.columns[:4], pa.array(verdict, pa.string()), pa.array(d, pa.float64())], names=[id_col, "host", "path", "rule", "verdict", "difference"])
-
-    kind = pages.schema[id_col].dataType.simpleString()
-    return ruled.mapInArrow(run, f"`{id_col}` {kind}, host string, path string, rule string, verdict string, difference double")
+    decided = ruled.filter("by_rule is not null")
+    counts = decided.filter(~aside).select("host", "path", "by_rule").mapInArrow(_counted, "code long, allow long, block long")
+    model = scratch.keep(counts.groupBy("code").agg(F.sum("allow").alias("allow"), F.sum("block").alias("block")))
+    seen = model.filter("code = 0").first()  # the empty context
+    if seen and seen["allow"] and seen["block"]:
+        out = _scored(ruled, model, scratch)
+        edge = _threshold(out.filter(F.col("by_rule").isNotNull() & aside))
+        by_model = F.when(F.col("difference") < edge, "block").otherwise("allow")
+    else:
+        out = ruled.withColumn("difference", F.lit(0.0))
+        by_model = F.lit("allow")
+    return out.select(F.col("id").alias(id_col), "host", "path", "rule", F.coalesce("by_rule", by_model).alias("verdict"), "difference")

@@ -1,3 +1,5 @@
+import math
+
 from inkstone.llm import url_filter
 from tests.llm.conftest import rows
 
@@ -44,3 +46,33 @@ def test_rules_of_one_kind_and_an_empty_table_allow(spark):
     assert {r["verdict"] for r in url_filter.judge_urls(df, rules=()).collect()} == {"allow"}
     assert rows(url_filter.judge_urls(df, rules=(("block", "a.com/"),)), "page_id", "verdict") == [(1, "block"), (2, "allow")]
     assert url_filter.judge_urls(df.limit(0)).collect() == []
+
+
+def test_the_counts_are_exact(spark):
+    """Differences by brute force over strings."""
+    rules = (("allow", "good.com/"), ("block", "bad.com/"))
+    urls = [(i, f"http://good.com/né{i % 7}/w{i}") for i in range(40)] + [(100 + i, f"http://bad.com/c{i % 3}/{i}") for i in range(40)] + [(200, "http://x.org/né1/w3"), (201, None)]
+    df = spark.createDataFrame(urls, "page_id long, url string").repartition(3)
+    aside = {r["page_id"] for r in url_filter.with_rules(df, "url", rules).filter("pmod(xxhash64(host, path), 5) = 0").collect()}
+    got = {r["page_id"]: r for r in url_filter.judge_urls(df, rules=rules).collect()}
+    counts = {"allow": {}, "block": {}}
+    for i, r in got.items():
+        if r["rule"] and i not in aside:
+            s = b" " * 5 + (r["host"] + r["path"]).encode() + b" "
+            for at in range(5, len(s)):
+                for k in range(6):
+                    for gram in (("c", s[at - k : at]), ("p", s[at - k : at + 1])):
+                        counts[r["verdict"]][gram] = counts[r["verdict"]].get(gram, 0) + 1
+
+    def likelihood(s, n):
+        total = 0
+        for at in range(5, len(s)):
+            p = 1 / 256
+            for k in range(6):
+                p = (n.get(("p", s[at - k : at + 1]), 0) + (1 + k) * p) / (n.get(("c", s[at - k : at]), 0) + 1 + k)
+            total += math.log(p)
+        return total / (len(s) - 5)
+
+    for r in got.values():
+        s = b" " * 5 + (r["host"] + r["path"]).encode() + b" "
+        assert math.isclose(r["difference"], likelihood(s, counts["allow"]) - likelihood(s, counts["block"]), abs_tol=1e-9)

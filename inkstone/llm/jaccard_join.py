@@ -372,9 +372,10 @@ def class_links(docs: DataFrame, text_col: str, classes: DataFrame, levels: np.n
     pairs = scratch.keep(pairs.join(a, "a").join(b, "b").select("a", "b", "na", "nb", "xa", "xb").mapInArrow(_suffix_filter(num, den), "a long, b long"))
     listed = found.filter("gid is not null").select("gid", F.col("a").alias("key")).distinct()
     need = _needed(pairs, listed, by_key, num, den, scratch)
+    scratch.drop(found)
+    scratch.drop(pairs)
 
-    full = _sets_of(docs, text_col, size, need.select("key"), scratch)
-    dealt = need.join(full, "key").select("p", "q", "side", "key", "copies", "s").repartition("p", "q").sortWithinPartitions("p", "q")
+    dealt = need.join(_sets_of(docs, text_col, size, need.select("key").distinct(), scratch), "key").select("p", "q", "side", "key", "copies", "s").repartition("p", "q").sortWithinPartitions("p", "q")
     return by_key.drop("parts"), scratch.keep(dealt.mapInArrow(_compare(num, den), "key long, links long, low long"))
 
 
@@ -405,12 +406,10 @@ def _needed(pairs: DataFrame, listed: DataFrame, by_key: DataFrame, num: int, de
 
 
 def _sets_of(docs: DataFrame, text_col: str, size: int, keys: DataFrame, scratch: Scratch) -> DataFrame:
-    """``key`` and its full set ``s``, for the given classes."""
+    """``key`` and its full set ``s``, for the given classes and perhaps some others."""
     sc = docs.sparkSession.sparkContext
-    keys = scratch.keep(keys.distinct())
+    keys = scratch.keep(keys)
     many = keys.count()
-    if not many:
-        return keys.withColumn("s", F.lit(None).cast("binary"))
     size_of = min(MOST_BITS, max(LEAST_BITS, 1 << (16 * many - 1).bit_length()))
     spot = F.expr(f"pmod(key, {size_of}) + 1")  # Spark's bitmaps number bits from one
     rows = keys.select(F.bitmap_bucket_number(spot).alias("k"), F.bitmap_bit_position(spot).alias("bit")).groupBy("k").agg(F.bitmap_construct_agg("bit").alias("bits")).collect()
@@ -435,7 +434,7 @@ def _sets_of(docs: DataFrame, text_col: str, size: int, keys: DataFrame, scratch
             yield pa.RecordBatch.from_arrays([pa.array(keys, pa.int64()), pa.array(blobs, pa.binary())], names=["key", "s"])
 
     full = docs.select(F.col(text_col).alias("text")).mapInArrow(sets, "key long, s binary")
-    return scratch.keep(full.join(keys, "key", "left_semi").groupBy("key").agg(F.first("s").alias("s")))
+    return full.groupBy("key").agg(F.first("s").alias("s"))  # in one shuffle with the join that follows
 
 
 def ngram_jaccard_join(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", size: int = 5, num: int = 75, den: int = 100) -> DataFrame:

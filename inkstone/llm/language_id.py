@@ -4,7 +4,8 @@ Texts are byte trigrams, hashed and normalised by their number, so a linear
 model's margin is a mean of weights over the whole text. Families are told
 apart first; within the family found, one-versus-one linear support vector
 machines separate each pair of its languages, and the language with most
-votes wins (the larger sum of margins, where votes are equal).
+votes wins (the larger sum of margins, where votes are equal). Executors fit the
+machines, one in a task, on a bounded sample; the driver gets their weights only.
 """
 
 from __future__ import annotations
@@ -16,7 +17,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from inkstone.llm.scratch import bounded_batches
+from inkstone.llm.scratch import Scratch, bounded_batches
 from inkstone.llm.wordhash import LOWER, column_bytes, slices
 
 BUCKETS = 4096
@@ -62,9 +63,10 @@ def _pieces(texts: list[bytes]) -> list[bytes]:
     return [t[len(t) // 3 : len(t) // 3 + 80] for t in texts]
 
 
-def _svm(x: np.ndarray, y: np.ndarray, scale: np.ndarray, penalty: float = 1e-3, rounds: int = 60) -> np.ndarray:
+def _svm(x: np.ndarray, y: np.ndarray, penalty: float = 1e-3, rounds: int = 60) -> np.ndarray:
     """Weights and bias of a linear SVM with squared hinge loss, by accelerated
-    gradient descent; classes weigh the same."""
+    gradient descent; classes weigh the same, and frequent trigrams less."""
+    scale = (1 / (np.sqrt(x.mean(0)) + 1e-3)).astype(np.float32)
     x = np.concatenate((x * scale, np.ones((len(x), 1), dtype=np.float32)), axis=1)
     weight = np.where(y > 0, 0.5 / max(1, (y > 0).sum()), 0.5 / max(1, (y < 0).sum())).astype(np.float32)
     w = z = np.zeros(x.shape[1], dtype=np.float32)
@@ -83,39 +85,25 @@ def _svm(x: np.ndarray, y: np.ndarray, scale: np.ndarray, penalty: float = 1e-3,
     return np.append(w[:-1] * scale, w[-1]).astype(np.float64)
 
 
+def machines_of(languages: list[str]) -> list[tuple[str, str]]:
+    """The pairs to tell apart: of families (their names after a null byte), and of each family's languages."""
+    families = sorted({family_of(x) for x in languages})
+    out = [("\0" + a, "\0" + b) for a, b in combinations(families, 2)]
+    for f in families:
+        out += combinations(sorted(x for x in languages if family_of(x) == f), 2)
+    return out
+
+
 class LanguageModel:
     """``machines``: (class, other class) with a column of ``weights`` each;
     positive margins speak for the former."""
 
-    def __init__(self, texts: list[bytes], languages: list[str]):
-        self._fit(_features(texts), _features(_pieces(texts)), languages)
-
-    @classmethod
-    def of_features(cls, whole: np.ndarray, pieces: np.ndarray, languages: list[str]) -> LanguageModel:
-        """From the features of texts and of a piece of each."""
-        model = cls.__new__(cls)
-        model._fit(whole, pieces, languages)
-        return model
-
-    def _fit(self, whole: np.ndarray, pieces: np.ndarray, languages: list[str]) -> None:
-        self.languages = sorted(set(languages))
+    def __init__(self, languages: list[str], weights: list[np.ndarray]):
+        self.languages = sorted(languages)
         self.families = sorted({family_of(x) for x in self.languages})
         self.members = {f: [x for x in self.languages if family_of(x) == f] for f in self.families}
-        self.machines: list[tuple[str, str]] = []
-        self.weights = np.zeros((BUCKETS + 1, 0))
-        if len(self.languages) < 2:
-            return
-        x, lang = np.concatenate((whole, pieces)), np.array(languages * 2)
-        scale = (1 / (np.sqrt(x.mean(0)) + 1e-3)).astype(np.float32)
-        kin = np.array([family_of(v) for v in lang])
-        columns = []
-        for names, of in ((self.families, kin), *((m, lang) for m in self.members.values())):
-            for a, b in combinations(names, 2):
-                use = (of == a) | (of == b)
-                columns.append(_svm(x[use], np.where(of[use] == a, 1, -1).astype(np.float32), scale))
-                self.machines.append((a, b) if of is lang else ("\0" + a, "\0" + b))
-        if columns:
-            self.weights = np.stack(columns, 1)
+        self.machines = machines_of(self.languages)
+        self.weights = np.stack(weights, 1) if weights else np.zeros((BUCKETS + 1, 0))
 
     def margins(self, data: np.ndarray, offsets: np.ndarray) -> np.ndarray:
         h, first = trigrams(data, offsets)
@@ -176,14 +164,36 @@ def train(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", lang_
     texts = texts.join(F.broadcast(wanted), "i").filter(F.xxhash64(F.lit("language"), "i", "t") == F.col("k")).dropDuplicates(["i", "k", "l"])
 
     def featured(batches):
+        """Of each text and of a piece of it the trigrams that it has, and their shares."""
         for b in batches:
             t = [x.encode() for x in b.column(2).to_pylist()]
-            yield pa.RecordBatch.from_arrays([b.column(0), b.column(1), *(pa.array([x.tobytes() for x in _features(v)], pa.binary()) for v in (t, _pieces(t)))], names=["l", "k", "whole", "piece"])
-
-    texts = texts.select("l", "k", "t").mapInArrow(featured, "l string, k long, whole binary, piece binary")
-    found = sorted((r["l"], r["k"], bytes(r["whole"]), bytes(r["piece"])) for r in texts.collect())
-    whole, pieces = (np.frombuffer(b"".join(r[c] for r in found), dtype=np.float32).reshape(-1, BUCKETS) for c in (2, 3))
-    return LanguageModel.of_features(whole, pieces, [r[0] for r in found])
+            for part, those in enumerate((t, _pieces(t))):
+                x = _features(those)
+                at = [np.flatnonzero(v).astype(np.int16) for v in x]
+                yield pa.RecordBatch.from_arrays(
+                    [b.column(0), b.column(1), pa.array(np.full(len(t), part, dtype=np.int32)), pa.array([i.tobytes() for i in at], pa.binary()), pa.array([v[i].tobytes() for v, i in zip(x, at)], pa.binary())],
+                    names=["l", "k", "part", "at", "share"],
+                )
+
+    def fitted(table: pa.Table) -> pa.Table:
+        table = table.sort_by([("l", "ascending"), ("k", "ascending"), ("part", "ascending")])
+        x = np.zeros((table.num_rows, BUCKETS), dtype=np.float32)
+        for row, at, share in zip(x, table.column("at").to_pylist(), table.column("share").to_pylist()):
+            row[np.frombuffer(at, dtype=np.int16)] = np.frombuffer(share, dtype=np.float32)
+        w = _svm(x, table.column("y").to_numpy().astype(np.float32))
+        return pa.table({"machine": table.column("machine").slice(0, 1), "weights": pa.array([w.tobytes()], pa.binary())})
+
+    rows = Scratch(docs.sparkSession, "language").keep(texts.select("l", "k", "t").mapInArrow(featured, "l string, k long, part int, at binary, share binary"))
+    languages = sorted(r["l"] for r in rows.select("l").distinct().collect())
+    sides = []
+    for machine, pair in enumerate(machines_of(languages)):
+        for name, y in zip(pair, (1, -1)):
+            sides += [(x, machine, y) for x in languages if name in (x, "\0" + family_of(x))]
+    if not sides:
+        return LanguageModel(languages, [])
+    sides = docs.sparkSession.createDataFrame(sides, "l string, machine int, y int")
+    fits = rows.join(F.broadcast(sides), "l").groupBy("machine").applyInArrow(fitted, "machine int, weights binary").collect()
+    return LanguageModel(languages, [np.frombuffer(r["weights"]) for r in sorted(fits, key=lambda r: r["machine"])])
 
 
 def identify(docs: DataFrame, model: LanguageModel, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:

@@ -9,7 +9,7 @@ from pyspark.sql import functions as F
 
 from inkstone.functions import arrays, segment
 from inkstone.operators import authorship, categories, evaluation, features, formatting, lexical, model_features, rewrite, statistics, style_categories
-from inkstone.plans import category_sql, lexical_sql, oracles
+from inkstone.plans import category_sql, lexical_sql, oracles, style_sql
 from inkstone.sources import files, samples, sinks
 
 Query = Callable[[SparkSession, str], DataFrame]
@@ -126,4 +126,4 @@ over("tone_features", category_sql.TONE, model_features.tone_features)
 over("rewritten", None, rewrite.rewrite)
 over("lexical_span", None, lambda docs: authorship.segmented(docs).select("doc_id", categories.lexical_span(F.col("tokens")).alias("span")))
 for _name, _operator in style_categories.STYLE_CATEGORIES.items():
-    over(_name, None, lambda docs, operator=_operator: operator(docs).drop("scores"))
+    over(_name, style_sql.STYLE.get(_name), lambda docs, operator=_operator: operator(docs).drop("scores"))

@@ -5,8 +5,8 @@ from __future__ import annotations
 from inkstone.functions import style_lists as L
 from inkstone.functions.segment import WS
 from inkstone.plans.category_sql import _div, _in, _n, _norm, _row
-from inkstone.plans.lexical_sql import _q
-from inkstone.plans.oracles import BASE, trimmed
+from inkstone.plans.lexical_sql import _q, _re2
+from inkstone.plans.oracles import BASE, _masked, _restored, trimmed
 
 
 def _listed(words: list[str], column: str = "ws") -> str:
@@ -57,5 +57,42 @@ x AS (
   FROM j)
 {_row("Archaic / Historical Grammar", 5, "n >= 20", _P5, _SURE_5, "x")}"""
 
+_BALANCED = "(pro + con > 2 AND abs(pro - con) <= 1)"
+_SHARE = "CASE WHEN p = 0 THEN 0.5 ELSE least(1, even_ / (0.5 * p)) END"
+_ARC = f"(CASE WHEN p < 3 THEN 0.5 ELSE 0.5 * {_norm('intro + outro + (body >= 3)::INT', 0, 4)} + CASE WHEN p BETWEEN 4 AND 6 AND intro > 0 AND outro > 0 THEN 0.3 ELSE 0 END + 0.2 * {_norm('body', 0, 5)} END)"
+_P10 = f"""0.2 * (0.5 * {_norm("templates", 0, 3)} + CASE WHEN {_BALANCED} THEN 0.5 ELSE 0 END)
+  + 0.2 * (0.5 * {_norm(_div("cautious", "s"), 0, 0.2)} + 0.5 * {_norm("CASE WHEN cautious + firm > 0 THEN cautious / (cautious + firm) ELSE 0.5 END", 0.5, 0.9)})
+  + 0.15 * (0.3 * (1 - {_norm("CASE WHEN p > 1 THEN cv ELSE 0.5 END", 0.2, 0.6)}) + 0.3 * (1 - {_norm("CASE WHEN p > 1 THEN sizes_cv ELSE 0.5 END", 0.3, 0.7)}) + 0.4 * ({_SHARE}))
+  + 0.25 * {_ARC} + 0.2 * {_norm("assistant + openings", 0, 5)}"""
+
+
+def _matched(column: str, patterns: list[str]) -> str:
+    return "(" + " + ".join(f"coalesce(regexp_matches({column}, {_re2(p)}), false)::INT" for p in patterns) + ")"
+
+
+def _cv(column: str) -> str:
+    return f"coalesce(list_stddev_pop({column}) / nullif(list_avg({column}), 0), 0)"
+
+
+_INNER = rf"list_filter(list_transform(string_split(regexp_replace({_masked('p')}, '([.!?])[{WS}]+([A-Z])', '\1' || chr(2) || '\2', 'g'), chr(2)), lambda q: {trimmed(_restored('q'))}), lambda q: q <> '')"
+SET_PIECES = rf"""
+WITH {BASE},
+k AS (SELECT doc_id, count(*)::DOUBLE AS s FROM sent GROUP BY doc_id),
+pa AS (SELECT doc_id, text, lower(text) AS low, list_filter(string_split_regex(text, '
+[{WS}]*
+'), lambda q: {trimmed("q")} <> '') AS ps FROM d),
+j AS (
+  SELECT pa.*, coalesce(s, 0) AS s, len(ps) AS p, lower(ps[1]) AS first_, lower(ps[-1]) AS last_, list_transform(ps, lambda p: len(regexp_extract_all(lower(p), '[a-z0-9_''-]+'))::DOUBLE) AS words,
+    list_transform(ps, lambda p: list_transform({_INNER}, lambda q: len(regexp_extract_all(lower(q), '[a-z0-9_''-]+'))::DOUBLE)) AS inside
+  FROM pa LEFT JOIN k USING (doc_id)),
+i AS (SELECT *, list_transform(inside, lambda a: len(a)::DOUBLE) AS sizes FROM j),
+x AS (
+  SELECT *, {_cv("words")} AS cv, {_cv("sizes")} AS sizes_cv, len(list_filter(inside, lambda a: len(a) >= 3 AND coalesce(list_stddev_pop(a) / nullif(list_avg(a), 0), 1) < 0.3)) AS even_,
+    {_n("text", L.ASSISTANT_PATTERNS)} AS assistant, ({" + ".join(f"(starts_with(low, {_q(o)}) OR contains(low, chr(10) || {_q(o)}))::INT" for o in L.ASSISTANT_OPENINGS)}) AS openings,
+    {_matched("text", L.BALANCE_TEMPLATES)} AS templates, {_n("low", [rf"{w}" for w in L.PRO_WORDS])} AS pro, {_n("low", [rf"{w}" for w in L.CON_WORDS])} AS con,
+    {_in("low", L.CAUTIOUS_PHRASES)} AS cautious, {_in("low", L.STANCE_PHRASES)} AS firm, {_matched("first_", L.INTRODUCTIONS)} AS intro, {_matched("last_", L.CONCLUSIONS)} AS outro, {_n("text", L.BODY_SIGNS)} AS body
+  FROM i)
+{_row("Meta-Patterns Unique to AI", 10, "s >= 5", _P10, "(CASE WHEN p < 3 OR s < 10 THEN 0.4 WHEN s < 25 THEN 0.6 WHEN s < 50 THEN 0.8 ELSE 0.9 END)", "x")}"""
+
 #: By the name of the query.
-STYLE = {"rewriting_traces": REWRITING, "archaic_style": ARCHAIC}
+STYLE = {"rewriting_traces": REWRITING, "archaic_style": ARCHAIC, "set_pieces": SET_PIECES}

@@ -8,8 +8,8 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from inkstone.functions import arrays, segment
-from inkstone.operators import authorship, categories, evaluation, features, formatting, lexical, model_features, rewrite, statistics, style_categories
-from inkstone.plans import category_sql, lexical_sql, oracles, style_sql
+from inkstone.operators import authorship, categories, evaluation, features, formatting, lexical, model_features, rewrite, statistics, style_categories, voice_categories
+from inkstone.plans import category_sql, lexical_sql, oracles, style_sql, voice_sql
 from inkstone.sources import files, samples, sinks
 
 Query = Callable[[SparkSession, str], DataFrame]
@@ -127,3 +127,17 @@ over("rewritten", None, rewrite.rewrite)
 over("lexical_span", None, lambda docs: authorship.segmented(docs).select("doc_id", categories.lexical_span(F.col("tokens")).alias("span")))
 for _name, _operator in style_categories.STYLE_CATEGORIES.items():
     over(_name, style_sql.STYLE.get(_name), lambda docs, operator=_operator: operator(docs).drop("scores"))
+for _name, _operator in voice_categories.VOICE_CATEGORIES.items():
+    over(_name, voice_sql.VOICE.get(_name), lambda docs, operator=_operator: operator(docs).drop("scores"))
+
+
+def _heads(docs: DataFrame) -> DataFrame:
+    """Heads over the categories that SQL can check, to the digits of its rows."""
+    out = categories.web_categories(docs)
+    for operator in (voice_categories.tone, voice_categories.inconsistency):
+        out = out.unionByName(operator(docs).drop("scores"))
+    return voice_categories.heads(rounded(out))
+
+
+over("category_heads", voice_sql.HEADS, _heads)
+over("relative_scores", voice_sql.RELATIVE, voice_categories.relative_scores)

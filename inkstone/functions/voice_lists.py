@@ -124,3 +124,24 @@ COHORT_COUNTS = {
     "informal": r"(?i)\b(?:like|basically|actually|literally|kinda|sorta|gonna|wanna)\b", "short": r"(?i)\b[A-Za-z0-9_]+'(?:t|s|d|ll|ve|re|m)\b",
     "passives": r"(?i)\b(?:is|are|was|were|been|be|being)\s+[A-Za-z0-9_]+ed\b", "mine": r"(?i)\b(?:I|me|my|mine|we|us|our|ours)\b",
 }
+
+# Rewriting in place. For each word the first of its synonyms.
+SYNONYM = {
+    "good": "great", "bad": "poor", "important": "crucial", "big": "large", "small": "minor", "show": "demonstrate", "help": "assist", "make": "create", "use": "utilize", "get": "obtain",
+    "think": "believe", "say": "state", "need": "require", "find": "discover", "give": "provide", "take": "accept", "come": "arrive", "see": "observe", "know": "understand", "become": "turn",
+    "delve": "explore", "crucial": "critical", "comprehensive": "thorough", "facilitate": "enable", "leverage": "use", "implement": "execute", "enhance": "improve", "optimize": "improve",
+}
+DOT = r"[^\n\r\x{2028}\x{2029}]"
+LEADING_WORD = rf"^([A-Za-z0-9_]+),\s+({DOT}+)$"
+LEADING_CLAUSE = rf"^(Although|While|When|If|Since|Because)\s+({DOT}+),\s+({DOT}+)$"
+LATER_CLAUSE = rf"(?i)^({DOT}+)\s+(because|since|as|while|although)\s+({DOT}+)$"
+TWO_BEFORE_NOUN = r"(\b[A-Za-z0-9_]+\b)\s+(\b[A-Za-z0-9_]+\b)\s+(noun|thing|person|place|idea|way|time)"
+SECOND_ADVERB = r"(?i)^([A-Za-z0-9_]+)\s+(quickly|slowly|carefully|often|always|never|usually)\s+"
+WORD_TAGS = [
+    ("the|a|an", "DET"), ("is|are|was|were|be|been|being", "BE"), ("has|have|had", "HAVE"), ("will|would|could|should|may|might|can", "MOD"), ("and|or|but|yet|so", "CONJ"),
+    ("in|on|at|to|for|with|by|from", "PREP"), ("I|you|he|she|it|we|they|me|him|her|us|them", "PRON"), ("[A-Za-z0-9_]+ly", "ADV"), ("[A-Za-z0-9_]+ing", "VING"), ("[A-Za-z0-9_]+ed", "VED"),
+    ("[A-Za-z0-9_]+tion", "NTION"), ("[A-Za-z0-9_]+ness", "NNESS"),
+]
+NO_CONCEPTS = """the a an is are was were be been have has had do does did will would could should may might can to of in for on with at by from
+as into through during before after above below between and or but if then else when where why how all each every both few more most other some such no
+not only own same so than too very just also now here there this that these those it its""".split()

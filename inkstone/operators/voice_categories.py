@@ -21,13 +21,13 @@ from inkstone.operators.authorship import segmented
 from inkstone.operators.categories import _contained
 
 
-def _java(pattern: str) -> Column:
+def _java(pattern: str) -> str:
     """The JVM's form of a pattern: edges by ASCII words, all white space."""
-    return F.lit(pattern.replace(r"\b", segment.EDGE).replace(r"\s", f"[{segment.WS}]"))
+    return pattern.replace(r"\b", segment.EDGE).replace(r"\s", f"[{segment.WS}]")
 
 
 def _times(text: Column, pattern: str) -> Column:
-    return F.regexp_count(text, _java(pattern))
+    return F.regexp_count(text, F.lit(_java(pattern)))
 
 
 def _having(a: Column, k) -> Column:
@@ -207,7 +207,7 @@ def inconsistency(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text
     """Kinds of openings, and how idioms, depth, slips and style differ between four or more
     segments. A segment without words has the word measures 0."""
     d = segmented(docs, id_col, text_col)
-    kind = lambda x: F.coalesce(*[F.when(x.rlike(p.replace(r"\b", segment.EDGE).replace(r"\s", f"[{segment.WS}]")), i) for i, p in enumerate(L.OPENING_KINDS)], F.lit(len(L.OPENING_KINDS)))
+    kind = lambda x: F.coalesce(*[F.when(x.rlike(_java(p)), i) for i, p in enumerate(L.OPENING_KINDS)], F.lit(len(L.OPENING_KINDS)))
     size = F.greatest(F.lit(3), F.floor(F.size("sentences") / 4).cast("int"))
     starts = F.when(F.size("sentences") > 0, F.sequence(F.lit(0), F.size("sentences") - 1, size)).otherwise(F.array().cast("array<int>"))
     d = d.withColumns({"kinds": F.transform("sentences", kind), "parts": F.transform(starts, lambda i: F.slice("sentences", i + 1, size))})
@@ -295,7 +295,7 @@ def relative_scores(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
     d = segmented(docs, id_col, text_col)
     d = A.with_run_counts(d, counts="tokens")
     text = F.col("text")
-    found = lambda p, one: _times(text, p) if one == 0 else text.rlike(p.replace(r"\b", segment.EDGE)).cast("int") * one
+    found = lambda p, one: _times(text, p) if one == 0 else text.rlike(_java(p)).cast("int") * one
     d = d.select(
         "doc_id", F.length("text").alias("len"), F.size("tokens").cast("double").alias("n"), F.size("sentences").cast("double").alias("s"), F.size("counts").alias("v"), F.size(F.filter("counts", lambda c: c > 2)).alias("often"),
         F.transform("sentences", lambda x: F.size(segment.tokens_web(x))).alias("k"), *[_times(text, p).alias(k) for k, p in L.COHORT_COUNTS.items()],

@@ -8,8 +8,8 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from inkstone.functions import arrays, segment
-from inkstone.operators import authorship, categories, evaluation, features, formatting, lexical, model_features, rewrite, statistics, style_categories, voice_categories
-from inkstone.plans import category_sql, lexical_sql, oracles, style_sql, voice_sql
+from inkstone.operators import authorship, categories, evaluation, features, formatting, lexical, model_features, rewrite, stability, statistics, style_categories, voice_categories
+from inkstone.plans import category_sql, lexical_sql, oracles, stability_sql, style_sql, voice_sql
 from inkstone.sources import files, samples, sinks
 
 Query = Callable[[SparkSession, str], DataFrame]
@@ -130,6 +130,8 @@ for _name, _operator in style_categories.STYLE_CATEGORIES.items():
 for _name, _operator in voice_categories.VOICE_CATEGORIES.items():
     over(_name, voice_sql.VOICE.get(_name), lambda docs, operator=_operator: operator(docs).drop("scores"))
 
+over("stability_under_rewriting", stability_sql.STABILITY, lambda docs: stability.stability(docs).drop("scores"))
+
 
 def _heads(docs: DataFrame) -> DataFrame:
     """Heads over the categories that SQL can check, to the digits of its rows."""

@@ -8,8 +8,8 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from inkstone.functions import arrays, segment
-from inkstone.operators import artifact_features, authorship, categories, evaluation, features, formatting, lexical, model_features, rewrite, stability, statistics, style_categories, voice_categories
-from inkstone.plans import artifact_sql, category_sql, lexical_sql, oracles, stability_sql, style_sql, voice_sql
+from inkstone.operators import artifact_features, authorship, categories, evaluation, features, formatting, lexical, model_features, rewrite, speech, stability, statistics, style_categories, voice_categories
+from inkstone.plans import artifact_sql, category_sql, lexical_sql, oracles, speech_sql, stability_sql, style_sql, voice_sql
 from inkstone.sources import files, samples, sinks
 
 Query = Callable[[SparkSession, str], DataFrame]
@@ -144,3 +144,4 @@ def _heads(docs: DataFrame) -> DataFrame:
 over("category_heads", voice_sql.HEADS, _heads)
 over("relative_scores", voice_sql.RELATIVE, voice_categories.relative_scores)
 over("artifact_features", artifact_sql.ARTIFACTS, artifact_features.artifact_features)
+over("speech_correction", speech_sql.SPEECH, speech.speech_correction)

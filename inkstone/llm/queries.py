@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
 
-from inkstone.llm import decontaminate, html_text, jaccard_join, language_id, mixing, oracles, quality_cnn, token_rollup, url_filter, vector_graph, warc
+from inkstone.llm import decontaminate, filter_audit, html_text, jaccard_join, language_id, mixing, oracles, quality_cnn, token_rollup, url_filter, vector_graph, warc
 
 
 def _table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -53,6 +53,10 @@ def op10_quality_classifier(spark: SparkSession, sf_dir: str) -> DataFrame:
     return quality_cnn.score_quality(docs, quality_cnn.train(docs, _table(spark, sf_dir, "labels")))
 
 
+def op11_filter_interaction_audit(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return filter_audit.filter_interactions(_table(spark, sf_dir, "documents"), _table(spark, sf_dir, "labels"))
+
+
 QUERIES = {
     f.__name__: f
     for f in (
@@ -66,6 +70,7 @@ QUERIES = {
         op8_mixing_sources,
         op9_token_counts,
         op10_quality_classifier,
+        op11_filter_interaction_audit,
     )
 }
 ORACLES = {
@@ -74,4 +79,5 @@ ORACLES = {
     "op3_benchmark_decontamination": oracles.CONTAMINATION,
     "op6_warc": warc.ORACLE,
     "op8_mixing_sources": mixing.ORACLE,
+    "op11_filter_interaction_audit": filter_audit.ORACLE,
 }

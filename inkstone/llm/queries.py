@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
 
-from inkstone.llm import decontaminate, filter_audit, html_text, jaccard_join, language_id, mixing, oracles, quality_cnn, token_rollup, url_filter, vector_graph, warc
+from inkstone.llm import decontaminate, filter_audit, html_text, jaccard_join, language_id, mixing, oracles, quality_cnn, token_rollup, url_filter, vector_graph, warc, whitening
 
 
 def _table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -57,6 +57,10 @@ def op11_filter_interaction_audit(spark: SparkSession, sf_dir: str) -> DataFrame
     return filter_audit.filter_interactions(_table(spark, sf_dir, "documents"), _table(spark, sf_dir, "labels"))
 
 
+def op12_embedding_whitening(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return whitening.whiten_vectors(_table(spark, sf_dir, "embeddings")).drop("deviation_exact")
+
+
 QUERIES = {
     f.__name__: f
     for f in (
@@ -71,6 +75,7 @@ QUERIES = {
         op9_token_counts,
         op10_quality_classifier,
         op11_filter_interaction_audit,
+        op12_embedding_whitening,
     )
 }
 ORACLES = {

@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
 
-from inkstone.llm import decontaminate, filter_audit, html_text, jaccard_join, language_id, mixing, oracles, quality_cnn, token_rollup, url_filter, vector_graph, warc, whitening
+from inkstone.llm import class_lm, decontaminate, filter_audit, html_text, jaccard_join, language_id, mixing, oracles, quality_cnn, token_rollup, url_filter, vector_graph, warc, whitening
 
 
 def _table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -61,6 +61,10 @@ def op12_embedding_whitening(spark: SparkSession, sf_dir: str) -> DataFrame:
     return whitening.whiten_vectors(_table(spark, sf_dir, "embeddings")).drop("deviation_exact")
 
 
+def op13_lm_scoring(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return class_lm.score_texts(_table(spark, sf_dir, "documents"))
+
+
 QUERIES = {
     f.__name__: f
     for f in (
@@ -76,6 +80,7 @@ QUERIES = {
         op10_quality_classifier,
         op11_filter_interaction_audit,
         op12_embedding_whitening,
+        op13_lm_scoring,
     )
 }
 ORACLES = {

@@ -8,8 +8,8 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from inkstone.functions import arrays, segment
-from inkstone.operators import artifact_features, authorship, categories, evaluation, features, formatting, lexical, model_features, rewrite, speech, stability, statistics, style_categories, voice_categories
-from inkstone.plans import artifact_sql, category_sql, lexical_sql, oracles, speech_sql, stability_sql, style_sql, voice_sql
+from inkstone.operators import artifact_features, authorship, categories, charts, evaluation, features, formatting, lexical, model_features, rewrite, sentence_scores, sequences, speech, stability, statistics, style_categories, voice_categories
+from inkstone.plans import artifact_sql, category_sql, chart_sql, lexical_sql, oracles, sequence_sql, speech_sql, stability_sql, style_sql, voice_sql
 from inkstone.sources import files, samples, sinks
 
 Query = Callable[[SparkSession, str], DataFrame]
@@ -145,3 +145,11 @@ over("category_heads", voice_sql.HEADS, _heads)
 over("relative_scores", voice_sql.RELATIVE, voice_categories.relative_scores)
 over("artifact_features", artifact_sql.ARTIFACTS, artifact_features.artifact_features)
 over("speech_correction", speech_sql.SPEECH, speech.speech_correction)
+over("word_sequences", sequence_sql.SEQUENCES, sequences.word_sequences)
+over("vocabulary_growth", sequence_sql.GROWTH, sequences.vocabulary_growth)
+over("sentence_scores", chart_sql.SENTENCES, sentence_scores.sentence_scores)
+over("document_trends", chart_sql.TRENDS, sentence_scores.document_trends)
+over("cooccurrence_edges", chart_sql.EDGES_SQL, charts.cooccurrence_edges)
+over("cooccurrence_nodes", chart_sql.NODES_SQL, charts.cooccurrence_nodes)
+over("repetition_map", chart_sql.REPETITION_MAP, charts.repetition_map)
+over("length_histogram", chart_sql.HISTOGRAM, charts.length_histogram)

@@ -6,11 +6,12 @@ one class (the most frequent ones in classes of their own) and move to the
 class in which the classes' bigrams are likeliest. The probability of a word is
 that of its class after the class before, times that of the word in its class.
 
-Texts are encoded once, in batches of some megabytes, as numbers of the
-batch's own dictionary. The classes of frequent words, which are few by
-definition, are sent to all tasks and exchanged in rounds; all other words are
-exchanged once, in the tasks that gather their neighbours' classes. Nothing
-that grows with the vocabulary goes through the driver.
+Texts are encoded once, in pieces of some megabytes, as numbers of the piece's
+own dictionary. The classes of frequent words, which are few by definition, are
+sent to all tasks and exchanged in rounds. All other words meet in buckets of
+their hashes, whose number grows with the dictionaries: there a word's counts
+from all pieces come together, it is exchanged once, and each piece gets its
+class. Nothing that grows with the vocabulary goes through the driver.
 """
 
 from __future__ import annotations
@@ -24,7 +25,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from inkstone.llm.scratch import Scratch
-from inkstone.llm.wordhash import LOWER, NOT_SPACE, column_bytes
+from inkstone.llm.wordhash import LOWER, NOT_SPACE, column_bytes, slices, words
 
 CLASSES = 64
 END, REST, OWN = 0, 1, 2  # the end's class, the words' at first, and the first of the frequent words'
@@ -34,6 +35,8 @@ SLICE = 256  # frequent words whose counts are reduced together
 ROUNDS = 5
 PRIOR = 64.0  # tokens that a class's followers by all classes' frequency weigh
 WIDE = 2 * CLASSES  # classes before a word, then classes after it
+PIECE = 1 << 22  # bytes of texts that share a dictionary, unless one text is longer
+BUCKET = 1 << 15  # words of dictionaries in a bucket, on average
 _PACKED = np.dtype([("k", "u1"), ("n", "<u4")])
 
 
@@ -76,7 +79,20 @@ def unplanes(data: bytes) -> np.ndarray:
     return np.frombuffer(data, dtype=np.uint8).reshape(4, -1).T.copy().view("<u4").ravel()
 
 
-class Batch(NamedTuple):
+def pack(data: bytes) -> bytes:
+    return len(data).to_bytes(8, "little") + pa.compress(data, codec="zstd", asbytes=True)
+
+
+def unpack(data: bytes) -> bytes:
+    return pa.decompress(data[8:], int.from_bytes(data[:8], "little"), codec="zstd", asbytes=True)
+
+
+def _binary(offsets: np.ndarray, data: bytes) -> pa.Array:
+    """A binary column of the pieces of ``data`` between offsets."""
+    return pa.Array.from_buffers(pa.binary(), len(offsets) - 1, [None, pa.py_buffer(offsets.astype(np.int32).tobytes()), pa.py_buffer(data)])
+
+
+class Piece(NamedTuple):
     """A row of the encoded table."""
 
     lens: np.ndarray
@@ -89,49 +105,96 @@ class Batch(NamedTuple):
         return np.repeat(~self.held, self.lens)
 
 
-def _batches(arrow, first: int):
-    """The encoded rows of an Arrow batch whose columns begin at ``first``."""
-    for held, lens, stream, data, ends in zip(*[arrow.column(first + k) for k in range(5)]):
-        size = np.frombuffer(ends.as_py(), dtype=np.int32)
-        words = pa.Array.from_buffers(pa.binary(), len(size) - 1, [None, pa.py_buffer(size.tobytes()), data.as_buffer() or pa.py_buffer(b"")])
-        yield Batch(np.frombuffer(lens.as_py(), dtype=np.int64), np.frombuffer(held.as_py(), dtype=bool), unplanes(stream.as_py()), words)
+_FIELDS = ("held", "lens", "stream", "data", "ends")
 
 
-_FIELDS = ("held", "lens", "stream", "data", "ends")
+def _pieces(arrow, first: int = 0):
+    """The encoded rows of an Arrow batch whose columns begin at ``first``."""
+    for cells in zip(*[arrow.column(first + k) for k in range(5)]):
+        held, lens, stream, data, ends = (unpack(c.as_py()) for c in cells)
+        yield Piece(np.frombuffer(lens, dtype=np.int64), np.frombuffer(held, dtype=bool), unplanes(stream), _binary(np.frombuffer(ends, dtype=np.int32), data))
 
 
 def encoded(docs: DataFrame, id_col: str, text_col: str, scratch: Scratch) -> DataFrame:
-    """A row for each batch of whole texts: ``batch``, ``ids`` and the encoding."""
+    """A row for each piece of whole texts: ``batch``, ``ids``, the encoding, and the
+    numbers of training tokens, of training texts and of distinct words."""
     kind = docs.schema[id_col].dataType
     held = F.coalesce(F.expr(f"pmod(crc32(cast(`{id_col}` as string)), 7) = 2"), F.lit(False))
 
     def run(batches):
         for b in batches:
-            if not b.num_rows:
-                continue
-            stream, lens, words = encode(b.column(2))
-            ids, held = b.column(0), np.asarray(b.column(1).to_numpy(zero_copy_only=False), dtype=bool)
-            data, ends = column_bytes(words)
-            cells = [held.tobytes(), lens.astype(np.int64).tobytes(), planes(stream), data.tobytes(), ends.astype(np.int32).tobytes()]
-            listed = pa.ListArray.from_arrays(pa.array([0, len(ids)], pa.int32()), ids)
-            yield pa.RecordBatch.from_arrays([listed, *[pa.array([c], pa.binary()) for c in cells]], names=["ids", *_FIELDS])
-
-    out = docs.select(F.col(id_col), held, F.col(text_col)).mapInArrow(run, f"ids array<{kind.simpleString()}>, " + ", ".join(f"{f} binary" for f in _FIELDS))
+            for first, last in slices(column_bytes(b.column(2))[1], PIECE):
+                part = b.slice(first, last - first)
+                stream, lens, words = encode(part.column(2))
+                ids, held = part.column(0), np.asarray(part.column(1).to_numpy(zero_copy_only=False), dtype=bool)
+                data, ends = column_bytes(words)
+                cells = [pack(c) for c in (held.tobytes(), lens.astype(np.int64).tobytes(), planes(stream), data.tobytes(), ends.astype(np.int32).tobytes())]
+                listed = pa.ListArray.from_arrays(pa.array([0, len(ids)], pa.int32()), ids)
+                sizes = [int(lens[~held].sum()), int((~held).sum()), len(words)]
+                yield pa.RecordBatch.from_arrays([listed, *[pa.array([c], pa.binary()) for c in cells], *[pa.array([n], pa.int64()) for n in sizes]], names=["ids", *_FIELDS, "tokens", "texts", "words"])
+
+    schema = f"ids array<{kind.simpleString()}>, " + ", ".join(f"{f} binary" for f in _FIELDS) + ", tokens long, texts long, words long"
+    out = docs.select(F.col(id_col), held, F.col(text_col)).mapInArrow(run, schema)
     return scratch.keep(out.withColumn("batch", F.monotonically_increasing_id()))
 
 
-def training_counts(batches: DataFrame) -> DataFrame:
-    """``word``, ``n`` over training texts; the null word is the end."""
+# ---- buckets of words -------------------------------------------------------
+
+
+def _dealt(these: pa.Array, buckets: int, whole: list[np.ndarray], more: list[pa.Array] = []) -> tuple[np.ndarray, list[pa.Array]]:
+    """Words by buckets of their hashes: the buckets in use, and for each of these the
+    words' lengths and bytes, the numbers of ``whole`` (32 bits), and sizes and bytes of ``more``."""
+    data, offs = column_bytes(these)
+    h = (words(data, offs, np.ones(256, dtype=bool))[0] % np.uint64(buckets)).astype(np.int64)
+    order = np.argsort(h, kind="stable")
+    first = np.flatnonzero(np.concatenate((np.ones(min(1, len(h)), dtype=bool), np.diff(h[order]) != 0)))
+    bounds = np.concatenate((first, [len(h)]))
+    out = []
+    for column in (these, *more):
+        data, offs = column_bytes(column.take(pa.array(order)))
+        out += [_binary(bounds * 4, np.diff(offs).astype(np.int32).tobytes()), _binary(offs[bounds], data.tobytes())]
+    for numbers in whole:
+        out.append(_binary(bounds * 4, numbers[order].astype(np.int32).tobytes()))
+    return h[order][first], out
+
+
+def _joined(cells: pa.ChunkedArray | pa.Array, kind) -> np.ndarray:
+    return np.frombuffer(column_bytes(cells)[0].tobytes(), dtype=kind)
+
+
+def _met(table: pa.Table, lens: str, data: str) -> tuple[np.ndarray, pa.Array]:
+    """The words of a bucket's rows, one after the other, as numbers of its distinct words."""
+    sizes = _joined(table.column(lens), np.int32)
+    coded = _binary(np.concatenate(([0], np.cumsum(sizes, dtype=np.int64))), column_bytes(table.column(data))[0].tobytes()).dictionary_encode()
+    return coded.indices.to_numpy(zero_copy_only=False).astype(np.int64), coded.dictionary
+
+
+def training_counts(batches: DataFrame, buckets: int, tokens: int) -> DataFrame:
+    """For each bucket a row with ``types`` and ``single``: words of training texts, and
+    those that occur once; and a row with ``word`` and ``n`` for each frequent word."""
 
     def run(arrow):
         for a in arrow:
-            for b in _batches(a, 0):
+            for b in _pieces(a):
                 n = np.bincount(b.stream[b.training()], minlength=len(b.words) + 1)
-                there = np.flatnonzero(n)
-                index = pa.array(there, mask=there == len(b.words))
-                yield pa.RecordBatch.from_arrays([b.words.take(index), pa.array(n[there])], names=["word", "n"])
-
-    return batches.select(*_FIELDS).mapInArrow(run, "word binary, n long").groupBy("word").agg(F.sum("n").alias("n"))
+                there = np.flatnonzero(n[:-1])
+                bucket, cells = _dealt(b.words.take(pa.array(there)), buckets, [n[there]])
+                yield pa.RecordBatch.from_arrays([pa.array(bucket), *cells], names=["bucket", "lens", "data", "n"])
+
+    def add(table: pa.Table) -> pa.Table:
+        at, distinct = _met(table, "lens", "data")
+        n = np.bincount(at, weights=_joined(table.column("n"), np.int32).astype(np.float64), minlength=len(distinct)).astype(np.int64)
+        top = np.flatnonzero(n * SHARE >= tokens)
+        none = [None] * len(top)
+        return pa.table(
+            {
+                "types": pa.array([len(n), *none], pa.int64()), "single": pa.array([int((n == 1).sum()), *none], pa.int64()),
+                "word": pa.array([None, *distinct.take(pa.array(top)).to_pylist()], pa.binary()), "n": pa.array([None, *n[top].tolist()], pa.int64()),
+            }
+        )
+
+    rows = batches.select(*_FIELDS).mapInArrow(run, "bucket long, lens binary, data binary, n binary")
+    return rows.groupBy("bucket").applyInArrow(add, "types long, single long, word binary, n long")
 
 
 # ---- exchange ---------------------------------------------------------------
@@ -193,7 +256,7 @@ def neighbours(kinds: np.ndarray, classes: np.ndarray) -> tuple[np.ndarray, np.n
     return kinds * WIDE + prev, kinds * WIDE + CLASSES + following
 
 
-def _kinds(b: Batch, frequent: pa.Array) -> np.ndarray:
+def _kinds(b: Piece, frequent: pa.Array) -> np.ndarray:
     """By word of the batch's dictionary and the end: its place among the
     frequent words, or one more for all other words, or two more for the end."""
     place = pc.fill_null(pc.index_in(b.words, value_set=frequent), len(frequent)).to_numpy(zero_copy_only=False)
@@ -211,7 +274,7 @@ def frequent_neighbours(batches: DataFrame, frequent: pa.Array, classes: np.ndar
         words, of_kind = shared.value
         total = np.zeros(slices * SLICE * WIDE, dtype=np.int64)
         for a in arrow:
-            for b in _batches(a, 0):
+            for b in _pieces(a):
                 kind = _kinds(b, words)[b.stream[b.training()]]
                 for codes in neighbours(kind, of_kind[kind]):
                     total += np.bincount(codes, minlength=len(total))
@@ -270,69 +333,53 @@ def exchange_frequent(batches: DataFrame, frequent: pa.Array, rounds: int = ROUN
     return best[1], best[2]
 
 
-def _runs(words: pa.Array) -> np.ndarray:
-    """The first rows of runs of equal words."""
-    if len(words) < 2:
-        return np.arange(len(words))
-    return np.concatenate(([0], np.flatnonzero(pc.not_equal(words.slice(1), words.slice(0, len(words) - 1)).to_numpy(zero_copy_only=False)) + 1))
+def nearby(b: Piece, kind: np.ndarray, classes: np.ndarray, others: int) -> pa.Array:
+    """For each word of a piece's dictionary that isn't frequent: cells of WIDE and their counts."""
+    stream = b.stream[b.training()].astype(np.int64)
+    rare = (kind == others)[stream]
+    codes, n = np.unique(np.concatenate([p[rare] for p in neighbours(stream, classes[kind[stream]])]), return_counts=True)
+    packed = np.empty(len(codes), dtype=_PACKED)
+    packed["k"], packed["n"] = codes % WIDE, n
+    sizes = np.bincount(codes // WIDE, minlength=len(b.words))[: len(b.words)]
+    return _binary(np.concatenate(([0], np.cumsum(sizes))) * _PACKED.itemsize, packed.tobytes())
 
 
-def exchange_others(batches: DataFrame, frequent: pa.Array, classes: np.ndarray, cells: np.ndarray) -> DataFrame:
-    """``word``, ``n`` in training texts and ``class`` of every word that isn't frequent."""
+def exchange_others(batches: DataFrame, frequent: pa.Array, classes: np.ndarray, cells: np.ndarray, buckets: int) -> DataFrame:
+    """``batch``, ``at``, ``n``, ``class``: for words of each piece that aren't frequent but
+    occur in training texts, their places in its dictionary, counts in all
+    training texts and classes. Pieces send each bucket its words once."""
     shared = batches.sparkSession.sparkContext.broadcast((frequent, classes, cells))
 
     def gather(arrow):
-        words, of_kind, _ = shared.value
-        for a in arrow:
-            for b in _batches(a, 0):
-                stream = b.stream[b.training()].astype(np.int64)
-                kind = _kinds(b, words)
-                rare = (kind == len(words))[stream]
-                pair = neighbours(stream, of_kind[kind[stream]])
-                codes, n = np.unique(np.concatenate([p[rare] for p in pair]), return_counts=True)
-                if not len(codes):
-                    continue
-                packed = np.empty(len(codes), dtype=_PACKED)
-                packed["k"], packed["n"] = codes % WIDE, n
-                word = codes // WIDE
-                first = np.flatnonzero(np.concatenate(([True], word[1:] != word[:-1])))
-                ends = (np.concatenate((first, [len(codes)])) * _PACKED.itemsize).astype(np.int32)
-                near = pa.Array.from_buffers(pa.binary(), len(first), [None, pa.py_buffer(ends.tobytes()), pa.py_buffer(packed.tobytes())])
-                yield pa.RecordBatch.from_arrays([b.words.take(pa.array(word[first])), near], names=["word", "near"])
-
-    def settle(words: pa.Array, near: np.ndarray):
-        own = np.full(len(near), REST, dtype=np.int64)
-        to = best_classes(near, own, shared.value[2])
-        return pa.RecordBatch.from_arrays([words, pa.array(near[:, :CLASSES].sum(1).astype(np.int64)), pa.array(to.astype(np.int32))], names=["word", "n", "class"])
-
-    def assign(arrow):
-        left = None  # the last word so far, which may go on in the next batch
+        top, of_kind, _ = shared.value
         for a in arrow:
-            words, near = a.column(0), a.column(1)
-            first = _runs(words)
-            data, offs = column_bytes(near)
-            packed = data[: len(data) // _PACKED.itemsize * _PACKED.itemsize].view(_PACKED)
-            offs = offs // _PACKED.itemsize
-            for s in range(0, len(first), 4096):
-                part = first[s : s + 4096]
-                stop = int(first[s + 4096]) if s + 4096 < len(first) else len(words)
-                entries = packed[offs[part[0]] : offs[stop]]
-                group = np.repeat(np.arange(len(part)), np.diff(np.concatenate((offs[part], [offs[stop]]))))
-                counts = np.bincount(group * WIDE + entries["k"], weights=entries["n"].astype(np.float64), minlength=len(part) * WIDE).reshape(-1, WIDE)
-                names = words.take(pa.array(part))
-                if left is not None:
-                    if left[0].equals(names.slice(0, 1)):
-                        counts[0] += left[1][0]
-                    else:
-                        yield settle(*left)
-                if len(part) > 1:
-                    yield settle(names.slice(0, len(part) - 1), counts[:-1])
-                left = names.slice(len(part) - 1), counts[-1:]
-        if left is not None:
-            yield settle(*left)
-
-    rows = batches.select(*_FIELDS).mapInArrow(gather, "word binary, near binary")
-    return rows.repartition("word").sortWithinPartitions("word").mapInArrow(assign, "word binary, n long, class int")
+            for place, b in zip(a.column(5).to_pylist(), _pieces(a)):
+                kind = _kinds(b, top)
+                at = np.flatnonzero(kind[:-1] == len(top))
+                near = nearby(b, kind, of_kind, len(top))
+                bucket, columns = _dealt(b.words.take(pa.array(at)), buckets, [at], [near.take(pa.array(at))])
+                yield pa.RecordBatch.from_arrays([pa.array(bucket), pa.array(np.full(len(bucket), place)), *columns], names=["bucket", "batch", "lens", "data", "sizes", "near", "at"])
+
+    def settle(table: pa.Table) -> pa.Table:
+        word, distinct = _met(table, "lens", "data")
+        entries = _joined(table.column("near"), _PACKED)
+        of_entry = np.repeat(word, _joined(table.column("sizes"), np.int32) // _PACKED.itemsize)
+        order = np.argsort(of_entry, kind="stable")
+        n, to = np.zeros(len(distinct), dtype=np.int64), np.full(len(distinct), REST, dtype=np.uint8)
+        for a in range(0, len(distinct), 4096):
+            some = order[slice(*np.searchsorted(of_entry, [a, a + 4096], sorter=order))]
+            size = min(4096, len(distinct) - a)
+            near = np.bincount((of_entry[some] - a) * WIDE + entries["k"][some], weights=entries["n"][some].astype(np.float64), minlength=size * WIDE).reshape(size, WIDE)
+            n[a : a + size] = near[:, :CLASSES].sum(1)
+            to[a : a + size] = best_classes(near, np.full(size, REST), shared.value[2])
+        at, ends = _joined(table.column("at"), np.int32), np.concatenate(([0], np.cumsum(pc.binary_length(table.column("lens")).to_numpy() // 4)))
+        known = n[word] > 0
+        left = np.concatenate(([0], np.cumsum(known)))[ends]
+        word, at = word[known], at[known]
+        return pa.table({"batch": table.column("batch"), "at": _binary(left * 4, at.tobytes()), "n": _binary(left * 8, n[word].tobytes()), "class": _binary(left, to[word].tobytes())})
+
+    rows = batches.select(*_FIELDS, "batch").mapInArrow(gather, "bucket long, batch long, lens binary, data binary, sizes binary, near binary, at binary")
+    return rows.groupBy("bucket").applyInArrow(settle, "batch long, at binary, n binary, class binary")
 
 
 # ---- scores -----------------------------------------------------------------
@@ -351,42 +398,29 @@ def _sums(values: np.ndarray, lens: np.ndarray) -> np.ndarray:
 
 
 def with_classes(batches: DataFrame, frequent: pa.Array, counts: np.ndarray, classes: np.ndarray, others: DataFrame, totals: Totals) -> DataFrame:
-    """The batches with ``known``, ``base`` and ``words`` (the logarithms of known
+    """The pieces with ``known``, ``base`` and ``words`` (the logarithms of known
     words' counts) by text, and the class of every token (UNKNOWN for unknown words)."""
     shared = batches.sparkSession.sparkContext.broadcast((frequent, counts, classes))
-
-    def wanted(arrow):
-        words = shared.value[0]
-        for a in arrow:
-            for place, b in zip(a.column(5).to_pylist(), _batches(a, 0)):
-                at = np.flatnonzero(_kinds(b, words)[:-1] == len(words))
-                yield pa.RecordBatch.from_arrays([pa.array(np.full(len(at), place)), pa.array(at.astype(np.int32)), b.words.take(pa.array(at))], names=["batch", "at", "word"])
-
-    found = batches.select(*_FIELDS, "batch").mapInArrow(wanted, "batch long, at int, word binary").join(others, "word")
-    found = found.groupBy("batch").agg(F.collect_list(F.struct("at", "n", "class")).alias("found"))
     kind = batches.schema["ids"].dataType.simpleString()
-
-    def run(arrow):
-        words, n_of_kind, class_of_kind = shared.value
+    names = ("ids", "held", "lens", "known", "base", "words", "classes")
+
+    def run(mine: pa.Table, found: pa.Table) -> pa.Table:
+        top, n_of_kind, class_of_kind = shared.value
+        (b,) = (p for a in mine.combine_chunks().to_batches() for p in _pieces(a))
+        place = _kinds(b, top)
+        n = np.where(place == len(top), 0, n_of_kind[place])
+        to = np.where(place == len(top), UNKNOWN, class_of_kind[place]).astype(np.uint8)
+        if found.num_rows:
+            at = _joined(found.column("at"), np.int32)
+            n[at], to[at] = _joined(found.column("n"), np.int64), _joined(found.column("class"), np.uint8)
+        tokens = n[b.stream]
         below = np.log10(totals.tokens + totals.types + 1)
-        for a in arrow:
-            for k, b in enumerate(_batches(a, 0)):
-                place = _kinds(b, words)
-                n = np.where(place == len(words), 0, n_of_kind[place])
-                to = np.where(place == len(words), UNKNOWN, class_of_kind[place]).astype(np.uint8)
-                rare = a.column(5)[k].values
-                if rare is not None and len(rare):
-                    at, c, cl = (x.to_numpy(zero_copy_only=False) for x in rare.flatten())
-                    n[at], to[at] = c, cl
-                tokens = n[b.stream]
-                known = tokens > 0
-                to = np.where(n > 0, to, UNKNOWN).astype(np.uint8)[b.stream]
-                by_text = (_sums(known.astype(np.int64), b.lens), _sums(np.log10(tokens + 1.0) - below, b.lens), _sums(np.log10(np.maximum(tokens, 1)), b.lens))
-                cells = [b.held.tobytes(), b.lens.tobytes(), *[x.tobytes() for x in by_text], to.tobytes()]
-                yield pa.RecordBatch.from_arrays([a.column(6).slice(k, 1), *[pa.array([c], pa.binary()) for c in cells]], names=["ids", "held", "lens", "known", "base", "words", "classes"])
-
-    joined = batches.join(found, "batch", "left").select(*_FIELDS, "found", "ids")
-    return joined.mapInArrow(run, f"ids {kind}, held binary, lens binary, known binary, base binary, words binary, classes binary")
+        by_text = (_sums((tokens > 0).astype(np.int64), b.lens), _sums(np.log10(tokens + 1.0) - below, b.lens), _sums(np.log10(np.maximum(tokens, 1)), b.lens))
+        cells = [b.held.tobytes(), b.lens.tobytes(), *[x.tobytes() for x in by_text], np.where(n > 0, to, UNKNOWN).astype(np.uint8)[b.stream].tobytes()]
+        return pa.table([mine.column("ids"), *[pa.array([pack(c)], pa.binary()) for c in cells]], names=names)
+
+    by_batch = batches.select(*_FIELDS, "batch", "ids").groupBy("batch").cogroup(others.groupBy("batch"))
+    return by_batch.applyInArrow(run, f"ids {kind}, " + ", ".join(f"{c} binary" for c in names[1:]))
 
 
 def final_bigrams(classed: DataFrame) -> np.ndarray:
@@ -395,7 +429,7 @@ def final_bigrams(classed: DataFrame) -> np.ndarray:
     def run(arrow):
         total = np.zeros(CLASSES * CLASSES, dtype=np.int64)
         for a in arrow:
-            for held, lens, classes in zip(*[c.to_pylist() for c in a.columns]):
+            for held, lens, classes in zip(*[map(unpack, c.to_pylist()) for c in a.columns]):
                 mine = np.repeat(~np.frombuffer(held, dtype=bool), np.frombuffer(lens, dtype=np.int64))
                 to = np.frombuffer(classes, dtype=np.uint8)[mine].astype(np.int64)
                 total += np.bincount(np.concatenate(([END], to[:-1])) * CLASSES + to, minlength=len(total)) if len(to) else 0
@@ -448,28 +482,29 @@ def score_texts(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text",
     Other columns aren't read.
     """
     spark = docs.sparkSession
-    scratch = Scratch(spark, "classes", "snappy")
+    scratch = Scratch(spark, "classes")
     batches = encoded(docs, id_col, text_col, scratch)
-    seen = scratch.keep(training_counts(batches))
-    t = seen.agg(F.coalesce(F.sum("n"), F.lit(0)), F.count("*"), F.count_if(F.col("n") == 1), F.coalesce(F.max(F.when(F.col("word").isNull(), F.col("n"))), F.lit(0))).first()
-    totals, ends = Totals(t[0], t[1], t[2]), t[3]
-    top = seen.filter(F.col("word").isNotNull() & (F.col("n") * SHARE >= totals.tokens)).collect()  # SHARE rows at most
+    tokens, texts, entries = batches.agg(*[F.coalesce(F.sum(c), F.lit(0)) for c in ("tokens", "texts", "words")]).first()
+    buckets = -(-entries // BUCKET) or 1
+    seen = scratch.keep(training_counts(batches, buckets, tokens))
+    types, single = seen.agg(*[F.coalesce(F.sum(c), F.lit(0)) for c in ("types", "single")]).first()
+    totals = Totals(tokens, types + (texts > 0), single + (texts == 1))
+    top = seen.filter(F.col("word").isNotNull()).select("word", "n").collect()  # SHARE rows at most
     scratch.drop(seen)
     top.sort(key=lambda r: (-r["n"], bytes(r["word"])))
     frequent = pa.array([bytes(r["word"]) for r in top], pa.binary())
-    counts = np.array([r["n"] for r in top] + [0, ends], dtype=np.int64)
+    counts = np.array([r["n"] for r in top] + [0, texts], dtype=np.int64)
     classes, cells = exchange_frequent(batches, frequent, rounds)
-    others = scratch.keep(exchange_others(batches, frequent, classes, cells))
+    others = exchange_others(batches, frequent, classes, cells, buckets)
     classed = scratch.keep(with_classes(batches, frequent, counts, classes, others, totals))
     scratch.drop(batches)
-    scratch.drop(others)
     shared = spark.sparkContext.broadcast(Model(final_bigrams(classed), totals))
     kind = docs.schema[id_col].dataType.simpleString()
 
     def run(arrow):
         for a in arrow:
             for k in range(a.num_rows):
-                held, lens, known, base, words, classes = (a.column(c)[k].as_py() for c in range(1, 7))
+                held, lens, known, base, words, classes = (unpack(a.column(c)[k].as_py()) for c in range(1, 7))
                 n = np.frombuffer(lens, dtype=np.int64)
                 score = np.frombuffer(words, dtype=np.float64) + shared.value.scores(np.frombuffer(classes, dtype=np.uint8), n)
                 yield pa.RecordBatch.from_arrays(

@@ -11,6 +11,7 @@ merged into one.
 from __future__ import annotations
 
 import base64
+import re
 from collections.abc import Mapping
 
 import numpy as np
@@ -28,6 +29,24 @@ KEYS = ("source", "lang", "version")
 #: The pre-tokenization pattern that the public rank files are made for (fixed value).
 PATTERN = r"""'s|'t|'re|'ve|'m|'ll|'d| ?\p{L}+| ?\p{N}+| ?[^\s\p{L}\p{N}]+|\s+(?!\S)|\s+"""
 
+#: White space as the pattern sees it, in runs that its backtracking can't hold.
+_GAP = re.compile("[\t-\r \x85\xa0\u1680\u2000-\u200a\u2028\u2029\u202f\u205f\u3000]{4096,}")
+
+
+def count_pieces(encode, encode_whole, text: str) -> int:
+    """Tokens of a text of any length.
+
+    The pattern takes a run of white space as one piece but for its last
+    character, which it leaves to what follows; so long runs can be cut out and
+    encoded by themselves without changing any token."""
+    total, at = 0, 0
+    for m in _GAP.finditer(text):
+        start, end = m.span()
+        end -= end < len(text)
+        total += len(encode(text[at:start])) + len(encode_whole(text[start:end]))
+        at = end
+    return total + len(encode(text[at:]))
+
 
 def load_ranks(path: str) -> dict[bytes, int]:
     """A public vocabulary's ranks; its size is fixed, so it may be broadcast."""
@@ -47,14 +66,14 @@ def count_tokens(docs: DataFrame, versions: Mapping[str, str | None] = VERSIONS,
     def run(batches):
         import tiktoken
 
-        codecs = {v: tiktoken.Encoding(v, pat_str=pattern, mergeable_ranks=r, special_tokens={}) for v, r in ranks.value.items()}
+        codec = lambda v, p, r: tiktoken.Encoding(v, pat_str=p, mergeable_ranks=r, special_tokens={}).encode_ordinary
+        codecs = {v: (codec(v, pattern, r), codec(v, r"[\s\S]+", r)) for v, r in ranks.value.items()}
         for b in batches:
             data, offs = column_bytes(b.column(3))
             size = np.diff(offs)
             for v in order:
                 if v in codecs:
-                    encode = codecs[v].encode_ordinary
-                    n = [len(encode(t)) if t else 0 for t in b.column(3).to_pylist()]
+                    n = [count_pieces(*codecs[v], t) if t else 0 for t in b.column(3).to_pylist()]
                 else:
                     n = [k for a, z in slices(offs) for k in np.diff(words(data[offs[a] : offs[z]], offs[a : z + 1] - offs[a], NOT_SPACE)[3]).tolist()]
                 yield pa.RecordBatch.from_arrays(

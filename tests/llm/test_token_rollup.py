@@ -39,7 +39,37 @@ def test_a_batch_without_its_marker_does_not_count(spark):
     assert rows(t.totals(), *KEYS) == [("s", "en", "v1", 1, 10)]
 
 
-@pytest.mark.skipif(not os.path.isdir(token_rollup.TOKENIZERS), reason="no public tokenizers here")
+needs_tokenizers = pytest.mark.skipif(not os.path.isdir(token_rollup.TOKENIZERS), reason="no public tokenizers here")
+
+
+@needs_tokenizers
+def test_white_space_and_letters_without_end(spark):
+    import tiktoken
+
+    texts = [" " * 10**7, "a" * 10**7, " \n" * 10**6 + "end", "x" + "\t" * 5000 + "y", "x" + " " * 5000]
+    df = spark.createDataFrame([(i, t, "en", "s") for i, t in enumerate(texts)], "doc_id long, text string, lang string, source string")
+    got = {r["id"]: r["tokens"] for r in token_rollup.count_tokens(df).filter("version <> 'words'").collect()}
+    encode = tiktoken.Encoding("own", pat_str=token_rollup.PATTERN, mergeable_ranks=token_rollup.load_ranks(f"{token_rollup.TOKENIZERS}/byte_bpe_50k.tiktoken"), special_tokens={}).encode_ordinary
+    assert got == {0: 10**7, 1: 10**7 // 4, 2: 2 * 10**6 + 1, 3: len(encode(texts[3])), 4: len(encode(texts[4]))}
+
+
+@needs_tokenizers
+def test_cutting_out_white_space_changes_no_count(monkeypatch):
+    import random
+    import re
+
+    import tiktoken
+
+    ranks = token_rollup.load_ranks(f"{token_rollup.TOKENIZERS}/byte_bpe_50k.tiktoken")
+    encode, whole = (tiktoken.Encoding("own", pat_str=p, mergeable_ranks=ranks, special_tokens={}).encode_ordinary for p in (token_rollup.PATTERN, r"[\s\S]+"))
+    monkeypatch.setattr(token_rollup, "_GAP", re.compile(token_rollup._GAP.pattern.replace("4096", "2")))
+    r = random.Random(5)
+    for _ in range(3000):
+        text = "".join(r.choice([" ", "  ", "\n", "\t", "a", "b1", "'s", "!", "é", "\u3000", "\x1c", "\x85", "   ", "zz"]) for _ in range(r.randrange(1, 30)))
+        assert token_rollup.count_pieces(encode, whole, text) == len(encode(text)), repr(text)
+
+
+@needs_tokenizers
 def test_totals_are_those_of_counting_anew(spark, prose):
     import tiktoken
 

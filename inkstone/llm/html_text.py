@@ -18,6 +18,8 @@ from __future__ import annotations
 
 import html as entities
 import re
+from bisect import bisect_left
+from collections import Counter
 
 import numpy as np
 import pyarrow as pa
@@ -31,12 +33,14 @@ RUN = 8  # tokens
 LEAST_PAGES, SHARE = 3, 0.2  # of a host, by text, on which boilerplate stands
 SHARD_TOKENS = 400_000
 
-_TAG = re.compile(r"""<!--.*?(?:-->|\Z)|<[!?][^>]*>?|<(/?)([a-zA-Z][^\s/>]*)((?:[^>"']|"[^"]*"|'[^']*')*)>""", re.S)
-_OPEN_END = re.compile(r"</?[a-zA-Z][^>]*\Z")  # a tag that the page ends within
+_MARK = re.compile(r"<(?:!--|[!?]|(/?)([a-zA-Z][^\s/>]*))")
+_OPEN_TAG = re.compile(r"</?[a-zA-Z]")
+_SPECIAL = re.compile(r"""[>"']""")
 _ATTR = re.compile(r"""(class|id|role|itemprop|hidden|aria-hidden)(?:\s*=\s*("[^"]*"|'[^']*'|[^\s>]+))?(?=[\s/]|\Z|["'])""", re.I)
 _STYLE = re.compile(r"display\s*:\s*none", re.I)
 _RAW = {"script", "style", "title", "textarea", "noscript", "template", "iframe", "object", "svg", "math", "canvas", "head", "xmp", "noembed", "noframes"}
-_RAW_END = {t: re.compile(rf"</{t}(?=[\s/>])[^>]*>", re.I) for t in _RAW}
+_RAW_END = {t: re.compile(rf"</{t}(?=[\s/>])", re.I) for t in _RAW}
+_BODY = re.compile(r"<body[\s>]", re.I)
 _DROP = {"nav", "footer", "aside", "form", "button", "select", "dialog", "menu", "fieldset", "datalist"}
 _VOID = {"area", "base", "br", "col", "embed", "hr", "img", "input", "link", "meta", "param", "source", "track", "wbr"}
 _INLINE = {"a", "abbr", "b", "bdi", "bdo", "big", "cite", "code", "data", "del", "dfn", "em", "font", "i", "ins", "kbd", "label", "mark", "q", "s", "samp", "small", "span", "strike", "strong", "sub", "sup", "time", "tt", "u", "var", "wbr", "img"}
@@ -56,6 +60,72 @@ _PART = {"p": {"p"}, "li": {"li"}, "td": {"td", "th", "tr"}, "th": {"td", "th",
 _ENDS_P = {"p", "div", "ul", "ol", "dl", "table", "section", "article", "main", "header", "footer", "nav", "aside", "form", "h1", "h2", "h3", "h4", "h5", "h6", "blockquote", "pre", "hr", "figure", "address", "fieldset"}
 
 
+class _Markup:
+    """Tags of a page, found in time linear in its length, however it is broken.
+
+    A tag ends at the first ``>`` outside of quotes. What a quote or a bracket
+    leads to is known from the page's end backwards, so nothing is tried twice.
+    """
+
+    def __init__(self, page: str):
+        self.page = page
+        self.last = page.rfind(">")
+        self.special = [m.start() for m in _SPECIAL.finditer(page, 0, self.last + 1)]
+        self.ends = [-1] * len(self.special)
+        following = {'"': -1, "'": -1}
+        for k in range(len(self.special) - 1, -1, -1):
+            c = page[self.special[k]]
+            if c == ">":
+                self.ends[k] = self.special[k]
+                continue
+            close = following[c]
+            if 0 <= close < len(self.special) - 1:
+                self.ends[k] = self.ends[close + 1]
+            following[c] = k
+        self.missing: set[str] = set()
+
+    def search(self, at: int) -> tuple[int, int, str | None, bool, str] | None:
+        """From ``at``: where the next tag starts and ends, its name (None of a comment or
+        declaration), whether it closes, and its attributes."""
+        page = self.page
+        for m in _MARK.finditer(page, at):
+            if m[2] is None:
+                if m[0] == "<!--":
+                    end = page.find("-->", m.end())
+                    return m.start(), len(page) if end < 0 else end + 3, None, False, ""
+                end = page.find(">", m.end()) if m.end() <= self.last else -1
+                return m.start(), len(page) if end < 0 else end + 1, None, False, ""
+            if m.end() > self.last:
+                return None
+            k = bisect_left(self.special, m.end())
+            end = self.ends[k] if k < len(self.ends) else -1
+            if end >= 0:
+                return m.start(), end + 1, m[2], bool(m[1]), page[m.end() : end]
+        return None
+
+    def rest(self, at: int) -> str:
+        """The text from ``at`` on, without a tag that the page ends within."""
+        m = _OPEN_TAG.search(self.page, max(at, self.last + 1))
+        return self.page[at : m.start()] if m else self.page[at:]
+
+    def after(self, tag: str, at: int) -> int:
+        """Behind the end tag of an element whose content isn't markup; -1 without one."""
+        if tag not in self.missing:
+            m = _RAW_END[tag].search(self.page, at)
+            if m and m.end() <= self.last:
+                return self.page.find(">", m.end()) + 1
+            self.missing.add(tag)
+        return -1
+
+    def body(self, at: int) -> int:
+        if "<body" not in self.missing:
+            m = _BODY.search(self.page, at)
+            if m:
+                return m.start()
+            self.missing.add("<body")
+        return -1
+
+
 def _attributes(text: str) -> dict[str, str]:
     return {m[1].lower(): (m[2] or "").strip("\"'").lower() for m in _ATTR.finditer(text)} if text else {}
 
@@ -99,6 +169,7 @@ def _blocks(page: str, drop_outside: bool) -> tuple[list[tuple[str, str]], bool]
     blocks: list[tuple[str, str]] = []
     buffer: list[str] = []
     article: list[str] = []  # open article and main elements
+    opened: Counter[str] = Counter()  # how many of each
     drop, depth = "", 0
     at, n = 0, len(page)
 
@@ -112,25 +183,27 @@ def _blocks(page: str, drop_outside: bool) -> tuple[list[tuple[str, str]], bool]
     def kind():
         return "boilerplate" if drop else "article" if article else "open"
 
+    markup = _Markup(page)
     while at < n:
-        m = _TAG.search(page, at)
-        if not m:
-            buffer.append(_OPEN_END.sub("", page[at:]))
+        found = markup.search(at)
+        if not found:
+            buffer.append(markup.rest(at))
             break
-        if m.start() > at:
-            buffer.append(page[at : m.start()])
-        at = m.end()
-        tag = m[2]
+        start, end, tag, closing, inside = found
+        if start > at:
+            buffer.append(page[at:start])
+        at = end
         if tag is None:
             continue
-        tag, closing = tag.lower(), bool(m[1])
+        tag = tag.lower()
         if tag not in _INLINE:
             flush(kind())
         if tag in _RAW and not closing:
-            if not m[3].endswith("/"):
-                end = _RAW_END[tag].search(page, at)
-                body = re.compile(r"<body[\s>]", re.I).search(page, at) if tag == "head" and not end else None
-                at = end.end() if end else body.start() if body else n if tag != "head" else at
+            if not inside.endswith("/"):
+                end = markup.after(tag, at)
+                if end < 0 and tag == "head":  # it wasn't closed
+                    end = max(at, markup.body(at))
+                at = n if end < 0 else end
             continue
         if tag in _VOID:
             continue
@@ -155,19 +228,23 @@ def _blocks(page: str, drop_outside: bool) -> tuple[list[tuple[str, str]], bool]
                 drop, depth = "", 0
             else:
                 continue
-        attrs = _attributes(m[3]) if not closing and m[3] else {}
-        if not closing and (article or drop_outside) and (_is_boilerplate(tag, attrs, bool(article)) or (m[3] and _STYLE.search(m[3]))):
+        attrs = _attributes(inside) if not closing and inside else {}
+        if not closing and (article or drop_outside) and (_is_boilerplate(tag, attrs, bool(article)) or (inside and _STYLE.search(inside))):
             flush(kind())
-            if not m[3].endswith("/"):
+            if not inside.endswith("/"):
                 drop, depth = tag, 1
         elif tag in ("article", "main") or attrs.get("role") == "main" or "articlebody" in attrs.get("itemprop", ""):
             if not closing:
                 article.append(tag)
-            elif tag in article:
-                while article.pop() != tag:
-                    pass
-        elif closing and tag in article:
+                opened[tag] += 1
+            elif opened[tag]:
+                last = None
+                while last != tag:
+                    last = article.pop()
+                    opened[last] -= 1
+        elif closing and opened[tag]:
             article.remove(tag)
+            opened[tag] -= 1
     flush(kind())
     return blocks, within
 

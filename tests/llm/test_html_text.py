@@ -1,3 +1,5 @@
+import time
+
 import pytest
 
 from inkstone.llm import html_text
@@ -100,3 +102,11 @@ def test_copies_and_quoted_sentences_keep_their_text(spark, prose):
 )
 def test_names_within_names_and_wrappers_keep_the_article(page, text):
     assert text_of(page) == text
+
+
+@pytest.mark.parametrize("part", ['<a x="', "<b ", "<head>", "<a \"'", "</script ", "<script ", "<!x ", "<article></main>", "<a x=\"'>"])
+@pytest.mark.parametrize("end", ["", '">', "-->"])
+def test_a_broken_page_takes_time_linear_in_its_length(part, end):
+    start = time.perf_counter()
+    html_text.parse(part * (1_000_000 // len(part)) + end)
+    assert time.perf_counter() - start < 10  # an hour, if every tag were tried to the page's end

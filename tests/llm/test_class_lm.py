@@ -61,8 +61,8 @@ def test_score_is_the_models_by_brute_force(spark, corpus):
     words = {r["batch"]: p.words.to_pylist() for r in batches.toArrow().to_batches() for r, p in zip(r.select(["batch"]).to_pylist(), class_lm._pieces(r, 1))}
     others = {}
     for r in class_lm.exchange_others(batches, frequent, classes, cells, 3).collect():
-        at, n, to = (np.frombuffer(bytes(r[c]), dtype=k) for c, k in (("at", np.int32), ("n", np.int64), ("class", np.uint8)))
-        others |= {words[r["batch"]][i].decode(): (int(k), int(c)) for i, k, c in zip(at, n, to)}
+        cells = [np.frombuffer(bytes(r[c]), dtype=k).tolist() for c, k in (("at", np.int32), ("n", np.int64), ("class", np.uint8))]
+        others |= {words[r["batch"]][i].decode(): (k, c) for i, k, c in zip(*cells)}
     assert {w: k for w, (k, _) in others.items()} == {w: c for w, c in count.items() if w is not None and w not in of}
     of |= {w: c for w, (_, c) in others.items()}
     pairs = Counter((of[a], of[b]) for i, t in corpus if not held(i) for a, b in zip([None] + tokens(t), tokens(t)))
@@ -80,15 +80,20 @@ def test_score_is_the_models_by_brute_force(spark, corpus):
         step = (pairs[before, of[b]] + class_lm.PRIOR * share) / (left[before] + class_lm.PRIOR) if before is not None else share
         return (1 - miss) * step * count[b] / size[of[b]]
 
-    want = sorted((str(i), round(sum(math.log10(p(a, b)) for a, b in zip([None] + tokens(t), tokens(t))), 6)) for i, t in corpus)
+    want = sorted((str(i), float(sum(math.log10(p(a, b)) for a, b in zip([None] + tokens(t), tokens(t))))) for i, t in corpus)
     got = score(spark, corpus)
-    assert sorted((str(r["doc_id"]), round(r["score"], 6)) for r in got) == want
+    for (i, x), (j, y) in zip(sorted((str(r["doc_id"]), r["score"]) for r in got), want, strict=True):
+        assert i == j and x == pytest.approx(y, rel=1e-9)
     # Probabilities of all known words and the unknown one after any word add up to 1.
     for a in ("title1", None, "never seen"):
         assert abs(sum(p(a, b) for b in count) + miss - 1) < 1e-9
-    # Words of one group are found to belong together, and the held-out texts gain from that.
-    best = [Counter(of[w] for w in of if w and w.startswith(g)).most_common(1)[0][1] for g in ("title", "name", "verb", "thing")]
-    assert sum(best) > 60
+    # Classes hold words of one group, and the held-out texts gain from that.
+    members = {}
+    for w, c in of.items():
+        if w and w.rstrip("0123456789") in ("title", "name", "verb", "thing"):
+            members.setdefault(c, Counter())[w.rstrip("0123456789")] += 1
+    shared = [m for m in members.values() if sum(m.values()) > 1]
+    assert sum(max(m.values()) for m in shared) > 0.85 * sum(sum(m.values()) for m in shared) and len(shared) > 10
     out = [r for r in got if r["held_out"] and r["n_known"] == r["n_tokens"]]
     assert sum(r["score"] for r in out) > sum(r["base_score"] for r in out) + 0.2 * sum(r["n_tokens"] for r in out)
 

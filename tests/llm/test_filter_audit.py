@@ -11,8 +11,8 @@ SPACE = re.compile("[\x20\x09-\x0d]+")
 
 def brute(docs, labels):
     """Each order applied to each document, one filter after the other."""
-    good = {i for i, q, _ in labels if q == 1}
-    toxic = {i for i, _, x in labels if x == 1}
+    good = {i for i, q, _ in labels if q == 1 and i is not None}
+    toxic = {i for i, _, x in labels if x == 1 and i is not None}
     by_part = {}
     for i, text, lang in docs:
         text, words = text or "", [w for w in SPACE.split(text or "") if w]

@@ -55,3 +55,16 @@ def test_run_is_all_stages(spark, folder):
     names = ("doc_id", "domain", "lang", "source", "n_tokens", "copies")
     assert rows(out, *names) == rows(docs, *names)
     assert mixing and decontaminate
+
+
+def test_empty_tables(spark, folder, tmp_path):
+    for name in ("documents", "labels", "benchmark"):
+        spark.read.parquet(f"{folder}/{name}.parquet").limit(0).write.parquet(f"{tmp_path}/{name}.parquet")
+    assert corpus_pipeline.run(spark, str(tmp_path)).collect() == []
+
+
+def test_labels_without_documents_and_a_benchmark_without_texts(spark, folder, tmp_path):
+    spark.read.parquet(f"{folder}/documents.parquet").limit(0).write.parquet(f"{tmp_path}/documents.parquet")
+    spark.read.parquet(f"{folder}/labels.parquet").write.parquet(f"{tmp_path}/labels.parquet")
+    spark.read.parquet(f"{folder}/benchmark.parquet").selectExpr("item_id", "cast(null as string) as text").write.parquet(f"{tmp_path}/benchmark.parquet")
+    assert corpus_pipeline.run(spark, str(tmp_path)).collect() == []

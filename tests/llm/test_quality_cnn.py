@@ -86,11 +86,33 @@ def test_odd_rows_and_missing_labels(spark):
     assert rows(quality_cnn.score_quality(d, quality_cnn.ByteConvNet()), "doc_id", "held_out")[-1] == (None, False)
 
 
-def test_a_class_of_long_texts_only_is_learned(spark, prose):
-    docs = [(i, prose(i, 40)) for i in range(12)] + [(100 + i, "buy now !!! " * 6000) for i in range(12)]
+def test_a_class_of_long_texts_only_is_learned(spark, prose, monkeypatch):
+    monkeypatch.setattr(quality_cnn, "LEAST_STEPS", 40)
+    docs = [(i, prose(i, 40)) for i in range(12)] + [(100 + i, "buy now !!! " * 2000) for i in range(12)]
     df = spark.createDataFrame(docs, "doc_id long, text string")
     labels = spark.createDataFrame([(i, int(i < 100)) for i, _ in docs], "doc_id long, quality int")
     model = quality_cnn.train(df, labels)
     assert model.constant is None
-    with pytest.raises(ValueError, match="no text"):
-        quality_cnn.train(df.filter("doc_id < 100"), labels)
+    # Without texts of one of the classes there is nothing to tell apart.
+    assert quality_cnn.train(df.filter("doc_id < 100"), labels).constant == 1.0
+    assert quality_cnn.train(df.limit(0), labels).constant == 0.5
+
+
+def test_the_end_of_a_very_long_text_is_learned_from(spark, monkeypatch):
+    """Texts that differ only behind their first 70,000 characters."""
+    monkeypatch.setattr(quality_cnn, "LEAST_STEPS", 60)
+    monkeypatch.setattr(quality_cnn, "BATCH", 16)
+    docs = [(i, "calm water " * 7_000 + ["good old prose " * 40, "!!! $$$ ### " * 50][i % 2]) for i in range(16)]
+    df = spark.createDataFrame(docs, "doc_id long, text string")
+    labels = spark.createDataFrame([(i, 1 - i % 2) for i, _ in docs], "doc_id long, quality int")
+    got = {r["doc_id"]: r["score"] for r in quality_cnn.score_quality(df, quality_cnn.train(df, labels)).collect()}
+    assert min(got[i] for i in got if i % 2 == 0) > max(got[i] for i in got if i % 2)
+
+
+def test_training_does_not_depend_on_the_order_of_rows(spark, prose):
+    docs, labels = corpus(prose, 60)
+    docs += docs[:9] + [(docs[3][0], "another text of the same id")]
+    y = spark.createDataFrame(labels, "doc_id long, quality int")
+    one, two = (quality_cnn.labelled_sample(spark.createDataFrame(d, "doc_id long, text string").repartition(n), y, per_class=12) for d, n in ((docs, 2), (docs[::-1], 5)))
+    assert rows(one, "i", "h", "y", "t") == rows(two, "i", "h", "y", "t")
+    assert rows(one.groupBy("y").count(), "y", "count") == [(0, 12), (1, 12)]

@@ -8,8 +8,8 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from inkstone.functions import arrays, segment
-from inkstone.operators import artifact_features, authorship, categories, charts, evaluation, features, formatting, lexical, model_features, rewrite, sentence_scores, sequences, speech, stability, statistics, style_categories, voice_categories
-from inkstone.plans import artifact_sql, category_sql, chart_sql, lexical_sql, oracles, sequence_sql, speech_sql, stability_sql, style_sql, voice_sql
+from inkstone.operators import artifact_features, authorship, categories, charts, evaluation, features, formatting, lexical, model_features, rewrite, rewriting_signals, sentence_scores, sequences, speech, stability, statistics, style_categories, voice_categories
+from inkstone.plans import artifact_sql, category_sql, chart_sql, lexical_sql, oracles, sequence_sql, signal_sql, speech_sql, stability_sql, style_sql, voice_sql
 from inkstone.sources import files, samples, sinks
 
 Query = Callable[[SparkSession, str], DataFrame]
@@ -153,3 +153,4 @@ over("cooccurrence_edges", chart_sql.EDGES_SQL, charts.cooccurrence_edges)
 over("cooccurrence_nodes", chart_sql.NODES_SQL, charts.cooccurrence_nodes)
 over("repetition_map", chart_sql.REPETITION_MAP, charts.repetition_map)
 over("length_histogram", chart_sql.HISTOGRAM, charts.length_histogram)
+over("rewriting_signals", signal_sql.SIGNALS, rewriting_signals.rewriting_signals)

@@ -119,7 +119,7 @@ def lexical_choice(docs: DataFrame, id_col: str = "doc_id", text_col: str = "tex
 
 def _plain(pattern: str) -> str:
     """A pattern for ``rlike``, with word edges by ASCII words."""
-    return re.sub(r"^\\b", "(?<![A-Za-z0-9_])", pattern).replace(r"\b", "(?![A-Za-z0-9_])")
+    return re.sub(r"^(\(\?i\))?\\b", r"\1(?<![A-Za-z0-9_])", pattern).replace(r"\b", "(?![A-Za-z0-9_])")
 
 
 def discourse(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:

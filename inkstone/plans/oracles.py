@@ -293,7 +293,7 @@ f AS (SELECT *, {trimmed(f"regexp_replace(text, '[{WS}]+', ' ', 'g')")} AS flat
 SELECT doc_id, length(regexp_replace(text, '[{WS}]+', '', 'g'))::BIGINT AS letters,
   len(regexp_extract_all(lower(text), '[a-z0-9_''-]+'))::BIGINT AS tokens_web,
   len(list_filter(regexp_extract_all(lower(text), '[a-z0-9_]+'), lambda x: regexp_full_match(x, '[a-z]+')))::BIGINT AS tokens_letters,
-  len(regexp_extract_all(lower(text), '[a-z''-]+'))::BIGINT AS tokens_v1,
+  len(regexp_extract_all(lower(text), '[a-z''-]+'))::BIGINT AS tokens_v1, len(regexp_extract_all(lower(text), '\b[a-z''-]+\b'))::BIGINT AS tokens_ext,
   len(list_filter(string_split(regexp_replace(flat, '([.!?])[{WS}]+', '\1' || chr(2), 'g'), chr(2)), lambda s: length({trimmed("s")}) > 5))::BIGINT AS sentences_flat,
   len(list_filter(string_split_regex(text, '[.!?]+[{WS}]+'), lambda s: {trimmed("s")} <> ''))::BIGINT AS sentences_ext,
   len(list_filter({_V1}, lambda s: len(regexp_extract_all(s, '[^{WS}]+')) >= 2))::BIGINT AS sentences_v1,

@@ -62,7 +62,7 @@ over("bigram_perplexity", oracles.PERPLEXITY, statistics.bigram_perplexity)
 over("adjacent_similarity", oracles.ADJACENT, statistics.adjacent_similarity)
 over("top_words", oracles.TOP_WORDS, statistics.top_words)
 over("repeated_phrases", oracles.PHRASES, statistics.repeated_phrases)
-over("segment_counts", oracles.SEGMENTS, lambda docs: statistics.segment_counts(docs).drop("tokens_ext"))
+over("segment_counts", oracles.SEGMENTS, statistics.segment_counts)
 over("lexicon_word_counts", lexical_sql.WORD_COUNTS, lexical.word_counts)
 over("lexicon_phrase_counts", lexical_sql.PHRASE_COUNTS, lexical.phrase_counts)
 over("lexicon_stem_counts", lexical_sql.STEM_COUNTS, lexical.stem_counts)

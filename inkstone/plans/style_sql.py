@@ -89,7 +89,7 @@ i AS (SELECT *, list_transform(inside, lambda a: len(a)::DOUBLE) AS sizes FROM j
 x AS (
   SELECT *, {_cv("words")} AS cv, {_cv("sizes")} AS sizes_cv, len(list_filter(inside, lambda a: len(a) >= 3 AND coalesce(list_stddev_pop(a) / nullif(list_avg(a), 0), 1) < 0.3)) AS even_,
     {_n("text", L.ASSISTANT_PATTERNS)} AS assistant, ({" + ".join(f"(starts_with(low, {_q(o)}) OR contains(low, chr(10) || {_q(o)}))::INT" for o in L.ASSISTANT_OPENINGS)}) AS openings,
-    {_matched("text", L.BALANCE_TEMPLATES)} AS templates, {_n("low", [rf"{w}" for w in L.PRO_WORDS])} AS pro, {_n("low", [rf"{w}" for w in L.CON_WORDS])} AS con,
+    {_matched("text", L.BALANCE_TEMPLATES)} AS templates, {_n("low", [rf"\b{w}\b" for w in L.PRO_WORDS])} AS pro, {_n("low", [rf"\b{w}\b" for w in L.CON_WORDS])} AS con,
     {_in("low", L.CAUTIOUS_PHRASES)} AS cautious, {_in("low", L.STANCE_PHRASES)} AS firm, {_matched("first_", L.INTRODUCTIONS)} AS intro, {_matched("last_", L.CONCLUSIONS)} AS outro, {_n("text", L.BODY_SIGNS)} AS body
   FROM i)
 {_row("Meta-Patterns Unique to AI", 10, "s >= 5", _P10, "(CASE WHEN p < 3 OR s < 10 THEN 0.4 WHEN s < 25 THEN 0.6 WHEN s < 50 THEN 0.8 ELSE 0.9 END)", "x")}"""

@@ -117,6 +117,18 @@ def with_run_counts(df: DataFrame, **of: str) -> DataFrame:
     return df.drop(*[f"_{x}_{k}" for k in of for x in "se"])
 
 
+def run_ends(s: Column, key: str) -> Column:
+    """Where runs of equal keys in a sorted array of structs end, from 1."""
+    same = F.zip_with(shifted(s), s, lambda y, x: y.isNull() | (x[key] != y[key]))
+    return F.filter(F.transform(same, lambda end, i: F.when(end, i + 1)), lambda p: p.isNotNull())
+
+
+def runs(s: Column, ends: Column, f) -> Column:
+    """f(first element, length) of each run; ``ends`` should be a column of its own."""
+    before = F.concat(F.array(F.lit(0)), ends)
+    return F.filter(F.zip_with(before, ends, lambda a, b: F.when(b.isNotNull(), f(F.get(s, a), b - a))), lambda x: x.isNotNull())
+
+
 def fenced(df: DataFrame) -> DataFrame:
     """The same rows, of which a later filter is not moved below this point.
 

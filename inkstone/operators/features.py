@@ -12,7 +12,7 @@ from pyspark.sql import functions as F
 from inkstone.functions import arrays as A
 from inkstone.functions import segment
 from inkstone.functions.arrays import lit
-from inkstone.operators.statistics import _fit
+from inkstone.functions.series import fit
 
 #: In the order of the feature vector (fixed values).
 NAMES = """sentence_count avg_sentence_length sentence_length_cv sentence_length_std sentence_length_min sentence_length_max
@@ -55,7 +55,7 @@ def classic_features(docs: DataFrame, id_col: str = "doc_id", text_col: str = "t
     d = A.with_run_counts(d, counts="w", pairs="pair", triples="triple")
     d = d.withColumns(
         {
-            "f": _fit(F.transform(F.sort_array("counts", asc=False), lambda c, i: F.struct(F.log(i + lit(1)).alias("x"), F.log(c.cast("double")).alias("y")))),
+            "f": fit(F.transform(F.sort_array("counts", asc=False), lambda c, i: F.struct(F.log(i + lit(1)).alias("x"), F.log(c.cast("double")).alias("y")))),
             "sim": F.filter(A.lagged_pairs(F.col("sw"), lambda x, z: F.when((F.size(x) > 0) | (F.size(z) > 0), A.jaccard(x, z))), lambda v: v.isNotNull()),
             "std": _std(F.col("a")), "mean": A.mean(F.col("a")), "var": A.var_pop(F.col("a")),
         }

@@ -1,13 +1,13 @@
 """Counts of listed words, phrases and patterns in each document.
 
-Single words are counted by a join of the text's words with the lists, which
-are a constant of this library and so may be broadcast; one pass serves all
-lists. Phrases, stems and patterns are counted within the row.
+All of it is counted within the row: a first pass keeps the words that any
+list holds, and each list then looks at these only.
 """
 
 from __future__ import annotations
 
 import re
+from functools import reduce
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
@@ -42,13 +42,13 @@ def _long(doc: DataFrame, columns: dict[str, Column]) -> DataFrame:
 
 def word_counts(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """``doc_id``, ``name``, ``n``, ``n_distinct``: occurrences of each list's single words. Zeros are left out."""
-    spark = docs.sparkSession
-    rows = [(name, w) for name, ws in {**lexicons.WORDS, **lexicons.PRESENT}.items() for w in ws if _SINGLE.fullmatch(w)]
-    lists = spark.createDataFrame(sorted(set(rows)), "name string, word string")
-    words = _text(docs, id_col, text_col).select("doc_id", F.explode(F.regexp_extract_all(F.lower("text"), F.lit("[a-z0-9_]+"), 0)).alias("word"))
-    counts = words.groupBy("doc_id", "word").agg(F.count("*").alias("n"))
-    found = counts.join(F.broadcast(lists), "word")  # the lists of this library
-    return found.groupBy("doc_id", "name").agg(F.sum("n").alias("n"), F.count("*").alias("n_distinct"))
+    lists = {name: sorted({w for w in ws if _SINGLE.fullmatch(w)}) for name, ws in {**lexicons.WORDS, **lexicons.PRESENT}.items()}
+    every = sorted({w for ws in lists.values() for w in ws})
+    words = F.regexp_extract_all(F.lower("text"), F.lit("[a-z0-9_]+"), 0)
+    d = _text(docs, id_col, text_col).select("doc_id", F.filter(words, lambda w: w.isin(*every)).alias("hits"))  # few of a text's words are listed
+    d = d.withColumns({f"l{i}": F.filter("hits", lambda w: w.isin(*ws)) for i, ws in enumerate(lists.values()) if ws})
+    rows = [F.struct(F.lit(name).alias("name"), F.size(f"l{i}").cast("long").alias("n"), F.size(F.array_distinct(f"l{i}")).cast("long").alias("n_distinct")) for i, (name, ws) in enumerate(lists.items()) if ws]
+    return A.fenced(d.select("doc_id", F.array(*rows).alias("r"))).select("doc_id", F.inline("r")).filter("n > 0")
 
 
 def phrase_counts(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
@@ -64,15 +64,22 @@ def phrase_counts(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text
 
 def stem_counts(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """``doc_id``, ``name``, ``n``: words that begin with a list's stems, once for each stem they begin with."""
-    lists = {name: ws for name, ws in lexicons.STEMS.items()}
-    spark = docs.sparkSession
-    rows = spark.createDataFrame([(n, w) for n, ws in lists.items() for w in ws], "name string, stem string")
-    sizes = sorted({len(w) for ws in lists.values() for w in ws})
-    words = _text(docs, id_col, text_col).select("doc_id", F.explode(F.regexp_extract_all(F.lower("text"), F.lit("[a-z0-9_]+"), 0)).alias("word"))
-    counts = words.groupBy("doc_id", "word").agg(F.count("*").alias("n"))
-    heads = F.filter(F.array(*[F.when(F.length("word") >= k, F.substring("word", 1, k)) for k in sizes]), lambda x: x.isNotNull())
-    found = counts.select("doc_id", "n", F.explode(heads).alias("stem")).join(F.broadcast(rows), "stem")
-    return found.groupBy("doc_id", "name").agg(F.sum("n").alias("n"))
+
+    def by_size(stems: list[str]) -> dict[int, list[str]]:
+        return {k: sorted({w for w in stems if len(w) == k}) for k in sorted({len(w) for w in stems})}
+
+    def begins(w: Column, k: int, stems: list[str]) -> Column:
+        return F.substring(w, 1, k).isin(*stems)
+
+    every = by_size([w for ws in lexicons.STEMS.values() for w in ws])
+    words = F.regexp_extract_all(F.lower("text"), F.lit("[a-z0-9_]+"), 0)
+    any_of = lambda w: reduce(lambda a, b: a | b, [begins(w, k, ws) for k, ws in every.items()])
+    d = _text(docs, id_col, text_col).select("doc_id", F.filter(words, any_of).alias("hits"))
+
+    def times(k: int, stems: list[str]) -> Column:
+        return F.size(F.filter("hits", lambda w: begins(w, k, stems)))
+
+    return _long(d, {name: sum((times(k, ws) for k, ws in by_size(stems).items()), F.lit(0)) for name, stems in lexicons.STEMS.items()})
 
 
 def contained_phrases(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:

@@ -17,8 +17,8 @@ from inkstone.functions import arrays as A
 from inkstone.functions import segment
 from inkstone.functions import signal_lists as L
 from inkstone.functions.arrays import lit
+from inkstone.functions.series import exact_std, pair_counts, transitions
 from inkstone.operators.categories import _contained
-from inkstone.operators.sequences import exact_std, transitions
 
 FAMILIES = {
     "variance": ("variance_of_variance", "variance_stability", "local_variance_consistency"),
@@ -71,20 +71,8 @@ def _xy(x: Column, y: Column) -> Column:
 
 def surprise_variance(w: Column, ends: Column) -> Column:
     """Variance of -ln(p + 0.01) over all pairs of neighbours but the first, p the
-    pair's share of what follows its first word in this text.
-
-    Counts of pairs and of first words come from the sorted pairs. Put in order
-    together, each first word's count stands before those of its pairs."""
-    pairs = F.sort_array(A.lagged_pairs(w, lambda x, y: F.struct(x.alias("a"), y.alias("b"))))
-    ranks = F.zip_with(ends, pairs, lambda e, p: F.struct(e.alias("e"), p.alias("p")))
-    at = lambda least: F.filter(F.transform(ranks, lambda r, i: F.when(r["e"] >= least, F.struct(i.alias("i"), r["p"].alias("p")))), lambda x: x.isNotNull())
-
-    def counts(found: Column, kind: int) -> Column:
-        before = F.concat(F.array(F.lit(-1)), F.transform(found, lambda x: x["i"]))
-        second = lambda x: x["p"]["b"] if kind else F.lit("")
-        return F.filter(F.zip_with(found, before, lambda x, i: F.when(x.isNotNull(), F.struct(x["p"]["a"].alias("a"), F.lit(kind).alias("k"), second(x).alias("b"), (x["i"] - i).cast("double").alias("c")))), lambda x: x.isNotNull())
-
-    both = F.sort_array(F.concat(counts(at(2), 0), counts(at(1), 1)))
+    pair's share of what follows its first word in this text."""
+    both = pair_counts(w, ends)
     first_a, first_b = F.get(w, 0), F.get(w, 1)
     zero = F.struct(*[A.zero().alias(k) for k in ("t", "n", "s", "q")])
 

@@ -1,4 +1,4 @@
-"""Vocabulary, sequence and n-gram statistics of each document."""
+"""Vocabulary, sequence and n-gram statistics of each document, all within its row."""
 
 from __future__ import annotations
 
@@ -6,25 +6,13 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from inkstone.functions import arrays as A
-from inkstone.functions import scoring as S
+from inkstone.functions import scoring
 from inkstone.functions import segment
+from inkstone.functions import series as S
 from inkstone.functions.arrays import lit
 from inkstone.operators.authorship import segmented
 
 
-def _fit(points: Column) -> Column:
-    """Sums of a straight-line fit: n, x, y, xy, xx, yy."""
-    zero = F.struct(*[A.zero().alias(k) for k in ("n", "x", "y", "xy", "xx", "yy")])
-    return F.aggregate(
-        points,
-        zero,
-        lambda a, p: F.struct(
-            (a["n"] + 1).alias("n"), (a["x"] + p["x"]).alias("x"), (a["y"] + p["y"]).alias("y"),
-            (a["xy"] + p["x"] * p["y"]).alias("xy"), (a["xx"] + p["x"] * p["x"]).alias("xx"), (a["yy"] + p["y"] * p["y"]).alias("yy"),
-        ),
-    )
-
-
 def vocabulary(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """Richness of each document's words. Statistics without enough words are 0,
     except that the rank fit below 20 words has slope 0 and compliance 0.5."""
@@ -38,7 +26,7 @@ def vocabulary(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text")
         A.total_by(F.col("tokens"), F.length).alias("letters"),
         A.entropy_bits(F.col("counts"), F.size("tokens").cast("double")).alias("bits"),
         A.mean(F.transform(seg, lambda i: F.size(F.array_distinct(F.slice("tokens", i * 50 + 1, 50))) / lit(50))).alias("segments"),
-        _fit(F.transform(F.slice(F.sort_array("counts", asc=False), 1, 50), lambda c, i: F.struct(F.log(i + lit(1)).alias("x"), F.log(c.cast("double")).alias("y")))).alias("f"),
+        S.fit(F.transform(F.slice(F.sort_array("counts", asc=False), 1, 50), lambda c, i: F.struct(F.log(i + lit(1)).alias("x"), F.log(c.cast("double")).alias("y")))).alias("f"),
     )
     n, v, v1, v2, m2 = (F.col(c) for c in ("n", "v", "v1", "v2", "m2"))
     f = {k: F.col(f"f.{k}") for k in ("n", "x", "y", "xy", "xx", "yy")}
@@ -102,7 +90,7 @@ def sequence_statistics(docs: DataFrame, id_col: str = "doc_id", text_col: str =
         "median", "p25", "p75", "skewness", "kurtosis", "gini",
         F.when(n >= 2, A.ratio(std - m, std + m)).otherwise(lit(0)).alias("burstiness"),
         F.when(n >= 2, 1 - F.least(lit(1), cv / lit(0.8))).otherwise(lit(0.5)).alias("uniformity"),
-        S.gaussian(cv, 0.55, 0.15).alias("variance_naturalness"),
+        scoring.gaussian(cv, 0.55, 0.15).alias("variance_naturalness"),
         F.when((n >= 4) & (spread > 0), (high - low) / spread).otherwise(lit(0.5)).alias("iqr_ratio"),
         F.when(F.size("local") >= 2, A.uniformity(F.col("local"))).otherwise(lit(0.5)).alias("variance_stability"),
         F.when((n >= 20) & (m != 0), F.least(lit(1), F.abs(last - first) / m)).otherwise(lit(0)).alias("drift"),
@@ -140,19 +128,19 @@ def bigram_perplexity(docs: DataFrame, id_col: str = "doc_id", text_col: str = "
 
     Texts of fewer than 12 tokens have entropy 4 and perplexity 50.
     """
-    tokens = segmented(docs, id_col, text_col).select("doc_id", "tokens")
-    pairs = tokens.select("doc_id", F.inline(A.lagged_pairs(F.col("tokens"), lambda x, y: F.struct(x.alias("x"), y.alias("y")))))
-    counts = pairs.groupBy("doc_id", "x", "y").agg(F.count("*").alias("c"))
-    contexts = counts.groupBy("doc_id", "x").agg(F.sum("c").alias("k"), F.collect_list("c").alias("cs"), F.count("*").alias("types"))
-    # Of a context with k followers: the sum over its pairs of c * log2((c + 1) / (k + types)); types come at the document's level.
-    by_doc = contexts.groupBy("doc_id").agg(F.sum("types").cast("double").alias("v"), F.sum("k").cast("double").alias("n"), F.collect_list(F.struct("k", "cs")).alias("parts"))
-    bits = F.aggregate("parts", A.zero(), lambda a, p: a + A.total_by(p["cs"], lambda c: c * F.log2((c + 1) / (p["k"] + F.col("v")))))
-    found = by_doc.select("doc_id", (-bits / F.col("n")).alias("h"))
-    out = tokens.select("doc_id", F.size("tokens").alias("n_tokens")).join(found, "doc_id", "left")
+    d = segmented(docs, id_col, text_col).select("doc_id", "tokens")
+    d = d.withColumn("ends", S.transitions(F.col("tokens")))
+    d = d.withColumn("counts", S.pair_counts(F.col("tokens"), F.col("ends")))
+    kinds = F.size(F.filter("ends", lambda e: e > 0)).cast("double")
+    d = d.select("doc_id", F.size("tokens").alias("n_tokens"), "counts", kinds.alias("v"))
+    # Each first word's count stands before those of its pairs.
+    step = lambda a, x: F.when(x["k"] == 0, F.struct(x["c"].alias("t"), a["s"].alias("s"))).otherwise(F.struct(a["t"].alias("t"), (a["s"] + x["c"] * F.log2((x["c"] + 1) / (a["t"] + F.col("v")))).alias("s")))
+    bits = F.aggregate("counts", F.struct(A.zero().alias("t"), A.zero().alias("s")), step, lambda a: a["s"])
+    out = A.fenced(d.select("doc_id", "n_tokens", (-bits / F.greatest(F.col("n_tokens") - 1, F.lit(1))).alias("h")))
     enough = F.col("n_tokens") >= 12
     h = F.when(enough, F.col("h")).otherwise(lit(4))
     perplexity = F.when(enough, F.pow(lit(2), F.col("h"))).otherwise(lit(50))
-    return out.select("doc_id", F.col("n_tokens").cast("long").alias("n_tokens"), h.alias("entropy"), F.least(lit(500), perplexity).alias("perplexity"), F.when(enough, 1 - S.normalize(perplexity, 20, 200)).otherwise(lit(0.5)).alias("predictability"))
+    return out.select("doc_id", F.col("n_tokens").cast("long").alias("n_tokens"), h.alias("entropy"), F.least(lit(500), perplexity).alias("perplexity"), F.when(enough, 1 - scoring.normalize(perplexity, 20, 200)).otherwise(lit(0.5)).alias("predictability"))
 
 
 def adjacent_similarity(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
@@ -162,29 +150,33 @@ def adjacent_similarity(docs: DataFrame, id_col: str = "doc_id", text_col: str =
     return s.select("doc_id", F.col("n").cast("long").alias("n_sentences"), A.mean(F.col("j")).alias("mean_similarity"), A.var_pop(F.col("j")).alias("var_similarity"), F.coalesce(F.array_max("j"), lit(0)).alias("max_similarity"))
 
 
+def _ranked(d: DataFrame, found: Column, k: int) -> DataFrame:
+    """The first k of an array of structs, in their order, as rows with a rank."""
+    d = A.fenced(d.select("doc_id", F.slice(F.sort_array(found), 1, k).alias("b")))
+    return d.select("doc_id", F.posexplode("b").alias("rank", "w")).withColumn("rank", (F.col("rank") + 1).cast("long"))
+
+
 def top_words(docs: DataFrame, k: int = 10, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """The k most frequent words of each document; the earlier first, where counts are equal."""
-    s = segmented(docs, id_col, text_col).select("doc_id", F.posexplode("tokens").alias("pos", "word"))
-    s = s.groupBy("doc_id", "word").agg(F.count("*").alias("n"), F.min("pos").alias("first"))
-    # One aggregation by document, whose distinct words are few, in place of a window over all rows.
-    best = F.slice(F.sort_array(F.collect_list(F.struct((-F.col("n")).alias("n"), "first", "word"))), 1, k)
-    s = s.groupBy("doc_id").agg(best.alias("b")).select("doc_id", F.posexplode("b").alias("rank", "w"))
-    return s.select("doc_id", (F.col("rank") + 1).cast("long").alias("rank"), F.col("w.word").alias("word"), (-F.col("w.n")).alias("n"))
+    d = segmented(docs, id_col, text_col).select("doc_id", S.placed(F.col("tokens")).alias("p"))
+    d = d.withColumn("ends", A.run_ends(F.col("p"), "w"))
+    found = A.runs(F.col("p"), F.col("ends"), lambda first, n: F.struct((-n).cast("long").alias("n"), first["i"].alias("first"), first["w"].alias("word")))
+    return _ranked(d, found, k).select("doc_id", "rank", F.col("w.word").alias("word"), (-F.col("w.n")).alias("n"))
 
 
 def repeated_phrases(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", k: int = 10) -> DataFrame:
     """Phrases of four to six words that a document repeats: the k heaviest, weight words times count."""
-    s = segmented(docs, id_col, text_col).select("doc_id", "tokens")
+    d = segmented(docs, id_col, text_col).select("doc_id", "tokens")
+    sizes = (4, 5, 6)
+    d = d.withColumns({f"g{n}": F.sort_array(F.transform(A.ngrams(F.col("tokens"), n), lambda g: F.struct(g.alias("w")))) for n in sizes})
+    d = d.withColumns({f"e{n}": A.run_ends(F.col(f"g{n}"), "w") for n in sizes})
 
-    def grams_of(n: int) -> Column:
-        return F.transform(A.ngrams(F.col("tokens"), n), lambda g: F.struct(F.lit(n).alias("words"), g.alias("phrase")))
+    def again(n: int) -> Column:
+        every = A.runs(F.col(f"g{n}"), F.col(f"e{n}"), lambda first, c: F.struct((-c * n).cast("long").alias("weight"), first["w"].alias("phrase"), c.cast("long").alias("n"), F.lit(n).cast("long").alias("words")))
+        return F.filter(every, lambda x: x["n"] > 1)
 
-    grams = F.concat(*[grams_of(n) for n in (4, 5, 6)])
-    s = s.select("doc_id", F.inline(grams)).groupBy("doc_id", "words", "phrase").agg(F.count("*").alias("n")).filter("n > 1")
-    s = s.withColumn("weight", F.col("words") * F.col("n"))
-    best = F.slice(F.sort_array(F.collect_list(F.struct((-F.col("weight")).alias("weight"), "phrase", "n", "words"))), 1, k)
-    s = s.groupBy("doc_id").agg(best.alias("b")).select("doc_id", F.posexplode("b").alias("rank", "w"))
-    return s.select("doc_id", (F.col("rank") + 1).cast("long").alias("rank"), F.col("w.phrase").alias("phrase"), F.col("w.words").cast("long").alias("words"), F.col("w.n").alias("n"), (-F.col("w.weight")).cast("long").alias("weight"))
+    out = _ranked(d, F.concat(*map(again, sizes)), k)
+    return out.select("doc_id", "rank", F.col("w.phrase").alias("phrase"), F.col("w.words").alias("words"), F.col("w.n").alias("n"), (-F.col("w.weight")).alias("weight"))
 
 
 def segment_counts(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:

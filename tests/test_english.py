@@ -10,10 +10,10 @@ from tests.test_queries import canon
 #: Queries whose every column differs somewhere in the table.
 VARIED = (
     "cooccurrence_edges cooccurrence_nodes contained_phrases document_trends lexicon_phrase_counts lexicon_stem_counts lexicon_word_counts length_histogram model_features "
-    "pattern_counts readability relative_scores repetition_map rewriting_signals segment_counts sentence_scores speech_correction tone_features vocabulary vocabulary_growth web_categories word_sequences"
+    "pattern_counts readability relative_scores repetition_map rewriting_signals segment_counts sentence_scores speech_correction text_coherence tone_features vocabulary vocabulary_growth web_categories word_sequences"
 ).split()
 #: Those with a name of their own in each row, or with counts of what no list holds.
-OTHERS = "archaic_style artifact_features category_heads document_analysis formatting inconsistency repetition_patterns rewriting_traces set_pieces stability_under_rewriting tone_stability word_classes".split()
+OTHERS = "archaic_style artifact_features category_heads document_analysis formatting inconsistency processing_difficulty repetition_patterns rewriting_traces set_pieces stability_under_rewriting tone_stability word_classes".split()
 
 
 @pytest.fixture(scope="module")

@@ -410,3 +410,10 @@ NEAREST = """
 WITH v AS (SELECT vec_id, embedding::DOUBLE[] AS e, label FROM embeddings),
 c AS (SELECT label, list(m ORDER BY i) AS c FROM (SELECT label, i, avg(x) AS m FROM (SELECT label, unnest(e) AS x, unnest(range(len(e))) AS i FROM v) GROUP BY label, i) GROUP BY label)
 SELECT v.vec_id, round(list_cosine_similarity(e, c) + 1e-9, 6) AS similarity FROM v JOIN c USING (label)"""
+
+#: The fitted share of bin i: the greatest over j <= i of the least mean over bins j to k >= i.
+CALIBRATION = f"""{_PRED},
+bn AS (SELECT least(49, floor(p * 50))::INT AS bin, count(*) AS n, sum(y)::BIGINT AS positive, avg(p) AS centre FROM (SELECT round(p::DOUBLE, 9) AS p, y FROM pr) GROUP BY 1),
+mm AS (SELECT j.bin AS j, k.bin AS k, (SELECT sum(positive) / sum(n) FROM bn WHERE bin BETWEEN j.bin AND k.bin) AS m FROM bn j JOIN bn k ON j.bin <= k.bin),
+ff AS (SELECT i, max(m) AS fitted FROM (SELECT b.bin AS i, j, min(m) AS m FROM bn b JOIN mm ON j <= b.bin AND k >= b.bin GROUP BY b.bin, j) GROUP BY i)
+SELECT bin, n, positive, round(centre::DOUBLE + 1e-9, 6) AS centre, round((positive / n)::DOUBLE + 1e-9, 6) AS observed, round(fitted::DOUBLE + 1e-9, 6) AS calibrated FROM bn JOIN ff ON i = bin"""

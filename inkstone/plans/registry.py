@@ -8,7 +8,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from inkstone.functions import arrays, segment
-from inkstone.operators import artifact_features, authorship, categories, charts, evaluation, features, formatting, lexical, model_features, processing, rewrite, rewriting_signals, sentence_scores, sequences, speech, stability, statistics, style_categories, voice_categories
+from inkstone.operators import artifact_features, authorship, calibration, categories, charts, evaluation, features, formatting, lexical, model_features, processing, rewrite, rewriting_signals, sentence_scores, sequences, speech, stability, statistics, style_categories, voice_categories
 from inkstone.plans import artifact_sql, category_sql, chart_sql, lexical_sql, oracles, processing_sql, sequence_sql, signal_sql, speech_sql, stability_sql, style_sql, voice_sql
 from inkstone.sources import files, samples, sinks
 
@@ -156,3 +156,4 @@ over("length_histogram", chart_sql.HISTOGRAM, charts.length_histogram)
 over("rewriting_signals", signal_sql.SIGNALS, rewriting_signals.rewriting_signals)
 over("processing_difficulty", processing_sql.DIFFICULTY, processing.processing_difficulty)
 over("text_coherence", processing_sql.COHERENCE, processing.text_coherence)
+register("isotonic_calibration", oracles.CALIBRATION, lambda spark, sf_dir: calibration.fit_isotonic(predictions(spark, sf_dir).withColumn("p", F.round("p", 9))))

@@ -114,7 +114,7 @@ def transition_sums(ends: Column) -> Column:
 
 
 def growth(p: Column, n: Column) -> Column:
-    """Points ``position``, ``unique`` after every STEP words and at the end.
+    """Points ``position``, ``n_types`` after every STEP words and at the end.
 
     First places and points are sorted together: a point's rank less the points
     before it is the number of words seen by then."""
@@ -124,7 +124,7 @@ def growth(p: Column, n: Column) -> Column:
     points = F.when(n > 0, F.array_distinct(F.concat(F.when(n >= STEP, F.sequence(F.lit(STEP), n, F.lit(STEP))).otherwise(F.array().cast("array<int>")), F.array(n)))).otherwise(F.array().cast("array<int>"))
     both = F.sort_array(F.concat(firsts, F.transform(points, lambda x: F.struct(x.alias("p"), F.lit(1).alias("k")))))
     marks = F.filter(F.transform(both, lambda x, j: F.struct(x["p"].alias("p"), x["k"].alias("k"), j.alias("j"))), lambda x: x["k"] == 1)
-    return F.transform(marks, lambda m, c: F.struct(m["p"].alias("position"), (m["j"] - c).alias("unique")))
+    return F.transform(marks, lambda m, c: F.struct(m["p"].alias("position"), (m["j"] - c).alias("n_types")))
 
 
 def fit_logs(points: Column) -> Column:

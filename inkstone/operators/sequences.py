@@ -60,7 +60,7 @@ def word_sequences(docs: DataFrame, id_col: str = "doc_id", text_col: str = "tex
     d = d.withColumns(
         {
             "sums": transition_sums(F.col("ends")), "f": fit_logs(F.transform("ranks", lambda c, i: F.struct((i + 1).alias("x"), c.alias("y")))),
-            "g": fit_logs(F.transform("points", lambda p: F.struct(p["position"].alias("x"), p["unique"].alias("y")))),
+            "g": fit_logs(F.transform("points", lambda p: F.struct(p["position"].alias("x"), p["n_types"].alias("y")))),
             "m": A.mean(F.col("k")), "sd": exact_std(F.col("k")), "total": A.total(F.col("k")), "sm": A.mean(F.col("lengths")), "ssd": exact_std(F.col("lengths")),
         }
     )
@@ -94,8 +94,8 @@ def word_sequences(docs: DataFrame, id_col: str = "doc_id", text_col: str = "tex
 
 
 def vocabulary_growth(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """``doc_id``, ``position``, ``unique``: distinct words after every 50 words and
+    """``doc_id``, ``position``, ``n_types``: distinct words after every 50 words and
     after the last. A document without words has no rows."""
     d = _sequence(docs, id_col, text_col)
     d = A.fenced(d.select("doc_id", growth(F.col("placed"), F.col("n")).alias("g")))
-    return d.select("doc_id", F.inline("g")).select("doc_id", F.col("position").cast("long").alias("position"), F.col("unique").cast("long").alias("unique"))
+    return d.select("doc_id", F.inline("g")).select("doc_id", F.col("position").cast("long").alias("position"), F.col("n_types").cast("long").alias("n_types"))

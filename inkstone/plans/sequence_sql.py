@@ -21,7 +21,7 @@ grow AS (
   SELECT doc_id, pos, u FROM (SELECT doc_id, pos, sum(is_new::INT) OVER (PARTITION BY doc_id ORDER BY pos) AS u FROM new) JOIN nw USING (doc_id)
   WHERE pos % 50 = 0 OR pos = n)"""
 
-GROWTH = f"WITH {_WORDS} SELECT doc_id, pos::BIGINT AS position, u::BIGINT AS \"unique\" FROM grow"
+GROWTH = f"WITH {_WORDS} SELECT doc_id, pos::BIGINT AS position, u::BIGINT AS n_types FROM grow"
 
 
 def _skew(rows: str, x: str, n: str, m: str, sd: str) -> str:

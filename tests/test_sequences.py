@@ -59,10 +59,10 @@ def test_sequences_by_plain_python(spark):
 
 def test_growth_counts_words_at_every_fiftieth_and_at_the_end(spark):
     w = [f"w{'abcdefghij'[i % 10]}{'abcdefghij'[i % 7]}" for i in range(130)]
-    got = [(r["position"], r["unique"]) for r in sequences.vocabulary_growth(frame(spark, " ".join(w), "", None, "one")).collect()]
+    got = [(r["position"], r["n_types"]) for r in sequences.vocabulary_growth(frame(spark, " ".join(w), "", None, "one")).collect()]
     assert sorted(got) == sorted([(1, 1)] + [(p, len(set(w[:p]))) for p in (50, 100, 130)])
     exact = sequences.vocabulary_growth(frame(spark, " ".join(w[:100]))).collect()
-    assert [(r["position"], r["unique"]) for r in exact] == [(50, len(set(w[:50]))), (100, len(set(w[:100])))]
+    assert [(r["position"], r["n_types"]) for r in exact] == [(50, len(set(w[:50]))), (100, len(set(w[:100])))]
 
 
 ALL = [

@@ -89,3 +89,10 @@ def test_relative_scores_name_the_kind_of_writing(spark):
     assert [(x["cohort"], x["relative_score"], x["confidence"], x["mean_abs_z"]) for x in r[1:]] == [("general", 0.5, 0.0, None)] * 2
     p = spark.range(1).select(V.adjusted(F.lit(0.8), F.lit(0.2), F.lit(0.5)).alias("p")).first()["p"]
     assert p == pytest.approx(0.8 * 0.85 + 0.2 * 0.15)
+
+
+def test_a_variance_of_whole_lengths_is_exact(spark):
+    lengths = [12, 14, 10, 15, 8, 7, 10, 4, 4]  # variance 14: the z-score is -2, which is no outlier
+    text = " ".join("Aa" + " bb" * (k - 1) + "." for k in lengths)
+    (r,) = result(spark, V.relative_scores, text)
+    assert r["z_burstiness"] == -2.0 and r["n_outliers"] == sum(abs(r[f"z_{k}"]) > 2 for k in V.L.MEASURES)
